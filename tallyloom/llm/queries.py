@@ -22,8 +22,33 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: fixed rules, and the field fitted on a bounded sample."""
+    from tallyloom.llm.secret_crf import secret_spans, train
+
+    docs = table(spark, sf_dir, "documents")
+    return secret_spans(docs, train(docs))
+
+
+def op7_pii_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, plain and disguised."""
+    from tallyloom.llm.pii_transducer import personal_spans
+
+    return personal_spans(table(spark, sf_dir, "documents"))
+
+
+def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word figures and verdict of every document."""
+    from tallyloom.llm.line_frequency import line_verdicts
+
+    return line_verdicts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_secret_crf": op3_secret_crf,
+    "op7_pii_transducer": op7_pii_transducer,
+    "op10_line_frequency": op10_line_frequency,
 }
 
 ORACLE_SQL: dict[str, str] = {}
