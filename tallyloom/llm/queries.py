@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,23 @@ def op3_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(docs, train(docs))
 
 
+def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a classifier that never sees the held-out fifth of the labels."""
+    from tallyloom.llm.toxicity_cnn import toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity(docs, model, ["doc_id"]).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("__score").alias("score"),
+        (F.col("__score") >= 0.5).cast("int").alias("predicted"),
+        F.col("__threshold").alias("threshold"),
+        F.col("__rejected").alias("rejected"),
+    )
+
+
 def op7_pii_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, plain and disguised."""
     from tallyloom.llm.pii_transducer import personal_spans
@@ -47,6 +65,7 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secret_crf": op3_secret_crf,
+    "op5_toxicity_cnn": op5_toxicity_cnn,
     "op7_pii_transducer": op7_pii_transducer,
     "op10_line_frequency": op10_line_frequency,
 }
