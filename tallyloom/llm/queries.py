@@ -55,6 +55,13 @@ def op7_pii_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_spans(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked at a Jaccard similarity of 0.9 over three-word shingles."""
+    from tallyloom.llm.jaccard_join import joined
+
+    return joined(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word figures and verdict of every document."""
     from tallyloom.llm.line_frequency import line_verdicts
@@ -67,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op3_secret_crf": op3_secret_crf,
     "op5_toxicity_cnn": op5_toxicity_cnn,
     "op7_pii_transducer": op7_pii_transducer,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_line_frequency": op10_line_frequency,
 }
 
