@@ -275,7 +275,17 @@ def joined(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, text:
 
 
 def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """docs without near copies: of each component the document of smallest id stays (repeated rows of that id all do)."""
-    found = joined(docs, width, num, den, text, id_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
-    lost_null = docs.where(F.col(id_col).isNull())
-    return docs.join(found, F.col(id_col) == F.col("__keep"), "left_semi").unionByName(lost_null)
+    """docs without near copies: of each component the document of smallest id stays, and of rows that repeat it one.
+
+    Documents without words, and rows without an id, are no copies of anything and stay.
+    """
+    found = stored(joined(docs, width, num, den, text, id_col), "joined")
+    lost = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__lost")).distinct()
+    again = found.where((F.col(id_col) == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__again"))
+    left = docs.join(lost, F.col(id_col) == F.col("__lost"), "left_anti")
+    if again.isEmpty():
+        return left
+    # Ids that repeat are the exception: only their rows are compared with each other.
+    marked = left.join(again, F.col(id_col) == F.col("__again"), "left")
+    once = marked.where("__again is not null").drop("__again").dropDuplicates([id_col, text])
+    return marked.where("__again is null").drop("__again").unionByName(once)

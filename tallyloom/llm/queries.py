@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, probability and verdict of every document."""
+    from tallyloom.llm.mixture import mixed
+
+    return mixed(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document, as digests."""
     import public_tokenizers
@@ -70,6 +77,7 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_mixture": op1_mixture,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secret_crf": op3_secret_crf,
     "op5_toxicity_cnn": op5_toxicity_cnn,
