@@ -55,6 +55,13 @@ def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and verdict of every page's URL."""
+    from tallyloom.llm.url_rules import judged
+
+    return judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op7_pii_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, plain and disguised."""
     from tallyloom.llm.pii_transducer import personal_spans
@@ -81,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secret_crf": op3_secret_crf,
     "op5_toxicity_cnn": op5_toxicity_cnn,
+    "op6_url_rules": op6_url_rules,
     "op7_pii_transducer": op7_pii_transducer,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_line_frequency": op10_line_frequency,
