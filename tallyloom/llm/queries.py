@@ -38,6 +38,13 @@ def op3_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(docs, train(docs))
 
 
+def op4_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 400-byte strings."""
+    from tallyloom.llm.exact_substrings import removed
+
+    return removed(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document by a classifier that never sees the held-out fifth of the labels."""
     from tallyloom.llm.toxicity_cnn import toxicity, train
@@ -87,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op1_mixture": op1_mixture,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secret_crf": op3_secret_crf,
+    "op4_exact_substrings": op4_exact_substrings,
     "op5_toxicity_cnn": op5_toxicity_cnn,
     "op6_url_rules": op6_url_rules,
     "op7_pii_transducer": op7_pii_transducer,

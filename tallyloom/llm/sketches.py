@@ -46,3 +46,23 @@ def counted(frame: DataFrame, cells: int, values: Callable[[pa.RecordBatch], Ite
         x = np.frombuffer(zlib.decompress(row.body), dtype=np.int64)
         out[row.piece * PIECE : row.piece * PIECE + len(x)] += x
     return out
+
+
+def membership(values: DataFrame, cells: int = 1 << 22) -> Callable:
+    """A column function that is true for every 64-bit number in values' only column, and for few others while these are few.
+
+    The broadcast bits (cells / 8 bytes) do not grow with the data; beyond their capacity more numbers pass, none is lost.
+    """
+
+    def mark(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield (np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+
+    bits = np.packbits(counted(values, cells, mark) > 0)
+    shared = values.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def among(x: pd.Series) -> pd.Series:
+        cell = (x.to_numpy().view(np.uint64) >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+        return pd.Series((shared.value[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool))
+
+    return among
