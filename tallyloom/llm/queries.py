@@ -83,6 +83,13 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found of every fiftieth vector."""
+    from tallyloom.llm.lsh_forest import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word figures and verdict of every document."""
     from tallyloom.llm.line_frequency import line_verdicts
@@ -99,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op6_url_rules": op6_url_rules,
     "op7_pii_transducer": op7_pii_transducer,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_lsh_forest": op9_lsh_forest,
     "op10_line_frequency": op10_line_frequency,
 }
 
