@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return keep
 
 
-from tallyloom.plans import gate, matching  # noqa: E402, F401
+from tallyloom.plans import gate, matching, texts  # noqa: E402, F401
