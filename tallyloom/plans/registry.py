@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return keep
 
 
-from tallyloom.plans import gate, matching, surface, texts, timeline  # noqa: E402, F401
+from tallyloom.plans import gate, ledger, matching, surface, texts, timeline  # noqa: E402, F401
