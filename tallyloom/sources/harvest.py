@@ -12,6 +12,7 @@ BINARY = r"\.(?:pdf|zip|png|jpe?g|gif|mp4|docx?|xlsx?|pptx?)(?:$|\?)"
 NEWS_SEGMENT = r"/(?:news|press|media|release|releases|insights|blog|article|articles|stories)(?:/|$)"
 DATE_SEGMENT = r"/20[0-9]{2}(?:[/-][0-9]{1,2})?(?:[/-]|$)"
 PAGING = r"/(?:page|category|tag|tags|topics?|archive)/|[?&]page="
+SECTION = r"/(?:about|about-us|careers|contact|privacy|terms|products|solutions|investors)(?:/|$)"
 NEWSWIRES = ("prnewswire.com", "businesswire.com", "globenewswire.com")
 LEAST_SCORE = 3
 
@@ -34,21 +35,19 @@ def harvest_links(pages: DataFrame, key: str) -> DataFrame:
     link = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(origin, "href")).otherwise(F.concat(base, "href"))
     a = a.withColumn("link", link).withColumn("headline", F.trim("label"))
     host = lambda c: F.regexp_replace(F.lower(F.regexp_extract(c, "^[a-zA-Z]+://([^/?#]*)", 1)), r"^www\.", "")
-    path = F.regexp_replace("link", r"^[a-zA-Z]+://[^/?#]*", "")
+    bare = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"^[a-zA-Z]+://[^/?#]*", ""), r"[?#].*$", ""))
+    path, listing = bare("link"), F.regexp_replace(bare("url"), "/+$", "")
+    under = (host("link") == host("url")) & (F.length(listing) > 1) & path.startswith(F.concat(listing, F.lit("/"))) & (F.length(path) > F.length(listing) + 1)
+    rest = F.when(under, F.substring(path, F.length(listing) + 1, F.length(path))).otherwise(path)  # the listing's own path says nothing
     wide = F.length(F.regexp_replace("headline", r"[^\p{IsHan}]", "")) >= 12
-    told = wide | (F.length("headline") >= 35) | (F.size(F.split("headline", r"\s+")) >= 5)
-    score = (
-        F.when(told, 3).otherwise(0)
-        + F.when(F.col("link").startswith(F.regexp_replace("url", "[?#].*$", "")), 2).otherwise(0)
-        + F.when(path.rlike(NEWS_SEGMENT), 2).otherwise(0)
-        + F.when(path.rlike(DATE_SEGMENT), 2).otherwise(0)
-        - F.when(path.rlike(PAGING), 4).otherwise(0)
-        - F.when(path.rlike("^/?[^/]*/?$"), 4).otherwise(0)
-    )
-    own = host("link") == host("url")
+    told = wide | ((F.length("headline") >= 35) & (F.size(F.split("headline", r"\s+")) >= 5))
+    points = lambda hit, n: F.when(hit, n).otherwise(0)
+    score = points(told, 3) + points(under, 2) + points(rest.rlike(NEWS_SEGMENT), 2) + points(rest.rlike(DATE_SEGMENT), 2) - points(rest.rlike(SECTION), 4) - points(F.lower("link").rlike(PAGING), 4)
+    below = lambda x, y: x.endswith(F.concat(F.lit("."), y))
+    own = (host("link") == host("url")) | below(host("link"), host("url")) | below(host("url"), host("link"))
     wire = F.lit(False)
     for name in NEWSWIRES:
-        wire = wire | host("link").endswith(name)
+        wire = wire | (host("link") == name) | host("link").endswith(f".{name}")
     fit = a.withColumn("score", score).where((own | wire) & told & (F.col("score") >= LEAST_SCORE) & ~F.lower("link").rlike(BINARY) & ~F.col("href").rlike(r"^#|\{\{|^javascript:"))
     clean = canonical_urls(fit, "link")[0].where(F.regexp_replace("canonical_url", "/$", "") != F.regexp_replace("url", "[?#].*$|/$", ""))
     first = clean.groupBy(key, "canonical_url").agg(F.min(F.struct("pos", "headline", "score")).alias("m"))
