@@ -80,7 +80,7 @@ def fingerprint(company: Column, product: Column, event_type: Column, day: Colum
 def norm_entity(x: Column, ascii_only: bool = False) -> Column:
     """For comparing companies: marks go first, then legal forms at the end and all separators."""
     base = F.lower(nfkc(F.regexp_replace(x, "[®™©]", ""), ascii_only))
-    bare = F.regexp_replace(F.regexp_replace(base, r"[\s,.]+(?:" + "|".join(LEGAL) + r")\.?$", ""), "(?:" + "|".join(LEGAL_CN) + ")$", "")
+    bare = F.regexp_replace(F.regexp_replace(base, r"(?:[\s,.]+(?:" + "|".join(LEGAL) + r")\.?)+$", ""), "(?:" + "|".join(LEGAL_CN) + ")$", "")
     return F.regexp_replace(bare, r"[\s\-_.,'’()（）]+", "")
 
 
