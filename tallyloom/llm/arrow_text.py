@@ -135,16 +135,16 @@ def run_lengths(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def map_text(
-    docs: DataFrame, keep: list[str], schema: str, rows: Callable[[pa.RecordBatch], dict[str, object]], text: str = "text"
+    docs: DataFrame, keep: list[str], schema: str, rows: Callable[[pa.RecordBatch], dict[str, object]], text: str = "text", limit: int = SLICE_BYTES
 ) -> DataFrame:
-    """Apply `rows` to bounded slices of docs(keep..., text); it returns the columns of `schema`."""
+    """Apply `rows` to slices of docs(keep..., text) of at most `limit` bytes of text; it returns the columns of `schema`."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in slices(batches, text, limit):
             out = rows(part)
             yield pa.RecordBatch.from_arrays(
                 [out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow

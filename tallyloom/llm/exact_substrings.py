@@ -9,7 +9,9 @@ equal anchors at equal places, so suffixes are bucketed by their anchor's q-gram
 2. Refinement: in a bucket that holds unequal runs, each start's bucket is split by sorting on the bucket identifiers of later
    offsets: names of STEP bytes, then of 2, 4 and 8 STEP = LENGTH bytes, each from the pair (own bucket, bucket that far on) of the
    round before, all starts reusing the same updates. Only members of buckets of two or more stay in the game.
-3. A bucket with more than HOT unequal runs is not gathered: its starts are named by a hash of their LENGTH bytes and counted.
+3. A bucket with more than HOT unequal runs is not gathered. Its runs are cut into cells of CELL starts, at places that the anchor fixes.
+   Cells are counted by the name of the bytes that all their strings share (alone: no repeat) and by that of all their bytes
+   (repeated: all are); only the starts of cells between the two are named one by one, and counted.
 
 Names are 64-bit polynomial hashes of exact bytes. Intervals meet their texts at the end; texts that a sketch of fixed size rules out are not moved.
 
@@ -28,13 +30,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.arrow_text import byte_view, column, map_text, mix, prefix_sums, run_lengths, span_hash
-from tallyloom.llm.sketches import membership
+from tallyloom.llm.sketches import Members
 from tallyloom.session import stored
 
 LENGTH, STEP, GRAM = 400, 50, 145
 WINDOW = LENGTH - GRAM + 1
 #: Unequal runs that one bucket may hold before it is counted instead of gathered; runs refined at once.
-HOT, BLOCK = 512, 2048
+HOT, BLOCK = 512, 1024
+#: Bytes of text whose q-grams a task names at once (some 100 bytes of arrays for each).
+SLICE = 1 << 20
+#: Starts that a large bucket's runs are first cut into.
+CELL = 16
 _PLACE_BITS = 31
 
 
@@ -130,13 +136,13 @@ def _runs_of(keyed: DataFrame, kind: str) -> DataFrame:
         take = pa.array(text)
         return {"id": column(part, "id").take(take), "th": column(part, "th").take(take), "a": a, "b": b, "p": p, "gram": gram, "span": span}
 
-    return map_text(keyed, ["id", "th"], f"id {kind}, th bigint, a int, b int, p int, gram bigint, span bigint", rows)
+    return map_text(keyed, ["id", "th"], f"id {kind}, th bigint, a int, b int, p int, gram bigint, span bigint", rows, limit=SLICE)
 
 
 def _spans_of(keyed: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
     """wanted(id, th, a, b, p, gram, lone, hot) with the bytes of each run, read from one row of its text."""
     lists = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b", "p", "gram", "lone", "hot")).alias("runs"))
-    near = keyed.where(membership(wanted.select(_row_hash()))(_row_hash()))
+    near = keyed.where(Members(wanted.select(_row_hash())).column(_row_hash()))
     found = near.withColumnsRenamed({"id": "t_id", "th": "t_th"}).join(lists, F.expr("id <=> t_id") & (F.col("th") == F.col("t_th"))).select("id", "th", "text", "runs").dropDuplicates(["id", "th"])
 
     def rows(part: pa.RecordBatch) -> dict:
@@ -195,29 +201,59 @@ def _flat(chunked: pa.ChunkedArray) -> pa.Array:
     return chunked.combine_chunks() if isinstance(chunked, pa.ChunkedArray) else chunked
 
 
+def _cells_of(spans: DataFrame, kind: str) -> DataFrame:
+    """The cells of runs in large buckets: starts s .. s + n - 1, the names of their core and of all their bytes, and these bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("pick", "s", "n", "core", "whole", "body")}
+            a, b, p = (column(batch, c).to_pylist() for c in ("a", "b", "p"))
+            for i, body in enumerate(column(batch, "body").to_pylist()):
+                sums = prefix_sums(np.frombuffer(body, np.uint8))
+                for cell in range((p[i] - b[i]) // CELL, (p[i] - a[i]) // CELL + 1):
+                    first, last = max(a[i], p[i] - CELL * cell - CELL + 1), min(b[i], p[i] - CELL * cell)
+                    core = p[i] - CELL * cell - a[i]
+                    names = span_hash(sums, np.array([core, first - a[i]]), np.array([core + LENGTH - CELL + 1, last - a[i] + LENGTH]))
+                    names = mix(names + np.array([cell, p[i] - first], dtype=np.uint64)).view(np.int64)
+                    for c, v in zip(out, (i, first, last - first + 1, int(names[0]), int(names[1]), body[first - a[i] : last - a[i] + LENGTH]), strict=True):
+                        out[c].append(v)
+            take = pa.array(out["pick"], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "id").take(take), column(batch, "th").take(take), column(batch, "lone").take(take), pa.array(out["s"], pa.int32()), pa.array(out["n"], pa.int32()), pa.array(out["core"], pa.int64()), pa.array(out["whole"], pa.int64()), pa.array(out["body"], pa.binary())],
+                names=["id", "th", "lone", "s", "n", "core", "whole", "body"],
+            )
+
+    return spans.where("hot").mapInArrow(run, f"id {kind}, th bigint, lone boolean, s int, n int, core bigint, whole bigint, body binary")
+
+
 def _counted(spans: DataFrame, kind: str) -> DataFrame:
-    """Intervals of repeats inside buckets too large to gather: each start named by a hash, and counted with partial sums."""
+    """Intervals of repeats inside buckets too large to gather, from counts of cells, then of the starts that cells leave open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (column(batch, c).to_numpy() for c in ("a", "b"))
-            bodies = column(batch, "body").to_pylist()
+            s, n = (column(batch, c).to_numpy() for c in ("s", "n"))
             names = []
-            for body in bodies:
+            for body in column(batch, "body").to_pylist():
                 data = np.frombuffer(body, np.uint8)
                 at = np.arange(len(data) - LENGTH + 1)
                 names.append(span_hash(prefix_sums(data), at, at + LENGTH).view(np.int64))
-            size = b - a + 1
-            owner, place = run_lengths(size)
+            owner, place = run_lengths(n)
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "id").take(take), column(batch, "th").take(take), column(batch, "lone").take(take), pa.array((a[owner] + place).astype(np.int32)), pa.array(np.concatenate(names) if names else np.zeros(0, np.int64))],
+                [column(batch, "id").take(take), column(batch, "th").take(take), column(batch, "lone").take(take), pa.array((s[owner] + place).astype(np.int32)), pa.array(np.concatenate(names) if names else np.zeros(0, np.int64))],
                 names=["id", "th", "lone", "s", "name"],
             )
 
-    starts = stored(spans.where("hot").mapInArrow(run, f"id {kind}, th bigint, lone boolean, s int, name bigint"), "starts")
-    often = starts.groupBy("name").count().where("count > 1").select("name")
-    return starts.where("lone").join(often, "name", "left_semi").select("id", "th", "s", (F.col("s") + LENGTH).alias("e"))
+    cells = stored(_cells_of(spans, kind), "cells")
+    often = lambda df, c: df.groupBy(c).count().where("count > 1").select(c)
+    live = stored(cells.join(often(cells, "core"), "core", "left_semi"), "live")
+    whole = stored(often(live, "whole"), "whole")
+    settled = live.where("lone").join(whole, "whole", "left_semi").select("id", "th", "s", (F.col("s") + F.col("n") - 1 + LENGTH).alias("e"))
+    stand = live.join(whole, "whole", "left_semi").groupBy("whole").agg(F.min_by(F.struct("id", "th", "s", "n", "body"), F.struct("id", "th", "s")).alias("r"))
+    open_cells = live.join(whole, "whole", "left_anti").select("id", "th", "lone", "s", "n", "body").unionByName(stand.select("r.id", "r.th", F.lit(False).alias("lone"), "r.s", "r.n", "r.body"))
+    starts = stored(open_cells.mapInArrow(run, f"id {kind}, th bigint, lone boolean, s int, name bigint"), "starts")
+    single = starts.where("lone").join(often(starts, "name"), "name", "left_semi").select("id", "th", "s", (F.col("s") + LENGTH).alias("e"))
+    return settled.unionByName(single)
 
 
 def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -258,8 +294,8 @@ def removed(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     keyed = _keyed(docs, id_col, text)
     kind = docs.schema[id_col].dataType.simpleString()
     lists = stored(repeats(docs, text, id_col).groupBy("id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "intervals")
-    among = membership(lists.select(_row_hash()))
-    plain = keyed.withColumn("near", among(_row_hash()))
+    among = Members(lists.select(_row_hash()))
+    hashed = keyed.withColumn("row", _row_hash())
 
     def digest(part: pa.RecordBatch) -> dict:
         data, offsets = byte_view(part, "text")
@@ -271,9 +307,13 @@ def removed(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
             out["kept_sha256"].append(hashlib.sha256(_kept(data[offsets[i] : offsets[i + 1]].tobytes(), spans)).hexdigest())
         return out
 
+    def digest_others(part: pa.RecordBatch) -> dict:
+        return digest(part.filter(pa.array(~among.has(np.asarray(column(part, "row"))))))
+
     schema = f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     none = F.lit(None).cast("array<struct<s:int,e:int>>").alias("spans")
-    untouched = plain.where(~F.col("near")).select("id", "text", none)
+    untouched = hashed.select("id", "row", "text", none)
     mine = lists.withColumnsRenamed({"id": "l_id", "th": "l_th"})
-    touched = plain.where("near").join(mine, F.expr("id <=> l_id") & (F.col("th") == F.col("l_th")), "left").select("id", "text", "spans")
-    return map_text(untouched, ["id", "spans"], schema, digest).unionByName(map_text(touched, ["id", "spans"], schema, digest))
+    near = hashed.where(among.column(F.col("row")))
+    touched = near.join(mine, F.expr("id <=> l_id") & (F.col("th") == F.col("l_th")), "left").select("id", "text", "spans")
+    return map_text(untouched, ["id", "row", "spans"], schema, digest_others).unionByName(map_text(touched, ["id", "spans"], schema, digest))

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Partial sketches that one task sums at once, and cells in a piece.
@@ -48,21 +48,30 @@ def counted(frame: DataFrame, cells: int, values: Callable[[pa.RecordBatch], Ite
     return out
 
 
-def membership(values: DataFrame, cells: int = 1 << 22) -> Callable:
-    """A column function that is true for every 64-bit number in values' only column, and for few others while these are few.
+class Members:
+    """Answers, for 64-bit numbers, whether they are among those of values' only column: always yes for these, seldom for others while these are few.
 
     The broadcast bits (cells / 8 bytes) do not grow with the data; beyond their capacity more numbers pass, none is lost.
     """
 
-    def mark(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield (np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+    def __init__(self, values: DataFrame, cells: int = 1 << 22) -> None:
+        self.shift = 64 - cells.bit_length() + 1
 
-    bits = np.packbits(counted(values, cells, mark) > 0)
-    shared = values.sparkSession.sparkContext.broadcast(bits)
+        def mark(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            yield (np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(shift)).astype(np.int64)
 
-    @F.pandas_udf("boolean")
-    def among(x: pd.Series) -> pd.Series:
-        cell = (x.to_numpy().view(np.uint64) >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
-        return pd.Series((shared.value[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool))
+        shift = self.shift
+        self.bits = values.sparkSession.sparkContext.broadcast(np.packbits(counted(values, cells, mark) > 0))
 
-    return among
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        cell = (numbers.view(np.uint64) >> np.uint64(self.shift)).astype(np.int64)
+        return (self.bits.value[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
+
+    def column(self, number: Column) -> Column:
+        has = self.has
+
+        @F.pandas_udf("boolean")
+        def among(x: pd.Series) -> pd.Series:
+            return pd.Series(has(x.to_numpy()))
+
+        return among(number)
