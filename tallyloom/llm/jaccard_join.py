@@ -7,8 +7,10 @@ sketch over all documents, then by hash. The size up to which sets are small is
 
 Equal sets (known by two 64-bit sums of scrambled hashes, and their size) form one class and join as one node. Lists are then linked
 without writing all pairs of a list: each member is tried against its list's first node, and members that are by then in different
-components are compared, component by component, until every list holds only pairs that were tried or are already linked. Every pair
-tried is decided on whole sets.
+components are compared, component by component, until every list holds only pairs that were tried or are already linked. A pair is
+first held against its sets' parity bits: each shingle of only one set flips one bit, so more differing bits than the threshold
+allows differing shingles rule the pair out for certain. Every pair that is left is decided on whole sets, which are read again for
+such documents only.
 
 Edge cases: null or empty text, and text without words, has no set: it is its own component. Fewer words than a shingle holds make
 one shingle of the whole sequence. Repeated rows of an id come out once each with the same component. Ids may be of any type with order.
@@ -27,11 +29,13 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.arrow_text import byte_view, column, lowered, map_text, mix, run_lengths, slices, window_hashes, word_hashes, words
 from tallyloom.llm.components import components
-from tallyloom.llm.sketches import counted
+from tallyloom.llm.sketches import Members, counted
 from tallyloom.session import cut, stored
 
 #: Cells of the sketch that orders shingles, and of the one that names sets to fetch.
-ORDER_CELLS, FETCH_CELLS = 1 << 20, 1 << 22
+ORDER_CELLS, FETCH_CELLS = 1 << 22, 1 << 22
+#: Parity words (64 bits each) of a set: by its size, up to the given one.
+PARITY = ((150, 4), (400, 8), (1 << 62, 16))
 #: Sizes among which the boundary is chosen.
 LARGEST_SMALL = 40
 #: Rounds of component-to-component trials before the rest is compared exhaustively.
@@ -134,6 +138,20 @@ def _names(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return _signed(_sum_groups(mix(values + np.uint64(1)), bounds)), _signed(_sum_groups(mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), bounds))
 
 
+def _parities(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """The parity words of each set; a set of twice as many words folds onto one of half as many by exclusive or."""
+    sizes = np.diff(bounds)
+    longs = np.zeros(len(sizes), dtype=np.int64)
+    for limit, count in reversed(PARITY):
+        longs[sizes <= limit] = count
+    first = np.concatenate(([0], np.cumsum(longs)))
+    owner, _ = run_lengths(sizes)
+    bit = (values & (longs[owner].astype(np.uint64) * np.uint64(64) - np.uint64(1))).astype(np.int64)
+    odd = (np.bincount(first[:-1][owner] * 64 + bit, minlength=int(first[-1]) * 64) & 1).astype(np.uint8)
+    packed = np.packbits(odd, bitorder="little").view(np.int64)
+    return [packed[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
 def _sketch(docs: DataFrame, width: int, text: str) -> tuple[np.ndarray, np.ndarray]:
     """How often each cell's shingles occur over all documents, and how many documents have each small set size."""
 
@@ -169,9 +187,9 @@ def _indexed(docs: DataFrame, id_col: str, text: str, width: int, t: Threshold,
         for i in np.flatnonzero((n > 0) & (n <= small)):
             more = subset_keys(values[bounds[i] : bounds[i + 1]], t.subset_sizes(int(n[i]), small))
             out[i] = np.concatenate([out[i], _signed(np.array(more, dtype=np.uint64))]) if more else out[i]
-        return {"id": column(part, id_col), "n": n, "f1": f1, "f2": f2, "keys": out}
+        return {"id": column(part, id_col), "n": n, "f1": f1, "f2": f2, "keys": out, "parity": _parities(values, bounds)}
 
-    return map_text(docs, [id_col], f"id {kind}, n bigint, f1 bigint, f2 bigint, keys array<bigint>", rows, text)
+    return map_text(docs, [id_col], f"id {kind}, n bigint, f1 bigint, f2 bigint, keys array<bigint>, parity array<bigint>", rows, text)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
@@ -196,23 +214,73 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: int
     return wanted.join(found, (F.col("f1") == F.col("s_f1")) & (F.col("f2") == F.col("s_f2")) & F.expr("id <=> s_id")).select("node", "items").dropDuplicates(["node"])
 
 
-def _tried(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """pairs(a, b) with linked: whether whole sets reach the threshold."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
-    both = F.size(F.array_intersect("a_items", "b_items"))
-    union = F.size("a_items") + F.size("b_items") - both
-    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", (t.den * both >= t.num * union).alias("linked")), "tried")
+class _Trials:
+    """Pairs that were tried, and the sets read for them."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, t: Threshold, id_col: str, text: str, width: int) -> None:
+        self.docs, self.nodes, self.t, self.how = docs, nodes, t, (id_col, text, width)
+        self.sets: DataFrame | None = None
+        self.pairs: DataFrame | None = None
+
+    def add(self, pairs: DataFrame) -> bool:
+        """Try those of pairs(a, b) that were not tried before; whether any of them is linked."""
+        pairs = stored(pairs.distinct() if self.pairs is None else pairs.distinct().join(self.pairs, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            return False
+        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if self.sets is not None:
+            need = need.join(self.sets, "node", "left_anti")
+        need = stored(self.nodes.join(need, "node", "left_semi").select("node", "id", "f1", "f2"), "need")
+        if not need.isEmpty():
+            more = stored(_sets(self.docs, need, *self.how), "sets")
+            self.sets = more if self.sets is None else self.sets.union(more)
+        left = self.sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
+        right = self.sets.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
+        both = F.size(F.array_intersect("a_items", "b_items"))
+        union = F.size("a_items") + F.size("b_items") - both
+        fresh = stored(pairs.join(left, "a").join(right, "b").select("a", "b", (self.t.den * both >= self.t.num * union).alias("linked")), "tried")
+        self.pairs = fresh if self.pairs is None else self.pairs.union(fresh)
+        return not fresh.where("linked").isEmpty()
+
+    def links(self) -> DataFrame:
+        if self.pairs is None:
+            return self.nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        return self.pairs.where("linked").select("a", "b")
 
 
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _may_link(t: Threshold, n: Column, m: Column, x: Column, y: Column) -> Column:
+    """False only where sizes n, m and parity words x, y rule the threshold out."""
+    half = lambda z, k: F.when(F.size(z) > k, F.zip_with(F.slice(z, F.lit(1), k), F.slice(z, k + 1, k), lambda u, v: u.bitwiseXOR(v))).otherwise(z)
+    k = F.least(F.size(x), F.size(y))
+    differ = F.aggregate(F.zip_with(half(x, k), half(y, k), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
+    least = F.ceil(t.num * (n + m) / (t.num + t.den))
+    return (t.num * F.greatest(n, m) <= t.den * F.least(n, m)) & (differ <= n + m - 2 * least)
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, t: Threshold) -> DataFrame:
+    """Those of pairs(a, b) that sizes and parities don't rule out."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("parity").alias("a_parity"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("parity").alias("b_parity"))
+    both = pairs.distinct().join(left, "a").join(right, "b")
+    return both.where(_may_link(t, F.col("a_n"), F.col("b_n"), F.col("a_parity"), F.col("b_parity"))).select("a", "b")
+
+
 def _close(t: Threshold, a: str, b: str) -> Column:
     return t.num * F.greatest(a, b) <= t.den * F.least(a, b)
 
 
+def _by_size(lists: DataFrame, t: Threshold) -> DataFrame:
+    """Each list cut by size. Sizes that can reach the threshold lie in one step of a geometric scale or in two that touch; a member
+    stands at home in the list of its step, and as a guest in the next one's, so that any such two meet once with one of them at home."""
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(t.den / t.num)) + F.lit(1e-9))
+    both = F.array(F.struct(F.xxhash64("key", step).alias("key"), F.lit(True).alias("home")), F.struct(F.xxhash64("key", step + 1).alias("key"), F.lit(False).alias("home")))
+    return lists.select("node", "n", F.explode(both).alias("b")).select("b.key", "node", "n", "b.home").repartition("key")
+
+
 def _stands(placed: DataFrame, t: Threshold) -> DataFrame:
     """Pairs of one member of each component of a list with one of the list's first component: a row for each component, not for each pair."""
     stand = placed.groupBy("key", "part", "low").agg(F.min(F.struct("n", "node")).alias("least"), F.max(F.struct("n", "node")).alias("most"))
@@ -222,12 +290,14 @@ def _stands(placed: DataFrame, t: Threshold) -> DataFrame:
     return found.select(F.col("p.x.node").alias("u"), F.col("p.y.node").alias("v")).select(*_ordered("u", "v"))
 
 
-def _across(placed: DataFrame, t: Threshold) -> DataFrame:
-    """All pairs of near size whose members stand in one list but in different components."""
-    parts = placed.select("key", F.col("part").alias("other")).distinct()
-    across = placed.join(parts, "key").where("part < other").select("key", "node", "n", "other")
-    others = placed.select("key", F.col("part").alias("other"), F.col("node").alias("o_node"), F.col("n").alias("o_n"))
-    return across.join(others, ["key", "other"]).where(_close(t, "n", "o_n")).select(*_ordered("node", "o_node"))
+def _across(placed: DataFrame, nodes: DataFrame, t: Threshold) -> DataFrame:
+    """All pairs whose members stand in one list but in different components, and that may be linked."""
+    full = placed.select("key", "node", "part", "home").join(nodes.select("node", "n", "parity"), "node")
+    parts = placed.groupBy("key", F.col("part").alias("other")).agg(F.max("home").alias("homes"))
+    across = full.join(parts, "key").where((F.col("part") < F.col("other")) & (F.col("home") | F.col("homes"))).select("key", "node", "n", "parity", "home", "other")
+    others = full.select("key", F.col("part").alias("other"), F.col("node").alias("o_node"), F.col("n").alias("o_n"), F.col("parity").alias("o_parity"), F.col("home").alias("o_home"))
+    may = (F.col("home") | F.col("o_home")) & _may_link(t, F.col("n"), F.col("o_n"), F.col("parity"), F.col("o_parity"))
+    return across.join(others, ["key", "other"]).where(may).select(*_ordered("node", "o_node"))
 
 
 def joined(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -240,38 +310,39 @@ def joined(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, text:
     classes = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    own = rows.select(F.col("id").alias("r_id"), F.col("f1").alias("r_f1"), F.col("f2").alias("r_f2"), F.col("n").alias("r_n"), "keys")
+    own = rows.select(F.col("id").alias("r_id"), F.col("f1").alias("r_f1"), F.col("f2").alias("r_f2"), F.col("n").alias("r_n"), "keys", "parity")
     same = (F.col("f1") == F.col("r_f1")) & (F.col("f2") == F.col("r_f2")) & (F.col("n") == F.col("r_n"))
-    lists = classes.join(own, same & (F.col("id") == F.col("r_id"))).select("node", "n", F.explode("keys").alias("key"))
-    heads = lists.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail")
-    lists = stored(lists.join(heads.select("key", "head"), "key").distinct(), "lists")
-
-    nodes = lists.select("node").distinct()
-    sets = stored(_sets(docs, classes.join(nodes, "node", "left_semi").select("node", "id", "f1", "f2"), id_col, text, width), "sets")
-    sizes = lists.select(F.col("node").alias("head"), F.col("n").alias("head_n")).distinct()
-    pairs = lists.where("node <> head").select("node", "n", "head").distinct().join(sizes, "head").where(_close(t, "n", "head_n")).select(*_ordered("node", "head"))
-    tried = _tried(pairs, sets, t)
-    labels = components(tried.where("linked").select("a", "b"))
+    nodes = stored(classes.join(own, same & (F.col("id") == F.col("r_id"))).select("node", "id", "f1", "f2", "n", "parity", "keys"), "nodes")
+    # One exchange by key serves both the heads and the lists.
+    lists = nodes.select("node", "n", F.explode("keys").alias("key")).repartition("key")
+    heads = lists.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("key", "head")
+    lists = _by_size(lists.join(heads, "key").select("key", "node", "n"), t)
+    heads = lists.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail"), F.max("home").alias("homes")).where("head < tail and homes").select("key", "head")
+    lists = stored(lists.join(heads, "key"), "lists")
+    nodes = nodes.drop("keys")
+
+    trials = _Trials(docs, nodes, t, id_col, text, width)
+    trials.add(_possible(lists.where("node <> head").select(*_ordered("node", "head")), nodes, t))
+    labels = components(trials.links())
     rounds, gained = ROUNDS, True
     while True:
-        placed = lists.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("part"))
+        placed = lists.join(labels, "node", "left").select("key", "node", "n", "home", F.coalesce("label", "node").alias("part"))
         mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key", "low")
         placed = cut(placed.join(mixed, "key"))
         if placed.isEmpty():
             break
         last = not (rounds and gained)
-        fresh = _tried((_across(placed, t) if last else _stands(placed, t)).distinct().join(tried, ["a", "b"], "left_anti"), sets, t)
-        gained = not fresh.where("linked").isEmpty()
-        tried, rounds = tried.union(fresh), rounds - 1
+        gained = trials.add(_across(placed, nodes, t) if last else _possible(_stands(placed, t), nodes, t))
+        rounds -= 1
         if gained:
-            labels = components(tried.where("linked").select("a", "b"))
+            labels = components(trials.links())
         if last:
             break
 
     place = classes.join(labels, "node", "left").select("n", "f1", "f2", "id", F.coalesce("label", "node").alias("part"))
     lowest = place.groupBy("part").agg(F.min("id").alias("component_id"))
     named = place.join(lowest, "part").select(F.col("n").alias("r_n"), F.col("f1").alias("r_f1"), F.col("f2").alias("r_f2"), "component_id")
-    return rows.drop("keys").join(named, same, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return rows.select("id", "n", "f1", "f2").join(named, same, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -282,7 +353,12 @@ def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wid
     found = stored(joined(docs, width, num, den, text, id_col), "joined")
     lost = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__lost")).distinct()
     again = found.where((F.col(id_col) == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__again"))
-    left = docs.join(lost, F.col(id_col) == F.col("__lost"), "left_anti")
+    lost = stored(lost, "lost")
+    # Only rows whose id a sketch of fixed size takes for a lost one are moved to be compared.
+    among = Members(lost.select(F.xxhash64("__lost")))
+    marked = docs.withColumn("__near", F.coalesce(among.column(F.xxhash64(id_col)), F.lit(False)))
+    near = marked.where("__near").drop("__near").join(lost, F.col(id_col) == F.col("__lost"), "left_anti")
+    left = marked.where("not __near").drop("__near").unionByName(near)
     if again.isEmpty():
         return left
     # Ids that repeat are the exception: only their rows are compared with each other.
