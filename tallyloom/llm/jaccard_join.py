@@ -35,9 +35,11 @@ from tallyloom.session import cut, stored
 #: Cells of the sketch that orders shingles, and of the one that names sets to fetch.
 ORDER_CELLS, FETCH_CELLS = 1 << 22, 1 << 22
 #: Parity words (64 bits each) of a set: by its size, up to the given one.
-PARITY = ((150, 4), (400, 8), (1 << 62, 16))
+PARITY = ((100, 4), (200, 8), (1 << 62, 16))
 #: Sizes among which the boundary is chosen.
 LARGEST_SMALL = 40
+#: Members of one component in a list from which they are kept from meeting each other.
+LARGE_PART = 64
 #: Rounds of component-to-component trials before the rest is compared exhaustively.
 ROUNDS = 3
 
@@ -291,13 +293,26 @@ def _stands(placed: DataFrame, t: Threshold) -> DataFrame:
 
 
 def _across(placed: DataFrame, nodes: DataFrame, t: Threshold) -> DataFrame:
-    """All pairs whose members stand in one list but in different components, and that may be linked."""
+    """All pairs whose members stand in one list but in different components, and that may be linked.
+
+    A component with many members in a list meets the other members by an equality of (list, component), so that its own members never
+    meet each other; the members of small components of a list meet directly.
+    """
+    size = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("members"))
+    large = size.where(F.col("members") >= LARGE_PART).select("key", F.col("part").alias("other"))
     full = placed.select("key", "node", "part", "home").join(nodes.select("node", "n", "parity"), "node")
-    parts = placed.groupBy("key", F.col("part").alias("other")).agg(F.max("home").alias("homes"))
-    across = full.join(parts, "key").where((F.col("part") < F.col("other")) & (F.col("home") | F.col("homes"))).select("key", "node", "n", "parity", "home", "other")
-    others = full.select("key", F.col("part").alias("other"), F.col("node").alias("o_node"), F.col("n").alias("o_n"), F.col("parity").alias("o_parity"), F.col("home").alias("o_home"))
+    renamed = {"node": "o_node", "n": "o_n", "parity": "o_parity", "home": "o_home"}
     may = (F.col("home") | F.col("o_home")) & _may_link(t, F.col("n"), F.col("o_n"), F.col("parity"), F.col("o_parity"))
-    return across.join(others, ["key", "other"]).where(may).select(*_ordered("node", "o_node"))
+
+    alone = full.join(large.withColumnRenamed("other", "part"), ["key", "part"], "left_anti")
+    direct = alone.join(alone.withColumnsRenamed(renamed | {"part": "o_part"}), "key").where((F.col("part") < F.col("o_part")) & may)
+
+    many = full.join(large.withColumnRenamed("other", "part"), ["key", "part"], "left_semi").withColumnsRenamed(renamed | {"part": "other"})
+    is_large = large.withColumnsRenamed({"other": "part"}).withColumn("large", F.lit(True))
+    seeks = full.join(is_large, ["key", "part"], "left").join(large, "key")
+    seeks = seeks.where((F.col("part") != F.col("other")) & (F.col("large").isNull() | (F.col("part") < F.col("other"))))
+    by_part = seeks.join(many, ["key", "other"]).where(may)
+    return direct.select(*_ordered("node", "o_node")).union(by_part.select(*_ordered("node", "o_node"))).distinct()
 
 
 def joined(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -312,14 +327,14 @@ def joined(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, text:
 
     own = rows.select(F.col("id").alias("r_id"), F.col("f1").alias("r_f1"), F.col("f2").alias("r_f2"), F.col("n").alias("r_n"), "keys", "parity")
     same = (F.col("f1") == F.col("r_f1")) & (F.col("f2") == F.col("r_f2")) & (F.col("n") == F.col("r_n"))
-    nodes = stored(classes.join(own, same & (F.col("id") == F.col("r_id"))).select("node", "id", "f1", "f2", "n", "parity", "keys"), "nodes")
+    whole = classes.join(own, same & (F.col("id") == F.col("r_id")))
+    nodes = stored(whole.select("node", "id", "f1", "f2", "n", "parity").dropDuplicates(["node"]), "nodes")
     # One exchange by key serves both the heads and the lists.
-    lists = nodes.select("node", "n", F.explode("keys").alias("key")).repartition("key")
+    lists = whole.select("node", "n", F.explode("keys").alias("key")).repartition("key")
     heads = lists.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("key", "head")
     lists = _by_size(lists.join(heads, "key").select("key", "node", "n"), t)
     heads = lists.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail"), F.max("home").alias("homes")).where("head < tail and homes").select("key", "head")
     lists = stored(lists.join(heads, "key"), "lists")
-    nodes = nodes.drop("keys")
 
     trials = _Trials(docs, nodes, t, id_col, text, width)
     trials.add(_possible(lists.where("node <> head").select(*_ordered("node", "head")), nodes, t))

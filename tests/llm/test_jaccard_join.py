@@ -52,7 +52,8 @@ def rows_of(seed):
     return rows
 
 
-def test_components_equal_brute_force(spark):
+def test_components_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(J, "LARGE_PART", 2)
     for seed, width, num, den in ((1, 3, 90, 100), (2, 5, 8, 10)):
         rows = rows_of(seed)
         frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as key", "3 as node").repartition(5)
