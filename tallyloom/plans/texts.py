@@ -132,7 +132,7 @@ def p10_strip_html(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     r"""WITH m AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(?:skip to |share|menu|home|search|login|sign in|cookie)')) AS l FROM documents)
-SELECT doc_id, l[1] AS first_line FROM m"""
+SELECT doc_id, CASE WHEN length(l[1]) > 8000 THEN substr(l[1], 1, 8000) || '…' ELSE l[1] END AS first_line FROM m"""
 )
 def p9_first_line(spark: SparkSession, d: str) -> DataFrame:
     """The first line of a cleaned body."""
