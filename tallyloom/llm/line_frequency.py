@@ -2,8 +2,10 @@
 too little is left is rejected. Word figures of the whole text add a plain rule.
 
 A line counts where it holds a word; it is compared in normal form (lower case, digits as one sign, white space collapsed).
-Frequency is the number of distinct texts of the host that hold the line: exact copies of a document count once. Partial counts are
-made before each shuffle, so a line that a third of all rows holds is summed, not gathered.
+Frequency is the number of documents of the host that hold the line: distinct ids (a document without an id is told by its text),
+or, where by_id is false, distinct texts, so that exact copies count once. A line is common above a fixed number of them, whatever the
+host's size, or above a share of the host's, with a floor for small hosts. Partial counts are made before each shuffle, so a line
+that a third of all rows holds is summed, not gathered.
 
 Edge cases: null or empty text has no words and fails the plain rule; a null host is a host of its own; repeated rows of one id
 keep a row each; a document whose lines are all common is rejected.
@@ -24,8 +26,8 @@ from tallyloom.llm.arrow_text import byte_view, column, map_text, run_lengths, t
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: A line is common where more texts of its host hold it than this number, and than this share of the host's texts.
-LINE_LIMIT, LINE_SHARE = 50, 0.02
+#: A line is common where more documents of its host hold it than LINE_LIMIT, or than both LINE_FLOOR and LINE_SHARE of the host's documents.
+LINE_LIMIT, LINE_SHARE, LINE_FLOOR = 50, 0.02, 10
 #: A document is depleted where less than this share of its words is left.
 LEAST_LEFT = 0.3
 
@@ -103,23 +105,38 @@ def word_figures(docs: DataFrame, host: str = "source", text: str = "text", id_c
     return map_text(docs.withColumn(host, F.col(host).cast("string")), [id_col, host], schema, rows, text)
 
 
-def common_lines(figures: DataFrame, limit: int = LINE_LIMIT, share: float = LINE_SHARE) -> DataFrame:
-    """host, h, n: the lines that more than `limit` distinct texts and more than `share` of the host's texts hold."""
-    # One row for each distinct text of a host: exact copies count once (min over equal values keeps partial aggregation plain).
-    distinct = figures.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
-    hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n_texts"))
-    counts = distinct.select("host", F.explode("lines.h").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-    return counts.alias("c").join(hosts.alias("o"), F.expr("c.host <=> o.host")).where(F.col("n") > share * F.col("n_texts")).select("c.host", "h", "n")
+def common_lines(figures: DataFrame, limit: int = LINE_LIMIT, share: float = LINE_SHARE, floor: int = LINE_FLOOR, by: str = "text_hash") -> DataFrame:
+    """host, h, n: the lines that more than `limit` documents, or more than `floor` and `share` of the host's documents, hold.
+
+    Documents are distinct values of figures' column `by`; one that is null is told by its text.
+    """
+    document = F.struct(F.col(by), F.when(F.col(by).isNull(), F.col("text_hash")))
+    hosts = figures.groupBy("host").agg(F.count_distinct(document).alias("n_docs"))
+    lines = figures.select("host", document.alias("document"), F.explode("lines.h").alias("h"))
+    counts = lines.groupBy("host", "h").agg(F.count_distinct("document").alias("n")).where(F.col("n") > min(limit, floor))
+    common = (F.col("n") > limit) | ((F.col("n") > floor) & (F.col("n") > share * F.col("n_docs")))
+    return counts.alias("c").join(hosts.alias("o"), F.expr("c.host <=> o.host")).where(common).select("c.host", "h", "n")
 
 
 def line_verdicts(
-    docs: DataFrame, host: str = "source", text: str = "text", id_col: str = "doc_id", limit: int = LINE_LIMIT, share: float = LINE_SHARE, least_left: float = LEAST_LEFT
+    docs: DataFrame,
+    host: str = "source",
+    text: str = "text",
+    id_col: str = "doc_id",
+    limit: int = LINE_LIMIT,
+    share: float = LINE_SHARE,
+    least_left: float = LEAST_LEFT,
+    floor: int = LINE_FLOOR,
+    by_id: bool = False,
 ) -> DataFrame:
-    """For each row of docs: the figures, base_failed, n_common_lines, n_left_words, kept."""
+    """For each row of docs: the figures, base_failed, n_common_lines, n_left_words, kept.
+
+    by_id: a line's documents are counted by id, so that copies count; otherwise by text.
+    """
     from tallyloom.session import stored
 
     figures = stored(word_figures(docs, host, text, id_col).withColumn("row", F.monotonically_increasing_id()), "lines")
-    common = common_lines(figures, limit, share).select(F.col("host").alias("c_host"), F.col("h").alias("c_h"))
+    common = common_lines(figures, limit, share, floor, id_col if by_id else "text_hash").select(F.col("host").alias("c_host"), F.col("h").alias("c_h"))
     lines = figures.select("row", "host", F.inline("lines"))
     lost = (
         lines.join(common, F.expr("host <=> c_host") & (F.col("h") == F.col("c_h")))

@@ -91,10 +91,10 @@ def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word figures and verdict of every document."""
+    """Word figures and verdict of every document; a line's documents are distinct ids."""
     from tallyloom.llm.line_frequency import line_verdicts
 
-    return line_verdicts(table(spark, sf_dir, "documents"))
+    return line_verdicts(table(spark, sf_dir, "documents"), by_id=True)
 
 
 QUERIES: dict[str, Query] = {

@@ -46,3 +46,22 @@ def test_common_lines_are_counted_by_distinct_text_and_removed(spark):
     texts = {x.doc_id: x.text for x in L.without_common_lines(frame, limit=50, share=0.02).collect()}
     assert shared not in texts[0] and shared in texts[100] and len(texts) == len(rows)
     assert L.line_verdicts(frame.limit(0)).count() == 0
+
+
+def test_a_line_does_not_get_rarer_as_its_host_grows(spark):
+    r = random.Random(11)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    shared, small = prose(30), prose(30)
+    rows = [(i, "big", f"{prose(25)}\n{shared}" if i < 60 else prose(25)) for i in range(4000)] + [(9000 + i, "tiny", f"{prose(25)}\n{small}") for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {x.doc_id: x for x in L.line_verdicts(frame).collect()}
+    assert all(got[i].n_common_lines == (i < 60) for i in range(4000)) and all(got[9000 + i].n_common_lines == 1 for i in range(12))
+
+
+def test_copies_count_by_id_and_repeated_rows_do_not(spark):
+    copy, again, bare = ("one line that " + w + " two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen" for w in ("copies", "rows", "nulls"))
+    rows = [(i, "a", copy) for i in range(60)] + [(100, "a", again)] * 60 + [(None, "a", bare)] * 60 + [(1000 + i, "a", f"own{i}") for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {x.doc_id: x for x in L.line_verdicts(frame, by_id=True).collect()}
+    assert got[0].n_common_lines == 1 and not got[0].kept
+    assert got[100].n_common_lines == 0 and got[100].kept and got[None].n_common_lines == 0
