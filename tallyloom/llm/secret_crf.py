@@ -1,10 +1,12 @@
 """Secrets in texts: fixed rules, and a linear-chain conditional random field over secret-like tokens.
 
-Only a run of secret characters that holds a digit and has at least LEAST characters can be tagged begin (B) or inside (I); all
-other text is outside (O) by constraint. Decoding therefore splits, exactly, into the chains of such tokens between which only
-white space stands; Viterbi runs over each chain. Features are the token's shape, the words and signs around it, and figures of
-the whole text (the "file"). The field learns from tokens that the fixed rules mark in a bounded sample of documents, with
-features dropped at random, so that shape and context each carry weight; it adds spans that the rules miss.
+Every token of a text (a run of secret characters, or of characters beyond ASCII) stands in a chain, one chain a line, and may be
+tagged begin (B), inside (I) or outside (O). Features are the token's length and shape, the tokens and signs around it, and figures
+of the whole text (the "file"); scores are summed for whole batches. Decoding is exact: a token that no path of the best score can
+tag B or I, by a bound over its own and the next token's scores, is outside and splits its chain; Viterbi runs over what is left.
+The field learns from tokens that the fixed rules mark, whatever their length or signs, in a bounded sample of documents (windows
+with a mark, and weighted windows without), with features dropped at random, so that shape and context each carry weight; it adds
+spans that the rules miss.
 
 Edge cases: null or empty text has no spans; offsets are code points, ends exclusive; an added span that overlaps a rule's span is
 dropped; with no sample (an empty table) or no marked token the field tags nothing.
@@ -14,22 +16,21 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.arrow_text import byte_view, column, map_text
+from tallyloom.llm.arrow_text import byte_view, column, lowered, map_text, mix, prefix_sums, span_hash
 
 KINDS = ("assign", "access", "hex")
 ADDED = "field"
-#: Documents that the field is fitted on, at most about; chains used, at most; longest chain used in fitting.
-SAMPLE_DOCS, SAMPLE_CHAINS, LONGEST_CHAIN = 20_000, 40_000, 32
-LEAST = 8
+#: Documents that the field is fitted on, at most about; windows of chains used, at most; tokens of a window; one document in PLAIN gives a window without a mark.
+SAMPLE_DOCS, SAMPLE_CHAINS, WINDOW, PLAIN = 20_000, 40_000, 8, 4
 #: Hashed feature values, and features of a token.
-SIZE, SLOTS = 1 << 13, 16
+SIZE, SLOTS = 1 << 13, 18
 
 _ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
@@ -51,78 +52,115 @@ def rule_spans(data: bytes) -> list[tuple[str, int, int, int]]:
 
 
 def chains(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the secret-like tokens of all texts, and True where a chain begins."""
-    char = _CHAR[data]
+    """Starts and ends of the tokens of all texts, and True where a chain begins (a new text or line)."""
     n = len(data)
-    first, last = char.copy(), char.copy()
-    if n:
-        first[1:] &= ~char[:-1]
-        last[:-1] &= ~char[1:]
-        cuts = offsets[(offsets > 0) & (offsets < n)]
-        first[cuts] |= char[cuts]
-        last[cuts - 1] |= char[cuts - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
-    ok = (ends - starts >= LEAST) & (digits[ends] > digits[starts])
-    starts, ends = starts[ok], ends[ok]
+    kind = np.where(data >= 0x80, 2, _CHAR[data]).astype(np.int8)
+    edge = np.ones(n + 1, dtype=bool)
+    edge[1:n] = kind[1:] != kind[:-1]
+    edge[offsets] = True
+    starts, ends = np.flatnonzero(edge[:-1] & (kind > 0)), np.flatnonzero(edge[1:] & (kind > 0)) + 1
     opens = np.ones(len(starts), dtype=bool)
     if len(starts) > 1:
-        dark = np.concatenate(([0], np.cumsum((data > 0x20).astype(np.int64))))
-        same = np.searchsorted(offsets, starts[1:], side="right") == np.searchsorted(offsets, starts[:-1], side="right")
-        opens[1:] = ~(same & (dark[starts[1:]] == dark[ends[:-1]]))
+        lines = np.concatenate(([0], np.cumsum(data == 0x0A)))
+        owner = np.searchsorted(offsets, starts, side="right")
+        opens[1:] = (owner[1:] != owner[:-1]) | (lines[starts[1:]] > lines[ends[:-1]])
     return starts, ends, opens
 
 
-_WORD = re.compile(rb"[A-Za-z_][A-Za-z0-9_-]*")
-_SIGN = re.compile(rb"[^\sA-Za-z0-9]")
+def _bins(x: np.ndarray) -> np.ndarray:
+    return (np.log2(x + 1) * 2).astype(np.int64)
 
 
-def _bin(x: float) -> int:
-    return int(np.log2(x + 1) * 2)
+def _file_columns(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    size = np.diff(offsets) + 1
+    out = []
+    for signs in (b"\n", b"=:", b"{;"):
+        seen = np.concatenate(([0], np.cumsum(np.isin(data, np.frombuffer(signs, np.uint8)))))[offsets]
+        n = np.diff(seen)
+        out.append(_bins(n if signs == b"\n" else 1000 * n / size))
+    return out
 
 
-def file_features(data: bytes) -> list[str]:
-    n = len(data) + 1
-    return [
-        f"lines{_bin(data.count(b'\n'))}",
-        f"eq{_bin(1000 * (data.count(b'=') + data.count(b':')) / n)}",
-        f"braces{_bin(1000 * (data.count(b'{') + data.count(b';')) / n)}",
+def file_features(data: bytes) -> list[int]:
+    """Figures of a whole text."""
+    return [int(x[0]) for x in _file_columns(np.frombuffer(data, np.uint8), np.array([0, len(data)]))]
+
+
+_VOWEL = np.zeros(256, dtype=bool)
+_VOWEL[[ord(c) for c in "aeiouyAEIOUY"]] = True
+_HEXA = np.zeros(256, dtype=bool)
+_HEXA[[ord(c) for c in "0123456789abcdefABCDEF"]] = True
+#: 1 digit, 2 upper case, 3 lower case, 4 any other.
+_CLASS = np.full(256, 4, dtype=np.int8)
+_CLASS[0x30:0x3A], _CLASS[0x41:0x5B], _CLASS[0x61:0x7B] = 1, 2, 3
+_PLAIN_DIGIT = np.arange(256, dtype=np.int64)
+_PLAIN_DIGIT[0x30:0x3A] = 0x30
+
+
+def feature_columns(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, file: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Hashed feature values of all tokens, one column a slot."""
+    n, m = len(data), len(starts)
+    size = ends - starts
+    owner = np.searchsorted(offsets, starts, side="right") - 1
+    low, high = offsets[owner], offsets[owner + 1]
+    kind = _CLASS[data]
+
+    def held(mask: np.ndarray) -> np.ndarray:
+        sums = np.zeros(n + 1, dtype=np.int32)
+        np.cumsum(mask, out=sums[1:])
+        return sums[ends] - sums[starts]
+
+    def byte(at: np.ndarray) -> np.ndarray:
+        return np.where((at >= low) & (at < high), _PLAIN_DIGIT[data[np.clip(at, 0, max(n - 1, 0))]], 0)
+
+    change = np.zeros(n, dtype=bool)
+    change[1:] = kind[1:] != kind[:-1]
+    turns = held(change) - change[starts]
+    digits, upper, signs = held(kind == 1), held(kind == 2), held(kind == 4)
+    head = np.zeros(m, dtype=np.int64)
+    for k in range(4):
+        head = head * 256 + np.where(starts + k < ends, byte(starts + k), 0)
+    # a neighbour is named in lower case, without one closing sign
+    trim = ends - ((size > 1) & np.isin(data[ends - 1], np.frombuffer(b"=.-", np.uint8)))
+    names = span_hash(prefix_sums(lowered(data)), starts, trim).astype(np.int64)
+
+    def neighbour(k: int) -> np.ndarray:
+        at = np.arange(m) + k
+        ok = (at >= 0) & (at < m)
+        at = np.clip(at, 0, max(m - 1, 0))
+        return np.where(ok & (owner[at] == owner), names[at], 0)
+
+    around = byte(starts - 2) * 65536 + byte(starts - 1) * 256 + byte(ends)
+    columns = [
+        lambda: np.zeros(m, dtype=np.int64),
+        lambda: _bins(size),
+        lambda: 8 * digits // size,
+        lambda: 8 * upper // size,
+        lambda: 8 * signs // size,
+        lambda: _bins(turns),
+        lambda: 8 * held(_VOWEL[data]) // size,
+        lambda: (held(_HEXA[data]) == size) * 2 + (size >= 16),
+        lambda: head,
+        lambda: np.minimum(held(data == 0x2E), 9) * 2 + (held(data == 0x2D) > 0),
+        lambda: neighbour(-1),
+        lambda: neighbour(-2),
+        lambda: around,
+        *[lambda f=f: f[owner] for f in file],
+        lambda: neighbour(1),
+        lambda: (digits > 0) * 4 + (size >= 8) * 2 + (size >= 6),
     ]
+    for i, make in enumerate(columns):
+        value = make().astype(np.uint64) * np.uint64(64) + np.uint64(i)
+        yield (mix(value) % np.uint64(SIZE - 1)).astype(np.int16) + np.int16(1)
 
 
-def token_features(data: bytes, start: int, end: int, file: list[str]) -> list[int]:
-    """Hashed feature values of data[start:end] in its text; SLOTS of them."""
-    token = data[start:end]
-    size = end - start
-    shape = re.sub(rb"[a-z]+", b"a", re.sub(rb"[A-Z]+", b"A", re.sub(rb"[0-9]+", b"0", token)))
-    digits = sum(48 <= c < 58 for c in token)
-    upper = sum(65 <= c < 91 for c in token)
-    signs = sum(not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123) for c in token)
-    counts = np.bincount(np.frombuffer(token, np.uint8))
-    p = counts[counts > 0] / size
-    before, after = data[max(0, start - 48) : start], data[end : end + 24]
-    left = [w.lower().decode() for w in _WORD.findall(before)[-2:]]
-    sign = b"".join(_SIGN.findall(before[-4:])).decode("utf-8", "replace")
-    near = _WORD.search(after)
-    only_hex = not re.search(rb"[^0-9a-fA-F]", token)
-    said = [
-        "bias",
-        f"size{_bin(size)}",
-        f"digits{int(8 * digits / size)}",
-        f"upper{int(8 * upper / size)}",
-        f"signs{int(8 * signs / size)}",
-        f"turns{_bin(len(shape))}",
-        f"spread{int(2 * float(-(p * np.log2(p)).sum()))}",
-        f"hex{only_hex}{size >= 16}",
-        f"head{re.sub(rb'[0-9]', b'0', token[:4]).decode()}",
-        f"dots{token.count(b'.')}{token.count(b'-') > 0}",
-        f"w1{left[-1] if left else ''}",
-        f"w2{left[0] if len(left) > 1 else ''}",
-        f"sign{sign}|{after[:1].decode('latin-1') if after[:1] < b'\x80' else '?'}",
-        *file,
-        f"next{near[0].lower().decode() if near else ''}",
-    ]
-    return [zlib.crc32(f"{i}{s}".encode()) % (SIZE - 1) + 1 for i, s in enumerate(said[:SLOTS])]
+def token_features(data: bytes, start: int, end: int, file: list[int]) -> list[int]:
+    """Hashed feature values of the token data[start:end] in its text; SLOTS of them."""
+    body = np.frombuffer(data, np.uint8)
+    offsets = np.array([0, len(body)])
+    starts, ends, _ = chains(body, offsets)
+    at = int(np.searchsorted(starts, start))
+    return [int(x[at]) for x in feature_columns(body, offsets, starts, ends, [np.array([f]) for f in file])]
 
 
 #: Tags: 0 outside, 1 begin, 2 inside. Outside can't be followed by inside, nor can a chain open with it.
@@ -144,21 +182,21 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(groups: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80, rate: float = 0.5, decay: float = 1e-4, drop: float = 0.3, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def fit(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int = 80, rate: float = 0.5, decay: float = 1e-4, drop: float = 0.3, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Weights (SIZE x 3) and moves (3 x 3) that maximise the likelihood of the tags; each group holds chains of one length.
 
-    groups: (features n x length x SLOTS, tags n x length). Gradients are exact (forward and backward sums), steps are AdaGrad's.
+    groups: (features n x length x SLOTS, tags n x length, weights n). Gradients are exact (forward and backward sums), steps are AdaGrad's.
     """
     rng = np.random.default_rng(seed)
     w, moves = np.zeros((SIZE, 3)), np.zeros((3, 3))
-    gw, gm = np.full_like(w, 1e-8), np.full_like(moves, 1e-8)
-    total = sum(x.shape[0] for x, _ in groups)
+    gw, gm = np.full_like(w, 1e-12), np.full_like(moves, 1e-12)
+    total, number = sum(float(k.sum()) for _, _, k in groups), sum(len(k) for _, _, k in groups)
     if not total:
         w[:, 1:] = _BARRED
         return w, moves
     for _ in range(rounds):
         dw, dm = np.zeros_like(w), np.zeros_like(moves)
-        for x, y in groups:
+        for x, y, weight in groups:
             n, length, _ = x.shape
             x = np.where(rng.random(x.shape) < drop, 0, x)
             score = w[x].sum(axis=2) * (x > 0).any(axis=2, keepdims=True)
@@ -172,17 +210,17 @@ def fit(groups: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80, rate: flo
                 back[:, t] = _logsum(step[None] + (score[:, t + 1] + back[:, t + 1])[:, None, :], 2)
             z = _logsum(ahead[:, -1], 1)
             p = np.exp(ahead + back - z[:, None, None])
-            err = np.eye(3)[y] - p
+            err = (np.eye(3)[y] - p) * weight[:, None, None]
             flat = x.reshape(-1)
             each = np.repeat(err.reshape(-1, 3), SLOTS, axis=0)
             for k in range(3):
                 dw[:, k] += np.bincount(flat, each[:, k], minlength=SIZE)
             for t in range(1, length):
                 pair = np.exp(ahead[:, t - 1, :, None] + step[None] + (score[:, t] + back[:, t])[:, None, :] - z[:, None, None])
-                dm -= pair.sum(axis=0)
-                np.add.at(dm, (y[:, t - 1], y[:, t]), 1.0)
+                dm -= (pair * weight[:, None, None]).sum(axis=0)
+                np.add.at(dm, (y[:, t - 1], y[:, t]), weight)
         dw[0] = 0
-        dw, dm = dw / total - decay * w, dm / total - decay * moves
+        dw, dm = dw / total - decay * number / total * w, dm / total - decay * number / total * moves
         gw += dw**2
         gm += dm**2
         w += rate * dw / np.sqrt(gw)
@@ -204,59 +242,134 @@ def viterbi(score: np.ndarray, moves: np.ndarray) -> list[int]:
     return tags[::-1]
 
 
-def _chain_features(part: pa.RecordBatch, text: str):
-    """For each text: its bytes, rule spans, and chains as lists of (start, end, features), in bytes of the text."""
+def decoded(score: np.ndarray, opens: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The best tags of all chains (score: tokens x 3, opens: True where a chain begins)."""
+    n, step = len(score), _steps(moves)
+    tags = np.zeros(n, dtype=np.int8)
+    if not n:
+        return tags
+    # Tagging a token O instead changes two steps, and a third where a following I must become B.
+    swing = 3 * (moves.max() - moves.min())
+    follow = np.zeros(n)
+    follow[:-1] = np.where(opens[1:], 0, np.maximum(0, score[1:, 2] - score[1:, 1]))
+    open_ = np.flatnonzero(score[:, 1:].max(axis=1) - score[:, 0] + follow + swing >= 0)
+    if not len(open_):
+        return tags
+    cut = np.concatenate(([True], (np.diff(open_) > 1) | opens[open_[1:]]))
+    first = open_[cut]
+    size = np.diff(np.concatenate((np.flatnonzero(cut), [len(open_)])))
+    order = np.argsort(-size, kind="stable")
+    first, size = first[order], size[order]
+    best = np.where(opens[first][:, None], _start_scores(), step[0]) + score[first]
+    ends, came = np.zeros((len(first), 3)), []
+    after = first + size
+    goes_on = (after < n) & ~opens[np.minimum(after, n - 1)]
+    for t in range(1, int(size[0]) + 1):
+        live = int(np.searchsorted(-size, -t, side="right"))
+        done = np.flatnonzero(size[:live] == t)
+        ends[done] = best[done] + np.where(goes_on[done][:, None], step[:, 0], 0)
+        live = int(np.searchsorted(-size, -t, side="left"))
+        if not live:
+            break
+        ways = best[:live, :, None] + step
+        came.append(ways.argmax(axis=1).astype(np.int8))
+        best = ways.max(axis=1) + score[first[:live] + t]
+    tag = ends.argmax(axis=1)
+    for t in range(int(size[0]) - 1, -1, -1):
+        live = int(np.searchsorted(-size, -t, side="left"))
+        tags[first[:live] + t] = tag[:live]
+        if t:
+            tag[:live] = came[t - 1][np.arange(live), tag[:live]]
+    return tags
+
+
+def _marks(raw: bytes, offsets: np.ndarray) -> list[list[tuple[str, int, int, int]]]:
+    return [rule_spans(raw[int(a) : int(b)]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _found(part: pa.RecordBatch, text: str, model: tuple[np.ndarray, np.ndarray]):
+    """For each text: its bytes, rule spans, and the field's spans, in bytes of the text."""
+    w, moves = model
     data, offsets = byte_view(part, text)
     raw = data.tobytes()
     starts, ends, opens = chains(data, offsets)
-    at = np.searchsorted(starts, offsets)
-    for i in range(len(offsets) - 1):
+    score = np.zeros((len(starts), 3))
+    if len(starts):
+        for column_ in feature_columns(data, offsets, starts, ends, _file_columns(data, offsets)):
+            score += w[column_]
+    tags = decoded(score, opens, moves)
+    hits = np.flatnonzero(tags)
+    at = np.searchsorted(starts[hits], offsets)
+    for i, rules in enumerate(_marks(raw, offsets)):
         base = int(offsets[i])
-        body = raw[base : int(offsets[i + 1])]
-        found: list[list[tuple[int, int, list[int]]]] = []
-        if at[i] < at[i + 1]:
-            file = file_features(body)
-            for k in range(at[i], at[i + 1]):
-                s, e = int(starts[k]) - base, int(ends[k]) - base
-                if opens[k]:
-                    found.append([])
-                found[-1].append((s, e, token_features(body, s, e, file)))
-        yield body, rule_spans(body), found
+        spans: list[list[int]] = []
+        for k in hits[at[i] : at[i + 1]]:
+            if tags[k] == 1:
+                spans.append([int(starts[k]) - base, int(ends[k]) - base])
+            else:
+                spans[-1][1] = int(ends[k]) - base
+        yield raw[base : int(offsets[i + 1])], rules, spans
 
 
 def marked_chains(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row a chain: `x` (features, flat) and `y` (tags by the fixed rules)."""
+    """One row a window of a chain: `x` (features, flat), `y` (tags by the fixed rules) and `k` (its weight).
+
+    All windows with a mark; of those without one, by a hash of the text, one window of one text in PLAIN, which stands for all.
+    """
 
     def rows(part: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"x": [], "y": []}
-        for _, rules, found in _chain_features(part, text):
-            for chain in found:
-                if len(chain) > LONGEST_CHAIN:
-                    continue
-                tags = []
-                for s, e, _ in chain:
-                    hit = any(own < e and s < end for _, _, end, own in rules)
-                    tags.append((2 if tags and tags[-1] else 1) if hit else 0)
-                out["x"].append([v for _, _, f in chain for v in f])
-                out["y"].append(tags)
+        out: dict[str, list] = {"x": [], "y": [], "k": []}
+        data, offsets = byte_view(part, text)
+        raw = data.tobytes()
+        starts, ends, opens = chains(data, offsets)
+        if not len(starts):
+            return out
+        x = np.stack(list(feature_columns(data, offsets, starts, ends, _file_columns(data, offsets))), axis=1)
+        tags = np.zeros(len(starts), dtype=np.int64)
+        for base, rules in zip(offsets, _marks(raw, offsets), strict=False):
+            for _, _, end, own in rules:
+                a, b = np.searchsorted(ends, base + own, side="right"), np.searchsorted(starts, base + end)
+                tags[a:b] = 1
+        tags[1:][(tags[1:] > 0) & (tags[:-1] > 0) & ~opens[1:]] = 2
+        chain = np.cumsum(opens) - 1
+        place = np.arange(len(starts)) - np.flatnonzero(opens)[chain]
+        begins = np.flatnonzero(place % WINDOW == 0)
+        stops = np.append(begins[1:], len(starts))
+        marked = np.add.reduceat(tags > 0, begins) > 0
+        owner = np.searchsorted(offsets, starts[begins], side="right") - 1
+        weight = marked.astype(np.float64)
+        for i in range(len(offsets) - 1):
+            plain = np.flatnonzero((owner == i) & ~marked) if len(begins) else []
+            pick = int.from_bytes(hashlib.blake2b(raw[int(offsets[i]) : int(offsets[i + 1])], digest_size=8).digest(), "little")
+            if len(plain) and pick % PLAIN == 0:
+                weight[plain[pick // PLAIN % len(plain)]] = PLAIN * len(plain)
+        for k in np.flatnonzero(weight):
+            a, b = begins[k], stops[k]
+            own = tags[a:b].copy()
+            if own[0] == 2:
+                own[0] = 1
+            out["x"].append(x[a:b].reshape(-1).astype(np.int32))
+            out["y"].append(own)
+            out["k"].append(float(weight[k]))
         return out
 
-    return map_text(docs, [], "x array<int>, y array<int>", rows, text)
+    return map_text(docs, [], "x array<int>, y array<int>, k double", rows, text, 1 << 20)
 
 
 def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """Fit the field on chains of about `sample_docs` documents, chosen by the hash of their ids."""
+    """Fit the field on windows of about `sample_docs` documents, chosen by the hash of their ids."""
     share = max(1, docs.count() // sample_docs)
     some = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(share)) == 0)
     got = marked_chains(some, text).limit(SAMPLE_CHAINS).toArrow().to_pydict()
-    by_length: dict[int, tuple[list, list]] = {}
-    for x, y in sorted(zip(got["x"], got["y"], strict=True)):
-        xs, ys = by_length.setdefault(len(y), ([], []))
+    by_length: dict[int, tuple[list, list, list]] = {}
+    for x, y, k in sorted(zip(got["x"], got["y"], got["k"], strict=True)):
+        xs, ys, ks = by_length.setdefault(len(y), ([], [], []))
         xs.append(np.array(x).reshape(len(y), SLOTS))
         ys.append(y)
+        ks.append(k)
     if not any(any(y) for y in got["y"]):
         return fit([])
-    return fit([(np.stack(xs), np.array(ys)) for _, (xs, ys) in sorted(by_length.items())])
+    return fit([(np.stack(xs), np.array(ys), np.array(ks)) for _, (xs, ys, ks) in sorted(by_length.items())])
 
 
 def said(spans: list[tuple[str, int, int]]) -> str:
@@ -272,17 +385,8 @@ def secret_spans(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: st
     kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(part: pa.RecordBatch) -> dict:
-        w, moves = shared.value
         out = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_field")}
-        for body, rules, found in _chain_features(part, text):
-            added = []
-            for chain in found:
-                tags = viterbi(np.array([w[f].sum(axis=0) for _, _, f in chain]), moves)
-                for (s, e, _), tag in zip(chain, tags, strict=True):
-                    if tag == 1:
-                        added.append([s, e])
-                    elif tag == 2:
-                        added[-1][1] = e
+        for body, rules, added in _found(part, text, shared.value):
             added = [(ADDED, s, e) for s, e in added if not any(a < e and s < b for _, a, b, _ in rules)]
             base = [(k, a, b) for k, a, b, _ in rules]
             spans = sorted(base + added, key=lambda x: (x[1], [*KINDS, ADDED].index(x[0])))
@@ -307,14 +411,9 @@ def redacted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str =
     keep = [c for c in docs.columns if c != text]
 
     def rows(part: pa.RecordBatch) -> dict:
-        w, moves = shared.value
         out = []
-        for (body, rules, found), known in zip(_chain_features(part, text), column(part, text).is_valid().to_pylist(), strict=True):
-            cuts = [(a, b) for _, a, b, _ in rules]
-            for chain in found:
-                for (s, e, _), tag in zip(chain, viterbi(np.array([w[f].sum(axis=0) for _, _, f in chain]), moves), strict=True):
-                    if tag:
-                        cuts.append((s, e))
+        for (body, rules, found), known in zip(_found(part, text, shared.value), column(part, text).is_valid().to_pylist(), strict=True):
+            cuts = [(a, b) for _, a, b, _ in rules] + [(a, b) for a, b in found]
             text_out, at = [], 0
             for a, b in sorted(cuts):
                 if b <= at:

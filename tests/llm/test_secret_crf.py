@@ -66,3 +66,28 @@ def test_field_learns_held_out_tokens_and_keeps_rules(spark):
     assert got[1].spans == got[2].spans == "" and got[4].n_assign == 1 and got[4].spans.startswith("assign:2:23")
     assert {r.doc_id: r.text for r in S.redacted(frame, model).collect()}[4] == 'é <secret>"'
     assert S.secret_spans(frame.limit(0), S.train(frame.limit(0))).count() == 0
+
+
+def test_decoding_of_many_chains_equals_viterbi_of_each():
+    rng = np.random.default_rng(6)
+    for shift in (0, 3, 9):
+        score, moves = rng.normal(size=(400, 3)) * 3, rng.normal(size=(3, 3))
+        score[:, 0] += shift
+        opens = rng.random(400) < 0.15
+        opens[0] = True
+        at = [*np.flatnonzero(opens), 400]
+        want = [t for a, b in itertools.pairwise(at) for t in S.viterbi(score[a:b], moves)]
+        assert S.decoded(score, opens, moves).tolist() == want
+
+
+def test_letters_only_and_short_secrets_are_found_beyond_the_rules(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("aeiourstnl") for _ in range(r.randint(2, 8)))
+    key = lambda n: "".join(r.choice("bcdfghjkmpqrtvwxzBCDFGHJKLMNPQRTVWXZ") for _ in range(n))
+    line = lambda odd: " ".join([word() for _ in range(8)] + [odd] + [word() for _ in range(8)])
+    rows = [(i, line(r.choice([f"password: {key(r.choice([6, 7, 16, 20]))}", f"token = {key(16)}", word()]))) for i in range(2000)]
+    model = S.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    held = [(i, line(f"db password is {key(16)}")) for i in range(50)] + [(100 + i, line(f"my password {key(7)}")) for i in range(50)] + [(200 + i, line(word())) for i in range(200)]
+    got = {x.doc_id: x for x in S.secret_spans(spark.createDataFrame(held, "doc_id long, text string"), model).collect()}
+    assert sum(got[i].n_field > 0 for i in range(50)) > 40 and sum(got[100 + i].n_field > 0 for i in range(50)) > 30
+    assert sum(got[200 + i].n_field for i in range(200)) < 10
