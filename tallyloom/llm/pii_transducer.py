@@ -1,7 +1,7 @@
 """Personal data in texts: plain identifiers, and disguised ones found after offset-preserving normalisation.
 
 Plain identifiers (email, ip, card, phone) come from fixed rules. The transducers then rewrite disguises - homoglyphs, spelled
-digits, "at" and "dot" words - while keeping for every rewritten character the source span that it stands for; the same
+digits, "at", "dot" and "plus" words - while keeping for every rewritten character the source span that it stands for; the same
 detectors run over the rewritten text, and what they find there is carried back to source characters.
 
 Edge cases: null or empty text has no spans; offsets are code points with exclusive ends; a found span that overlaps a plain one
@@ -108,21 +108,25 @@ _LETTER = re.compile("[" + re.escape("".join(LETTERS)) + "]")
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:{_WORDS})(?:(?:\s*[-,.]\s*|\s+)(?:(?:{_WORDS})(?!\w)|[0-9](?![0-9]))){{{LEAST_SPELLED - 1},}}", re.IGNORECASE)
 _SPELLED_PART = re.compile(r"\w+")
-_NAME = r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*"
 _OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 _DOT = rf"(?:{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}|\s+(?:dot|punkt|point|punto)\s+|\.)"
-#: A disguised address: a name, a bracketed or bare at-word, and a domain with at least one dot or dot-word; all in one line.
+_AT = r"(?:at|arobase|arroba|klammeraffe|@)"
+_HOST = rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}"
+#: A disguised address: a name, a bracketed or bare at-word, and a domain with at least one dot or dot-word.
 _ADDRESS = re.compile(
-    rf"(?P<name>[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*?)"
-    rf"(?P<at>{_OPEN}(?:at|arobase|arroba|klammeraffe|@){_CLOSE}|\s+(?:at|arobase|arroba|klammeraffe|@)\s+|@)"
-    rf"(?P<domain>[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}})(?![A-Za-z0-9])",
+    rf"(?<![A-Za-z0-9_%+-])(?<![A-Za-z0-9_%+-]\.)(?P<name>[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*?)"
+    rf"(?P<at>{_OPEN}{_AT}{_CLOSE}|\s+{_AT}\s+|@)(?P<domain>{_HOST})(?![A-Za-z0-9])",
     re.IGNORECASE,
 )
-#: Without one of these near by, no at-word is tried.
-_AT_HINT = re.compile(r"[\[({<]\s*(?:at|arobase|arroba|klammeraffe|@)\s*[\])}>]|\s(?:at|arobase|arroba|klammeraffe)\s+[A-Za-z0-9-]+(?:\s+(?:dot|punkt|point|punto)\s|\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>])|@[A-Za-z0-9-]+(?:\s+(?:dot|punkt|point|punto)\s|\s*[\[({<])", re.IGNORECASE)
+#: Without an at-word before a domain, no address is tried.
+_AT_HINT = re.compile(rf"(?:[\[({{<]\s*{_AT}{_CLOSE}|(?<=\s){_AT}\s+|@){_HOST}", re.IGNORECASE)
 _DOT_WORD = re.compile(_DOT, re.IGNORECASE)
-#: Characters around a hint that an address may reach to.
-REACH = 160
+_OCTET = rf"(?:[0-9]{{1,3}}|(?:{_WORDS})(?:[\s-]+(?:{_WORDS})){{0,2}})"
+#: Four octets, plain or spelled, between dots, plain or disguised; no further digits on either side.
+_OCTETS = re.compile(rf"(?<![\w.]){_OCTET}(?:{_DOT}{_OCTET}){{3}}(?!\w)(?!(?:\s*[-,.]\s*|\s+)(?:[0-9]|(?:{_WORDS})(?!\w)))", re.IGNORECASE)
+_OCTET_PART = re.compile(rf"(?P<dot>{_DOT})|(?P<digits>\w+)", re.IGNORECASE)
+#: A plus-word before digits, plain or spelled.
+_PLUS = re.compile(rf"(?<!\w)(?:plus|más|mas)\s+(?=[0-9]|(?:{_WORDS})(?!\w))(?P<number>(?:[0-9]+|(?:{_WORDS}))(?!\w)(?:(?:\s*[-,.()]\s*|\s+)(?:[0-9]+|(?:{_WORDS}))(?!\w))*)", re.IGNORECASE)
 
 Edit = tuple[int, int, str]
 
@@ -145,23 +149,60 @@ def digit_edits(text: str) -> list[Edit]:
     return out
 
 
+def dot_edits(text: str) -> list[Edit]:
+    """Dot-words, bracketed dots and spelled octets between four digit groups, read as '.' and digits."""
+    out: list[Edit] = []
+    for m in _OCTETS.finditer(text):
+        at = m.start()
+        for part in _OCTET_PART.finditer(text, m.start(), m.end()):
+            if part.start() > at:
+                out.append((at, part.start(), ""))
+            new = "." if part["dot"] else DIGIT_WORDS.get(part[0].lower(), part[0])
+            if new != part[0]:
+                out.append((part.start(), part.end(), new))
+            at = part.end()
+    return out
+
+
+def plus_edits(text: str) -> list[Edit]:
+    """Plus-words before digits, read as +, and the spelled digits after them, read as digits."""
+    out: list[Edit] = []
+    for m in _PLUS.finditer(text):
+        out.append((m.start(), m.start("number"), "+"))
+        at = m.start("number")
+        for w in _SPELLED_PART.finditer(text, m.start("number"), m.end()):
+            if w.start() > at:
+                out.append((at, w.start(), ""))
+            if w[0].lower() in DIGIT_WORDS:
+                out.append((w.start(), w.end(), DIGIT_WORDS[w[0].lower()]))
+            at = w.end()
+    return out
+
+
 def address_edits(text: str) -> list[Edit]:
-    """At-words and dot-words inside a disguised address, read as @ and '.'."""
+    """At-words and dot-words inside a disguised address, read as @ and '.'.
+
+    The hint's whole lines and their neighbours are scanned, once. A bare at-word counts where a side holds a dot-word, or where a
+    dotted name stands before the domain ("look at example.com" is prose).
+    """
     out: list[Edit] = []
-    floor = 0
+    floor = scanned = 0
     for hint in _AT_HINT.finditer(text):
-        low, high = max(floor, hint.start() - REACH), min(len(text), hint.end() + REACH)
-        for m in _ADDRESS.finditer(text, low, high):
-            if m.end() <= hint.start():
+        if hint.start() < scanned:
+            continue
+        low = max(floor, text.rfind("\n", 0, max(0, text.rfind("\n", 0, hint.start()))) + 1)
+        high = text.find("\n", hint.end())
+        high = text.find("\n", high + 1) if high >= 0 else -1
+        scanned = len(text) if high < 0 else high
+        for m in _ADDRESS.finditer(text, low, scanned):
+            dots = [d for part in ("name", "domain") for d in _DOT_WORD.finditer(text, *m.span(part))]
+            bare = m["at"] != "@" and m["at"].strip()[:1] not in "[({<"
+            if bare and all(d[0] == "." for d in dots) and "." not in m["name"]:
                 continue
-            if m.start("at") > hint.end():
-                break
             if m["at"] != "@":
                 out.append((*m.span("at"), "@"))
-            for part in ("name", "domain"):
-                out += [(*d.span(), ".") for d in _DOT_WORD.finditer(text, *m.span(part)) if d[0] != "."]
+            out += [(*d.span(), ".") for d in dots if d[0] != "."]
             floor = m.end()
-            break
     return sorted(out)
 
 
@@ -201,7 +242,7 @@ class Rewritten:
 def hidden_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Identifiers that only the normalised text shows, as source spans; none overlaps `taken`."""
     layers, now = [], text
-    for edits in (letter_edits, digit_edits, address_edits):
+    for edits in (letter_edits, dot_edits, plus_edits, digit_edits, address_edits):
         found = edits(now)
         if found:
             layers.append(Rewritten(now, found))

@@ -59,3 +59,15 @@ def test_rewriting_round_trip():
     w = P.Rewritten(t, [(1, 7, "@")])
     assert w.text == "x@y" and w.source(0, 3) == (0, 8) and w.source(1, 2) == (1, 7) and w.source(2, 3) == (7, 8)
     assert P.masked("a bb c", [("k", 2, 4)]) == "a <k> c"
+
+
+def test_dots_plus_signs_and_bare_at_words():
+    for t in ("192[.]168[.]1[.]1", "192 dot 168 dot 0 dot 1", "one nine two dot one six eight dot zero dot one", "192.168 (dot) one punkt 7"):
+        assert hidden(f"host {t} is up") == [("hidden_ip", t)], t
+    assert hidden("one nine nine nine dot one six eight dot zero dot one") == [] and hidden("900 dot 1 dot 1 dot 1") == []
+    for t in ("plus four nine three zero one two three four five six seven", "plus 49 30 1234567", "plus four nine 30 1234567"):
+        assert hidden(f"call {t} now") == [("hidden_phone", t)], t
+    assert hidden("two plus three is five") == []
+    for t in ("john dot smith at example.com", "x at mail.example dot com", "jane.doe at example.com", f"jane [at] {'a' * 200} dot com"):
+        assert hidden(f"mail {t} today") == [("hidden_email", t)], t
+    assert hidden("look at example.com") == []
