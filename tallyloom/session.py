@@ -37,6 +37,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if not folder:
         folder = spark.conf.get("tallyloom.scratch", None)
         if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="spark-")
             spark.conf.set("tallyloom.scratch", folder)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -55,7 +57,16 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote. Nothing that is still to be computed may read them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def repo_on_worker_path() -> None:
