@@ -127,6 +127,17 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def ranked(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The order by owner, then by 64-bit value; of one owner equal values stand together."""
+    bits = max(1, int(owner.max(initial=0)).bit_length())
+    packed = owner.astype(np.uint64) << np.uint64(64 - bits) | values >> np.uint64(bits)
+    order = np.argsort(packed)
+    packed, sorted_values = packed[order], values[order]
+    if np.any((packed[1:] == packed[:-1]) & (sorted_values[1:] != sorted_values[:-1])):  # values that differ in their last bits only
+        return np.lexsort((values, owner))
+    return order
+
+
 def run_lengths(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For groups of the given sizes laid out one after another: each element's group, and its place in the group."""
     group = np.repeat(np.arange(len(sizes)), sizes)

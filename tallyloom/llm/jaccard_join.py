@@ -1,47 +1,52 @@
 """N-gram Jaccard join of documents: a size-aware join of shingle sets in two forms, light and heavy.
 
 Small sets are joined by enumerated subsets: two sets of n and m shingles reach the threshold exactly when they share a subset of
-c(n, m) shingles, so each small set emits its subsets of every such size. Large sets are joined by inverted lists over their rarest
-shingles: sets that reach the threshold share one of the first n - ceil(t n) + 1 in any fixed order; the order is by a counting
-sketch over all documents, then by hash. The size up to which sets are small is the one of least estimated cost.
-
-Equal sets (known by two 64-bit sums of scrambled hashes, and their size) form one class and join as one node. Lists are then linked
-without writing all pairs of a list: each member is tried against its list's first node, and members that are by then in different
-components are compared, component by component, until every list holds only pairs that were tried or are already linked. A pair is
-first held against its sets' parity bits: each shingle of only one set flips one bit, so more differing bits than the threshold
-allows differing shingles rule the pair out for certain. Every pair that is left is decided on whole sets, which are read again for
-such documents only.
+c(n, m) shingles, so each small set emits its subsets of every such size. Large sets are joined by scanning inverted lists. A list
+belongs to a pair of shingles that follow each other in a set's order by hash: where sets of n and m shingles share o and differ in d,
+the d part the shared ones into at most d + 1 runs, so at least o - (d + 1) such pairs are common to both, and the first of them
+in any fixed order bring two sets that reach the threshold together. A pair of shingles is rare where one shingle is not, so lists hold
+near copies and little else at any size of the corpus, without counts of shingles. The size up to which sets are small is the one of
+least estimated cost.
+
+Equal sets (known by two 64-bit sums of scrambled hashes, and their size) form one class and join as one node. A list's members are
+written as pairs with its first node, so lists of the same family fall together, and all members of one first node are compared in
+blocks of bounded size: by parity bits first (each shingle of only one set flips one bit, so more differing bits than the
+threshold allows differing shingles rule a pair out for certain), then on whole sets, which are read again for such documents only.
+Of the pairs that parities leave, a spanning forest of each block is decided first, then each node's nearest in other components, then
+all that join different components: every link between different texts is either decided or implied.
 
 Edge cases: null or empty text, and text without words, has no set: it is its own component. Fewer words than a shingle holds make
-one shingle of the whole sequence. Repeated rows of an id come out once each with the same component. Ids may be of any type with order.
+one shingle of the whole sequence. Very long texts are one set each (some 100 bytes of arrays for each byte while it is made).
+Repeated rows of an id come out once each with the same component; ties don't arise, as components don't depend on order. An empty
+table gives no rows. Columns other than the id and the text aren't read, whatever their names. Ids may be of any type with order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.arrow_text import byte_view, column, lowered, map_text, mix, run_lengths, slices, window_hashes, word_hashes, words
+from tallyloom.llm.arrow_text import byte_view, column, lowered, map_text, mix, ranked, run_lengths, window_hashes, word_hashes, words
 from tallyloom.llm.components import components
 from tallyloom.llm.sketches import Members, counted
-from tallyloom.session import cut, stored
+from tallyloom.session import discard, stored
 
-#: Cells of the sketch that orders shingles, and of the one that names sets to fetch.
-ORDER_CELLS, FETCH_CELLS = 1 << 22, 1 << 22
+#: Cells of the sketch that tells hot lists.
+HOT_CELLS = 1 << 16
 #: Parity words (64 bits each) of a set: by its size, up to the given one.
-PARITY = ((100, 4), (200, 8), (1 << 62, 16))
+PARITY = ((4_000, 32), (16_000, 128), (1 << 62, 256))
 #: Sizes among which the boundary is chosen.
 LARGEST_SMALL = 40
-#: Members of one component in a list from which they are kept from meeting each other.
-LARGE_PART = 64
-#: Rounds of component-to-component trials before the rest is compared exhaustively.
-ROUNDS = 3
+#: Members of one first node that a task compares at once, about; more are cut into blocks that meet in twos.
+LARGE_PART = 1024
+#: Nearest members of other components that a node is tried with before all are.
+NEAREST = 2
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -65,7 +70,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
             has = sizes[few] > k
             extra[has] = mix(extra[has] + hashes[bounds[:-1][few][has] + k] + np.uint64(k + 1))
         values, owners = np.concatenate([values, extra]), np.concatenate([owners, few])
-    order = np.lexsort((values, owners))
+    order = ranked(owners, values)
     values, owners = values[order], owners[order]
     new = np.ones(len(values), dtype=bool)
     new[1:] = (values[1:] != values[:-1]) | (owners[1:] != owners[:-1])
@@ -78,6 +83,8 @@ class Threshold:
 
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
+        #: Shingles in a key of an inverted list: two, unless the threshold is so low that no pair need be shared.
+        self.run = 2 if all(self._common(n, 2) > 0 for n in range(2, 200)) else 1
 
     def least_partner(self, n: int) -> int:
         return -(-self.num * n // self.den)
@@ -89,26 +96,39 @@ class Threshold:
         """The least number of shared shingles with which sizes n and m reach the threshold."""
         return -(-self.num * (n + m) // (self.num + self.den))
 
+    def _common(self, n: int, run: int) -> int:
+        """Keys of `run` shingles that a set of n surely shares with any that reaches the threshold."""
+        m = np.arange(max(1, self.least_partner(n)), self.most_partner(n) + 1)
+        shared = -(-self.num * (n + m) // (self.num + self.den))
+        ok = shared <= np.minimum(n, m)
+        return int((shared - (run - 1) * (n + m - 2 * shared + 1))[ok].min())
+
+    @lru_cache(maxsize=1 << 16)  # noqa: B019
     def prefix(self, n: int) -> int:
-        return n - self.least_partner(n) + 1
+        """How many of its keys, in a fixed order, a set of n shingles writes: the first that it shares with a partner are among them."""
+        keys = n - self.run + 1
+        return max(0, min(keys, keys - self._common(n, self.run) + 1)) if n else 0
 
     def subset_sizes(self, n: int, largest: int) -> list[int]:
         """Subset sizes that a small set of n shingles emits for partners up to `largest`; equal sets need none."""
         out = {self.overlap(n, m) for m in range(self.least_partner(n), min(self.most_partner(n), largest) + 1)}
         return sorted(c for c in out if c <= n and not (c == n and self.most_partner(n) == n))
 
-    def boundary(self, histogram: np.ndarray, list_length: float) -> int:
-        """The size up to which subsets cost less than inverted lists; cost: keys written, and for lists also their scan."""
-        best, cost = 0, 0.0
-        total = 0.0
+    def boundary(self, histogram: np.ndarray) -> int:
+        """The size up to which subsets cost less than inverted lists; cost: keys that are written and scanned."""
+        best, cost, total = 0, 0.0, 0.0
         for n in range(1, min(len(histogram), LARGEST_SMALL + 1)):
             light = sum(_choose(n, c) for c in self.subset_sizes(n, LARGEST_SMALL))
-            heavy = self.prefix(n) * (1 + list_length)
-            total += float(histogram[n]) * (light - heavy)
+            total += float(histogram[n]) * (light - self.prefix(n))
             if total < cost:
                 best, cost = n, total
         return best
 
+    def allowed(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """The most shingles in which sets of n and m may differ; below nought where their sizes rule the threshold out."""
+        most = n + m - 2 * -(-self.num * (n + m) // (self.num + self.den))
+        return np.where(self.num * np.maximum(n, m) <= self.den * np.minimum(n, m), most, -1)
+
 
 @lru_cache(maxsize=4096)
 def _choose(n: int, k: int) -> int:
@@ -126,8 +146,21 @@ def subset_keys(values: np.ndarray, sizes: list[int]) -> list[int]:
     return out
 
 
-def _cells(values: np.ndarray, cells: int) -> np.ndarray:
-    return (values >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+def list_keys(values: np.ndarray, bounds: np.ndarray, t: Threshold, floor: int) -> list[np.ndarray]:
+    """The inverted lists in which each set of at least `floor` shingles stands."""
+    n = np.diff(bounds)
+    many = np.array([t.prefix(int(x)) if x >= floor else 0 for x in n], dtype=np.int64)
+    keys = window_hashes(values, t.run)
+    owner, place = run_lengths(n)
+    ok = place[: len(keys)] + t.run <= n[owner[: len(keys)]] if len(keys) else np.zeros(0, bool)
+    keys, owner = keys[ok], owner[: len(keys)][ok]
+    order = ranked(owner, keys)
+    keys, owner = keys[order], owner[order]
+    _, place = run_lengths(np.bincount(owner, minlength=len(n)))
+    first = place < many[owner]
+    cuts = np.concatenate(([0], np.cumsum(many)))
+    keys = _signed(mix(keys[first] + np.uint64(0x51ED270B)))
+    return [keys[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _sum_groups(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -146,6 +179,7 @@ def _parities(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     longs = np.zeros(len(sizes), dtype=np.int64)
     for limit, count in reversed(PARITY):
         longs[sizes <= limit] = count
+    longs[sizes == 0] = 0
     first = np.concatenate(([0], np.cumsum(longs)))
     owner, _ = run_lengths(sizes)
     bit = (values & (longs[owner].astype(np.uint64) * np.uint64(64) - np.uint64(1))).astype(np.int64)
@@ -154,229 +188,374 @@ def _parities(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return [packed[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-def _sketch(docs: DataFrame, width: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """How often each cell's shingles occur over all documents, and how many documents have each small set size."""
-
-    def cells(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for part in slices(iter([batch]), text):
-            values, bounds = shingle_sets(*byte_view(part, text), width)
-            yield _cells(values, ORDER_CELLS)
-            sizes = np.diff(bounds)
-            yield ORDER_CELLS + sizes[sizes <= LARGEST_SMALL]
-
-    got = counted(docs.select(F.col(text).cast("string").alias(text)), ORDER_CELLS + LARGEST_SMALL + 1, cells)
-    return got[:ORDER_CELLS], got[ORDER_CELLS:]
+class Family:
+    """Sets that are compared with each other: their sizes and parities."""
+
+    def __init__(self, n: np.ndarray, parity: pa.Array, t: Threshold) -> None:
+        self.n, self.t = n, t
+        self.width = np.diff(np.asarray(parity.offsets))
+        flat = np.asarray(parity.values).view(np.uint64)
+        cuts = np.asarray(parity.offsets)
+        self.place, self.rows = np.zeros(len(n), dtype=np.int64), {}
+        for w in np.unique(self.width):
+            own = np.flatnonzero(self.width == w)
+            self.place[own] = np.arange(len(own))
+            self.rows[int(w), int(w)] = flat[cuts[own][:, None] + np.arange(w)]
+
+    def _folded(self, w: int, k: int) -> np.ndarray:
+        if (w, k) not in self.rows:
+            x = self.rows[w, w]
+            self.rows[w, k] = np.bitwise_xor.reduce(x.reshape(len(x), w // k, k), axis=1)
+        return self.rows[w, k]
+
+    def slack(self, u: int) -> np.ndarray:
+        """For each set: how many differing bits fewer than allowed it has against set u; below nought where it can't reach the threshold."""
+        out = self.t.allowed(self.n, self.n[u])
+        maybe = out >= 0
+        own = int(self.width[u])
+        for w in np.unique(self.width[maybe]):
+            k = min(int(w), own)
+            pick = np.flatnonzero(maybe & (self.width == w))
+            differ = self._folded(int(w), k)[self.place[pick]] ^ self._folded(own, k)[self.place[u]]
+            out[pick] -= np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+        return out
+
+
+Chooser = Callable[[Family, np.ndarray, np.ndarray], Iterator[tuple[int, int]]]
+
+
+def forest(family: Family, part: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the possible links, from the first member on."""
+    left = np.ones(len(part), dtype=bool)
+    for start in range(len(part)):
+        if not left[start]:
+            continue
+        left[start] = False
+        queue = [start]
+        while queue:
+            u = queue.pop()
+            if not left.any():
+                return
+            for v in np.flatnonzero((family.slack(u) >= 0) & left):
+                left[v] = False
+                queue.append(int(v))
+                yield u, int(v)
+
+
+def _others(family: Family, part: np.ndarray, side: np.ndarray, u: int) -> np.ndarray:
+    """Slack where a member may link u from another component (and side, where a group has two), -1 elsewhere."""
+    ok = part != part[u]
+    if side.any():
+        ok &= side != side[u]
+    return np.where(ok, family.slack(u), -1) if ok.any() else np.full(len(part), -1)
+
+
+def nearest(family: Family, part: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Each member's likeliest links into other components."""
+    for u in range(len(part)):
+        slack = _others(family, part, side, u)
+        for v in np.argsort(-slack, kind="stable")[:NEAREST]:
+            if slack[v] >= 0:
+                yield u, int(v)
+
+
+def every(family: Family, part: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
+    """All possible links between components."""
+    for u in range(len(part)):
+        for v in np.flatnonzero(_others(family, part, side, u)[u + 1 :] >= 0):
+            yield u, u + 1 + int(v)
+
+
+def _word_histogram(docs: DataFrame, width: int, text: str) -> np.ndarray:
+    """About how many documents have each small set size, by the number of words of short texts; it only sets the boundary."""
+    body = F.col(text).cast("string")
+    n = F.size(F.split(F.trim(body), "[ \\t-\\r]+"))
+    short = docs.where(F.octet_length(body) <= 16 * (LARGEST_SMALL + width)).select(F.greatest(n - width + 1, F.lit(1)).alias("n")).where(F.col("n") <= LARGEST_SMALL)
+    out = np.zeros(LARGEST_SMALL + 1)
+    for row in short.groupBy("n").count().collect():  # at most LARGEST_SMALL rows
+        out[row.n] = row["count"]
+    return out
 
 
-def _indexed(docs: DataFrame, id_col: str, text: str, width: int, t: Threshold, order: np.ndarray, small: int) -> DataFrame:
-    """Each row's id, set size n, set name (f1, f2) and join keys."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(order, np.iinfo(np.int32).max).astype(np.int32))
+def _indexed(docs: DataFrame, id_col: str, text: str, width: int, t: Threshold, small: int) -> DataFrame:
+    """Each row's id, text hash, set size n, set name (f1, f2), join keys, parities and number."""
     kind = docs.schema[id_col].dataType.simpleString()
     floor = t.least_partner(small + 1)
 
     def rows(part: pa.RecordBatch) -> dict:
         values, bounds = shingle_sets(*byte_view(part, text), width)
-        sizes = np.diff(bounds)
+        n = np.diff(bounds)
         f1, f2 = _names(values, bounds)
-        owner, _ = run_lengths(sizes)
-        ranked = np.lexsort((values, shared.value[_cells(values, ORDER_CELLS)], owner))
-        _, place = run_lengths(sizes)
-        n = sizes.astype(np.int64)
-        many = np.where((n >= floor) & (n > 0), n - -(-t.num * n // t.den) + 1, 0)
-        first = ranked[place < many[owner]]
-        keys, cuts = _signed(mix(values[first] + np.uint64(0x51ED270B))), np.concatenate(([0], np.cumsum(many)))
-        out = [keys[cuts[i] : cuts[i + 1]] for i in range(len(n))]
+        keys = list_keys(values, bounds, t, floor)
         for i in np.flatnonzero((n > 0) & (n <= small)):
             more = subset_keys(values[bounds[i] : bounds[i + 1]], t.subset_sizes(int(n[i]), small))
-            out[i] = np.concatenate([out[i], _signed(np.array(more, dtype=np.uint64))]) if more else out[i]
-        return {"id": column(part, id_col), "n": n, "f1": f1, "f2": f2, "keys": out, "parity": _parities(values, bounds)}
+            keys[i] = np.concatenate([keys[i], _signed(np.array(more, dtype=np.uint64))]) if more else keys[i]
+        return {"id": column(part, "id"), "th": column(part, "th"), "n": n, "f1": f1, "f2": f2, "keys": keys, "parity": _parities(values, bounds)}
 
-    return map_text(docs, [id_col], f"id {kind}, n bigint, f1 bigint, f2 bigint, keys array<bigint>, parity array<bigint>", rows, text)
+    body = F.col(text).cast("string")
+    frame = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("th"), body.alias(text))
+    out = map_text(frame, ["id", "th"], f"id {kind}, th bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>, parity array<bigint>", rows, text)
+    return out.withColumn("row", F.monotonically_increasing_id())
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """node and its whole set, for the nodes of wanted(node, id, f1, f2); one document of each class is read for it."""
+def _entries(indexed: DataFrame, classes: DataFrame, hot: np.ndarray) -> DataFrame:
+    """key, node, hot: the keys of one row of each class. Rows that a sketch of fixed size knows to be alone of their class aren't moved."""
+    again = Members(indexed.where("n > 0").select("row", "n", "f1", "f2").join(classes.select("n", "f1", "f2", "node"), ["n", "f1", "f2"]).where("row <> node").select("row"))
+
+    def exploded(batch: pa.RecordBatch, pick: np.ndarray) -> pa.RecordBatch:
+        keys = column(batch, "keys").filter(pa.array(pick))
+        flat = np.asarray(keys.flatten())
+        node = np.repeat(np.asarray(column(batch, "row"))[pick], np.asarray(keys.value_lengths()))
+        return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(node), pa.array(hot[_cells(flat)])], names=["key", "node", "hot"])
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield exploded(b, ~again.has(np.asarray(column(b, "row"))))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield exploded(b, np.ones(b.num_rows, dtype=bool))
+
+    schema = "key bigint, node bigint, hot boolean"
+    rows = indexed.where("n > 0").select("row", "keys")
+    rest = rows.where(again.column(F.col("row"))).join(classes.select(F.col("node").alias("row")), "row", "left_semi")
+    return rows.mapInArrow(alone, schema).unionByName(rest.select("row", "keys").mapInArrow(first, schema))
+
 
-    def mark(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield _cells(mix(np.asarray(batch.column(0)).view(np.uint64)), FETCH_CELLS)
+def _cells(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - HOT_CELLS.bit_length() + 1)).astype(np.int64)
 
-    marks = counted(wanted.select((F.col("f1").bitwiseXOR(F.xxhash64("id"))).alias("k")), FETCH_CELLS, mark) > 0
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+def _hot_cells(indexed: DataFrame) -> np.ndarray:
+    """True for the cells of keys whose list is surely or maybe long; only the way in which such lists are dealt out depends on it."""
+
+    def cells(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield _cells(np.asarray(batch.column(0).flatten()))
+
+    count = counted(indexed.select("keys"), HOT_CELLS, cells)
+    return count > 2 * count.mean() + 4 * LARGE_PART
+
+
+def _stars(entries: DataFrame, any_hot: bool) -> DataFrame:
+    """head, node: each member of a list with the list's first node, once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = head = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, v = np.asarray(b.column(0)), np.asarray(b.column(1))
+            new = np.ones(len(k), dtype=bool)
+            new[1:] = k[1:] != k[:-1]
+            begin = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+            own = v[begin]
+            if key is not None and k[0] == key:
+                own = np.where(begin == 0, head, own)
+            key, head = k[-1], own[-1]
+            both = np.unique(np.stack([own, v], axis=1)[own != v], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["head", "node"])
+
+    schema = "head bigint, node bigint"
+    stars = entries.where("not hot").select("key", "node").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
+    if any_hot:  # a long list's first node is a sum by parts, and its members meet it by a join that can be split
+        long = entries.where("hot").select("key", "node")
+        heads = long.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("key", "head")
+        stars = stars.unionByName(long.join(heads, "key").where("head <> node").select("head", "node"))
+    return stars.distinct()
+
+
+def _pairs(members: DataFrame, nodes: DataFrame, t: Threshold, choose: Chooser) -> DataFrame:
+    """Pairs (a, b), chosen inside each group of members(g, node, part, side)."""
+
+    def judged(block: pa.Table) -> Iterator[tuple[int, int]]:
+        node = block["node"].to_numpy()
+        own = Family(block["n"].to_numpy(), block["parity"].combine_chunks(), t)
+        for u, v in choose(own, block["part"].to_numpy(), block["side"].to_numpy()):
+            yield min(node[u], node[v]), max(node[u], node[v])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(batch: pa.RecordBatch | None) -> set[tuple[int, int]]:
+            """The pairs of the groups that end before batch does."""
+            table = pa.Table.from_batches(held)
+            g = table["g"].to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]))
+            held[:] = [] if batch is None else table.slice(cuts[-2]).combine_chunks().to_batches()
+            stop = len(cuts) - (1 if batch is None else 2)
+            return {p for i in range(stop) for p in judged(table.slice(cuts[i], cuts[i + 1] - cuts[i]))}
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            ends = held[0].column(0)[0].as_py() != b.column(0)[b.num_rows - 1].as_py()
+            if ends and (found := done(b)):
+                yield packed(found)
+        if held and (found := done(None)):
+            yield packed(found)
+
+    def packed(found: set[tuple[int, int]]) -> pa.RecordBatch:
+        both = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    full = members.join(nodes.select("node", "n", "parity"), "node").select("g", "node", "part", "side", "n", "parity")
+    return full.repartition("g").sortWithinPartitions("g", "node").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _first_groups(stars: DataFrame, t: Threshold) -> DataFrame:
+    """Members by first node; of a first node with too many, blocks, each with the first node in it."""
+    blocks = stars.groupBy("head").count().where(F.col("count") > LARGE_PART).select("head", F.ceil(F.col("count") / LARGE_PART).alias("blocks"))
+    own = stars.join(blocks, "head", "left").withColumn("g", F.xxhash64("head", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)))))
+    both = own.select("g", "node").unionByName(own.select("g", F.col("head").alias("node")).distinct())
+    return both.select("g", "node", F.col("node").alias("part"), F.lit(0).alias("side"))
+
+
+def _mixed_groups(placed: DataFrame) -> DataFrame:
+    """Groups of placed(head, node, part), such that members of different parts meet in one; parts of a first node with many members are cut
+    into blocks, and blocks meet in twos, but for those of one part."""
+    few = placed.groupBy("head").count().select("head", (F.col("count") > LARGE_PART).alias("wide"))
+    placed = placed.join(few, "head")
+    plain = placed.where("not wide").select(F.col("head").alias("g"), "node", "part", F.lit(0).alias("side"))
+
+    wide = placed.where("wide").drop("wide")
+    size = wide.groupBy("head", "part").agg(F.count(F.lit(1)).alias("own"))
+    size = size.withColumn("bulk", F.col("own") > LARGE_PART // 2)
+    small = size.where("not bulk").groupBy("head").agg(F.sum("own").alias("rest"))
+    size = size.join(small, "head", "left")
+    wide = wide.join(size, ["head", "part"])
+    block = F.when(F.col("bulk"), F.xxhash64(F.lit(1), "part", F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / LARGE_PART))))
+    block = block.otherwise(F.xxhash64(F.lit(2), F.pmod(F.xxhash64("part"), F.ceil(F.col("rest") / LARGE_PART))))
+    wide = wide.select("head", "node", "part", block.alias("block"), F.when(F.col("bulk"), F.col("part")).alias("only"))
+    blocks = wide.select("head", "block", "only").distinct()
+    other = blocks.select(F.col("head").alias("o_head"), F.col("block").alias("o_block"), F.col("only").alias("o_only"))
+    # Blocks, not members, meet in twos: a first node has its members / LARGE_PART of them.
+    meets = blocks.join(other, F.col("head") == F.col("o_head")).where("block <= o_block and not coalesce(only = o_only, false)")
+    meets = meets.select("head", "block", "o_block", F.xxhash64("head", "block", "o_block").alias("g"))
+    left = wide.join(meets, ["head", "block"]).select("g", "node", "part", F.lit(0).alias("side"))
+    other = meets.where("block <> o_block").select("head", F.col("o_block").alias("block"), "g")
+    right = wide.join(other, ["head", "block"]).select("g", "node", "part", F.lit(1).alias("side"))
+    return plain.unionByName(left).unionByName(right)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """node and its whole set, for the nodes of wanted(node, id, f1, f2); one document of each class is read for it."""
+    among = Members(wanted.select(F.xxhash64("id")))
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(part: pa.RecordBatch) -> dict:
+        part = part.filter(pa.array(among.has(np.asarray(column(part, "h")))))
         values, bounds = shingle_sets(*byte_view(part, text), width)
         f1, f2 = _names(values, bounds)
-        key = _cells(mix((f1 ^ np.asarray(column(part, "__h"))).view(np.uint64)), FETCH_CELLS)
-        hit = np.flatnonzero(shared.value[key >> 3] >> (7 - (key & 7)) & 1)
-        ids = column(part, id_col).take(pa.array(hit))
-        return {"s_id": ids, "s_f1": f1[hit], "s_f2": f2[hit], "items": [_signed(values[bounds[i] : bounds[i + 1]]) for i in hit]}
+        return {"s_id": column(part, "id"), "s_f1": f1, "s_f2": f2, "items": [_signed(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = map_text(docs.withColumn("__h", F.xxhash64(id_col)), [id_col, "__h"], f"s_id {kind}, s_f1 bigint, s_f2 bigint, items array<bigint>", rows, text)
+    frame = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.col(text).alias(text))
+    found = map_text(frame, ["id", "h"], f"s_id {kind}, s_f1 bigint, s_f2 bigint, items array<bigint>", rows, text)
     return wanted.join(found, (F.col("f1") == F.col("s_f1")) & (F.col("f2") == F.col("s_f2")) & F.expr("id <=> s_id")).select("node", "items").dropDuplicates(["node"])
 
 
 class _Trials:
-    """Pairs that were tried, and the sets read for them."""
+    """Pairs that were decided, and the sets read for them."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, t: Threshold, id_col: str, text: str, width: int) -> None:
         self.docs, self.nodes, self.t, self.how = docs, nodes, t, (id_col, text, width)
-        self.sets: DataFrame | None = None
-        self.pairs: DataFrame | None = None
+        self.sets: list[DataFrame] = []
+        self.pairs: list[DataFrame] = []
 
     def add(self, pairs: DataFrame) -> bool:
-        """Try those of pairs(a, b) that were not tried before; whether any of them is linked."""
-        pairs = stored(pairs.distinct() if self.pairs is None else pairs.distinct().join(self.pairs, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            return False
+        """Decide those of pairs(a, b) that are new; whether any of them is linked."""
+        for known in self.pairs:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
         need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        if self.sets is not None:
-            need = need.join(self.sets, "node", "left_anti")
+        for known in self.sets:
+            need = need.join(known, "node", "left_anti")
         need = stored(self.nodes.join(need, "node", "left_semi").select("node", "id", "f1", "f2"), "need")
         if not need.isEmpty():
-            more = stored(_sets(self.docs, need, *self.how), "sets")
-            self.sets = more if self.sets is None else self.sets.union(more)
-        left = self.sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
-        right = self.sets.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
+            self.sets.append(stored(_sets(self.docs, need, *self.how), "sets"))
+        if not self.sets or pairs.isEmpty():
+            return False
+        sets = self.sets[0]
+        for more in self.sets[1:]:
+            sets = sets.unionByName(more)
+        left = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
+        right = sets.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
         both = F.size(F.array_intersect("a_items", "b_items"))
         union = F.size("a_items") + F.size("b_items") - both
-        fresh = stored(pairs.join(left, "a").join(right, "b").select("a", "b", (self.t.den * both >= self.t.num * union).alias("linked")), "tried")
-        self.pairs = fresh if self.pairs is None else self.pairs.union(fresh)
-        return not fresh.where("linked").isEmpty()
+        self.pairs.append(stored(pairs.join(left, "a").join(right, "b").select("a", "b", (self.t.den * both >= self.t.num * union).alias("linked")), "tried"))
+        discard(pairs, need)
+        return not self.pairs[-1].where("linked").isEmpty()
 
     def links(self) -> DataFrame:
-        if self.pairs is None:
-            return self.nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-        return self.pairs.where("linked").select("a", "b")
-
-
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+        out = self.pairs[0]
+        for more in self.pairs[1:]:
+            out = out.unionByName(more)
+        return out.where("linked").select("a", "b")
+
+
+def _components(docs: DataFrame, width: int, t: Threshold, text: str, id_col: str) -> DataFrame:
+    """For each row of docs: id, th (hash of the text), n, part (null for a row without a set): rows of one component have one part."""
+    small = t.boundary(_word_histogram(docs, width, text))
+    indexed = stored(_indexed(docs, id_col, text, width, t, small), "indexed")
+    classes = stored(indexed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("row").alias("node"), F.min("id").alias("id")), "classes")
+    hot = _hot_cells(indexed)
+    stars = stored(_stars(_entries(indexed, classes, hot), bool(hot.any())), "stars")
+    met = stars.select("node").union(stars.select("head")).distinct()
+    nodes = indexed.select(F.col("row").alias("node"), "parity").join(met, "node", "left_semi").join(classes, "node")
+    nodes = stored(nodes.select("node", "id", "f1", "f2", "n", "parity"), "nodes")
+    rows = stored(indexed.select("id", "th", "n", "f1", "f2"), "rows")
+    discard(indexed)
 
+    trials = _Trials(docs, nodes, t, id_col, text, width)
+    labels = None
+    if trials.add(_pairs(_first_groups(stars, t), nodes, t, forest)):
+        labels = components(trials.links())
+    both = stars.unionByName(stars.select("head", F.col("head").alias("node")).distinct())
+    for choose in (nearest, every):
+        if not trials.pairs:
+            break
+        placed = both.withColumn("part", F.col("node")) if labels is None else both.join(labels, "node", "left").select("head", "node", F.coalesce("label", "node").alias("part"))
+        mixed = placed.groupBy("head").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("head")
+        placed = stored(placed.join(mixed, "head", "left_semi"), "placed")
+        if trials.add(_pairs(_mixed_groups(placed), nodes, t, choose)):
+            labels = components(trials.links())
+        discard(placed)
 
-def _may_link(t: Threshold, n: Column, m: Column, x: Column, y: Column) -> Column:
-    """False only where sizes n, m and parity words x, y rule the threshold out."""
-    half = lambda z, k: F.when(F.size(z) > k, F.zip_with(F.slice(z, F.lit(1), k), F.slice(z, k + 1, k), lambda u, v: u.bitwiseXOR(v))).otherwise(z)
-    k = F.least(F.size(x), F.size(y))
-    differ = F.aggregate(F.zip_with(half(x, k), half(y, k), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
-    least = F.ceil(t.num * (n + m) / (t.num + t.den))
-    return (t.num * F.greatest(n, m) <= t.den * F.least(n, m)) & (differ <= n + m - 2 * least)
-
-
-def _possible(pairs: DataFrame, nodes: DataFrame, t: Threshold) -> DataFrame:
-    """Those of pairs(a, b) that sizes and parities don't rule out."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("parity").alias("a_parity"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("parity").alias("b_parity"))
-    both = pairs.distinct().join(left, "a").join(right, "b")
-    return both.where(_may_link(t, F.col("a_n"), F.col("b_n"), F.col("a_parity"), F.col("b_parity"))).select("a", "b")
-
-
-def _close(t: Threshold, a: str, b: str) -> Column:
-    return t.num * F.greatest(a, b) <= t.den * F.least(a, b)
-
-
-def _by_size(lists: DataFrame, t: Threshold) -> DataFrame:
-    """Each list cut by size. Sizes that can reach the threshold lie in one step of a geometric scale or in two that touch; a member
-    stands at home in the list of its step, and as a guest in the next one's, so that any such two meet once with one of them at home."""
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(t.den / t.num)) + F.lit(1e-9))
-    both = F.array(F.struct(F.xxhash64("key", step).alias("key"), F.lit(True).alias("home")), F.struct(F.xxhash64("key", step + 1).alias("key"), F.lit(False).alias("home")))
-    return lists.select("node", "n", F.explode(both).alias("b")).select("b.key", "node", "n", "b.home").repartition("key")
-
-
-def _stands(placed: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs of one member of each component of a list with one of the list's first component: a row for each component, not for each pair."""
-    stand = placed.groupBy("key", "part", "low").agg(F.min(F.struct("n", "node")).alias("least"), F.max(F.struct("n", "node")).alias("most"))
-    first = stand.where("part = low").select("key", F.col("least").alias("l1"), F.col("most").alias("l2"))
-    ends = F.array(F.struct(F.col("least").alias("x"), F.col("l2").alias("y")), F.struct(F.col("most").alias("x"), F.col("l1").alias("y")))
-    found = stand.where("part <> low").join(first, "key").select(F.explode(ends).alias("p")).where(_close(t, "p.x.n", "p.y.n"))
-    return found.select(F.col("p.x.node").alias("u"), F.col("p.y.node").alias("v")).select(*_ordered("u", "v"))
-
-
-def _across(placed: DataFrame, nodes: DataFrame, t: Threshold) -> DataFrame:
-    """All pairs whose members stand in one list but in different components, and that may be linked.
-
-    A component with many members in a list meets the other members by an equality of (list, component), so that its own members never
-    meet each other; the members of small components of a list meet directly.
-    """
-    size = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("members"))
-    large = size.where(F.col("members") >= LARGE_PART).select("key", F.col("part").alias("other"))
-    full = placed.select("key", "node", "part", "home").join(nodes.select("node", "n", "parity"), "node")
-    renamed = {"node": "o_node", "n": "o_n", "parity": "o_parity", "home": "o_home"}
-    may = (F.col("home") | F.col("o_home")) & _may_link(t, F.col("n"), F.col("o_n"), F.col("parity"), F.col("o_parity"))
-
-    alone = full.join(large.withColumnRenamed("other", "part"), ["key", "part"], "left_anti")
-    direct = alone.join(alone.withColumnsRenamed(renamed | {"part": "o_part"}), "key").where((F.col("part") < F.col("o_part")) & may)
-
-    many = full.join(large.withColumnRenamed("other", "part"), ["key", "part"], "left_semi").withColumnsRenamed(renamed | {"part": "other"})
-    is_large = large.withColumnsRenamed({"other": "part"}).withColumn("large", F.lit(True))
-    seeks = full.join(is_large, ["key", "part"], "left").join(large, "key")
-    seeks = seeks.where((F.col("part") != F.col("other")) & (F.col("large").isNull() | (F.col("part") < F.col("other"))))
-    by_part = seeks.join(many, ["key", "other"]).where(may)
-    return direct.select(*_ordered("node", "o_node")).union(by_part.select(*_ordered("node", "o_node"))).distinct()
+    place = classes if labels is None else classes.join(labels, "node", "left").withColumn("node", F.coalesce("label", "node"))
+    place = place.select(F.col("n").alias("r_n"), F.col("f1").alias("r_f1"), F.col("f2").alias("r_f2"), F.col("node").alias("part"), F.col("id").alias("low_id"))
+    same = (F.col("f1") == F.col("r_f1")) & (F.col("f2") == F.col("r_f2")) & (F.col("n") == F.col("r_n"))
+    out = stored(rows.join(place, same, "left").select("id", "th", "n", "part", "low_id"), "components")
+    discard(rows, stars, nodes, classes, *trials.sets, *trials.pairs)
+    return out
 
 
 def joined(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """For each row of docs: id_col, n_shingles, component_id (smallest id linked with it, over any number of links)."""
-    t = Threshold(num, den)
-    order, histogram = _sketch(docs, width, text)
-    total = max(1, int(order.sum()))
-    small = t.boundary(histogram, max(1.0, float((order.astype(float) ** 2).sum() / total - total / len(order))))
-    rows = stored(_indexed(docs, id_col, text, width, t, order, small), "indexed")
-    classes = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-
-    own = rows.select(F.col("id").alias("r_id"), F.col("f1").alias("r_f1"), F.col("f2").alias("r_f2"), F.col("n").alias("r_n"), "keys", "parity")
-    same = (F.col("f1") == F.col("r_f1")) & (F.col("f2") == F.col("r_f2")) & (F.col("n") == F.col("r_n"))
-    whole = classes.join(own, same & (F.col("id") == F.col("r_id")))
-    nodes = stored(whole.select("node", "id", "f1", "f2", "n", "parity").dropDuplicates(["node"]), "nodes")
-    # One exchange by key serves both the heads and the lists.
-    lists = whole.select("node", "n", F.explode("keys").alias("key")).repartition("key")
-    heads = lists.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("key", "head")
-    lists = _by_size(lists.join(heads, "key").select("key", "node", "n"), t)
-    heads = lists.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail"), F.max("home").alias("homes")).where("head < tail and homes").select("key", "head")
-    lists = stored(lists.join(heads, "key"), "lists")
-
-    trials = _Trials(docs, nodes, t, id_col, text, width)
-    trials.add(_possible(lists.where("node <> head").select(*_ordered("node", "head")), nodes, t))
-    labels = components(trials.links())
-    rounds, gained = ROUNDS, True
-    while True:
-        placed = lists.join(labels, "node", "left").select("key", "node", "n", "home", F.coalesce("label", "node").alias("part"))
-        mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key", "low")
-        placed = cut(placed.join(mixed, "key"))
-        if placed.isEmpty():
-            break
-        last = not (rounds and gained)
-        gained = trials.add(_across(placed, nodes, t) if last else _possible(_stands(placed, t), nodes, t))
-        rounds -= 1
-        if gained:
-            labels = components(trials.links())
-        if last:
-            break
-
-    place = classes.join(labels, "node", "left").select("n", "f1", "f2", "id", F.coalesce("label", "node").alias("part"))
-    lowest = place.groupBy("part").agg(F.min("id").alias("component_id"))
-    named = place.join(lowest, "part").select(F.col("n").alias("r_n"), F.col("f1").alias("r_f1"), F.col("f2").alias("r_f2"), "component_id")
-    return rows.select("id", "n", "f1", "f2").join(named, same, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    rows = _components(docs, width, Threshold(num, den), text, id_col)
+    lowest = rows.where("part is not null").groupBy(F.col("part").alias("of")).agg(F.min("low_id").alias("component_id"))
+    return rows.join(lowest, F.col("part") == F.col("of"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """docs without near copies: of each component the document of smallest id stays, and of rows that repeat it one.
+    """docs without near copies: of each component the row of smallest id stays (a null id comes last; of equal ids, by the text's hash).
 
-    Documents without words, and rows without an id, are no copies of anything and stay.
+    A row is told by its id and its text, so different texts under one id are judged apart. Rows without words are no copies and stay.
     """
-    found = stored(joined(docs, width, num, den, text, id_col), "joined")
-    lost = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__lost")).distinct()
-    again = found.where((F.col(id_col) == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__again"))
-    lost = stored(lost, "lost")
-    # Only rows whose id a sketch of fixed size takes for a lost one are moved to be compared.
-    among = Members(lost.select(F.xxhash64("__lost")))
-    marked = docs.withColumn("__near", F.coalesce(among.column(F.xxhash64(id_col)), F.lit(False)))
-    near = marked.where("__near").drop("__near").join(lost, F.col(id_col) == F.col("__lost"), "left_anti")
-    left = marked.where("not __near").drop("__near").unionByName(near)
-    if again.isEmpty():
-        return left
-    # Ids that repeat are the exception: only their rows are compared with each other.
-    marked = left.join(again, F.col(id_col) == F.col("__again"), "left")
-    once = marked.where("__again is not null").drop("__again").dropDuplicates([id_col, text])
-    return marked.where("__again is null").drop("__again").unionByName(once)
+    found = _components(docs, width, Threshold(num, den), text, id_col)
+    told = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    kept = found.where("part is not null").groupBy("part").agg(F.min(told).alias("one"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    judged = stored(found.join(kept.drop("rows"), "part").select("id", "th", (told == F.col("one")).alias("stays")), "judged")
+    lost = judged.where("not stays").select("id", "th").distinct()
+    again = judged.where("stays").groupBy("id", "th").count().where("count > 1").select("id", "th")
+    moved = stored(lost.withColumn("lost", F.lit(True)).unionByName(again.withColumn("lost", F.lit(False))), "moved")
+    # Only rows that a sketch of fixed size takes for lost or repeated ones are moved to be compared.
+    among = Members(moved.select(F.xxhash64("id", "th")))
+    body = F.xxhash64(F.col(text).cast("string"))
+    marked = docs.withColumn("__near", among.column(F.xxhash64(F.col(id_col), body)))
+    near = marked.where("__near").drop("__near").withColumn("__th", body)
+    near = near.join(moved.withColumnsRenamed({"id": "__id", "th": "__m_th", "lost": "__lost"}), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__m_th")), "left")
+    near = near.where("not coalesce(__lost, false)")
+    # Rows that repeat an id and text are the exception: only they are compared with each other.
+    once = near.where("__lost is not null").dropDuplicates([id_col, "__th"])
+    near = near.where("__lost is null").unionByName(once)
+    return marked.where("not __near").drop("__near").unionByName(near.select(*docs.columns))
