@@ -5,17 +5,19 @@ for each source, each language and each topic; a cell's probability is its raked
 one, with the cap's loss spread over the other cells. A document is kept by a fixed hash of its id against its cell's probability, so
 a rerun keeps the same documents.
 
-Cells are summed by Spark. Up to CELL_BOUND of them are raked in numpy on the driver; above, the same steps run as joins and sums
-with checkpoints. Topics, where the table has none, are clusters of hashed word counts: centres are fitted on a bounded sample and
-every document is given its nearest centre from its whole text.
-
-Edge cases: null source, language or topic is a value of its own; a document without tokens has its cell's probability, and one
-where the cell has no tokens; targets of values that no cell has are left out and the rest scaled up; empty tables give no rows.
+Cells are summed by Spark. Up to CELL_BOUND of them are raked in numpy on the driver; above, the same steps, with the same number of
+sweeps and tolerance, run as joins and sums with checkpoints. Topics, where the table has none, are clusters of hashed word counts:
+centres are fitted on all documents in rounds of sums, and every document is given its nearest centre from its whole text.
+
+Edge cases: null source, language or topic is a value of its own; a document without tokens (null or empty text) has its cell's
+probability, and one where the cell has no tokens; targets of values that no cell has are left out and the rest scaled up; empty
+tables give no rows. Very long texts count whole. Repeated rows of an id are each given the same verdict where their cells agree; a
+tie between centres goes to the first. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.arrow_text import byte_view, column, lowered, map_text, run_lengths, word_hashes, words
-from tallyloom.session import cut, stored
+from tallyloom.session import cut, discard, stored
 
 AXES = ("source", "lang", "topic")
-#: Documents that topic centres are fitted on, at most about; topics; hashed dimensions.
-SAMPLE_DOCS, TOPICS, DIMS = 4_000, 8, 256
+#: Topics; hashed dimensions; rounds of fitting their centres, at most; candidates for each first centre.
+TOPICS, DIMS, ROUNDS, SPREAD = 8, 256, 10, 16
 #: Cells that may be brought to the driver (and broadcast): about 100 bytes each.
 CELL_BOUND = 100_000
 SWEEPS, TOLERANCE = 200, 1e-9
@@ -54,28 +56,72 @@ def _counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), sizes
 
 
-def fit_topics(docs: DataFrame, text: str = "text", id_col: str = "doc_id", topics: int = TOPICS, sample_docs: int = SAMPLE_DOCS, seed: int = 5) -> Centres:
-    """Spherical k-means over the hashed counts of about `sample_docs` documents, chosen by the hash of their ids."""
-    share = max(1, docs.count() // sample_docs)
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(share)) == 0)
+#: Whole numbers stand for vector entries, so that sums don't depend on the order of tasks: entries of stored vectors, and of the rows summed.
+STORED, SUMMED = 10_000, 1_000_000
+
+
+def _scaled_sums(frame: DataFrame, size: int, rows: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sums over all stored vectors of what `rows` gives: for each, a slot and a row of whole numbers; `size` slots of DIMS numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, DIMS), dtype=np.int64)
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.int16).reshape(-1, DIMS)
+            slot, own = rows(x.astype(np.float64) / STORED)
+            for k in range(size):
+                total[k] += own[slot == k].sum(axis=0)
+        flat = total.reshape(-1)
+        cell = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(flat[cell])], names=["cell", "x"])
+
+    out = np.zeros(size * DIMS)
+    for r in frame.mapInArrow(run, "cell int, x bigint").groupBy("cell").agg(F.sum("x").alias("x")).collect():  # size x DIMS rows at most
+        out[r.cell] = r.x
+    return out.reshape(size, DIMS) / SUMMED
 
-    def rows(part: pa.RecordBatch) -> dict:
-        return {"x": list(_counts(*byte_view(part, text))[0].astype(np.float32))}
 
-    got = map_text(some, [], "x array<float>", rows, text).limit(2 * sample_docs).toArrow()["x"].to_pylist()
-    x = np.array(sorted(got), dtype=np.float64).reshape(-1, DIMS)
-    if not len(x):
+def fit_topics(docs: DataFrame, text: str = "text", id_col: str = "doc_id", topics: int = TOPICS, rounds: int = ROUNDS) -> Centres:
+    """Spherical k-means over the hashed counts of all documents: each round sums the rows of each centre in Spark.
+
+    The first centres are spread out among the documents of least text hash.
+    """
+
+    def rows(part: pa.RecordBatch) -> dict:
+        x = np.round(_counts(*byte_view(part, text))[0] * STORED).astype(np.int16)
+        return {"x": [r.tobytes() for r in x], "pick": column(part, "pick")}
+
+    picked = docs.select(F.col(text).alias(text), F.xxhash64(F.col(text).cast("string"), F.lit(3)).alias("pick"))
+    vectors = stored(map_text(picked, ["pick"], "x binary, pick bigint", rows, text), "vectors")
+    number = vectors.count()
+    if not number:
+        discard(vectors)
         return Centres(np.zeros(DIMS), np.zeros((1, DIMS)))
-    mean = x.mean(axis=0)
-    x = x - mean
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rng = np.random.default_rng(seed)
-    centres = x[rng.choice(len(x), min(topics, len(x)), replace=False)]
-    for _ in range(25):
-        near = (x @ centres.T).argmax(axis=1)
-        sums = np.stack([x[near == k].sum(axis=0) for k in range(len(centres))])
+    mean = _scaled_sums(vectors.select("x"), 1, lambda x: (np.zeros(len(x), np.int64), np.round(x * SUMMED).astype(np.int64)))[0] / number
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        x = x - mean
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    some = vectors.select("pick", "x").distinct().orderBy("pick", "x").limit(SPREAD * topics).collect()
+    first = unit(np.stack([np.frombuffer(r.x, dtype=np.int16) for r in some]).astype(np.float64) / STORED)
+    near, chosen = np.full(len(first), -2.0), [0]
+    while len(chosen) < min(topics, len(first)):
+        near = np.maximum(near, first @ first[chosen[-1]])
+        chosen.append(int(near.argmin()))
+    centres = first[chosen]
+    for _ in range(rounds):
+        now = centres
+
+        def own(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            x = unit(x)
+            return (x @ now.T).argmax(axis=1), np.round(x * SUMMED).astype(np.int64)
+
+        sums = _scaled_sums(vectors.select("x"), len(now), own)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(size > 1e-9, sums / np.maximum(size, 1e-12), centres)
+        centres = np.where(size > 1e-9, sums / np.maximum(size, 1e-12), now)
+        if np.abs(centres - now).max() < 1e-4:
+            break
+    discard(vectors)
     return Centres(mean, centres)
 
 
@@ -146,7 +192,7 @@ def _raked_here(cells: DataFrame, targets: dict[str, dict[str, float]], fraction
     return cells.sparkSession.createDataFrame(got[[*AXES, "weight", "probability"]], "source string, lang string, topic string, weight double, probability double")
 
 
-def _raked_by_joins(cells: DataFrame, targets: dict[str, DataFrame], fraction: float, sweeps: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def _raked_by_joins(cells: DataFrame, targets: dict[str, DataFrame], fraction: float, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     now = cut(cells.withColumn("w", F.col("tokens") / F.lit(max(total, 1.0))))
     for _ in range(sweeps):
