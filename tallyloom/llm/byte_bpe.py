@@ -5,7 +5,9 @@ The model is written as protobuf bytes straight from the vocabulary: each token'
 merges the pair of best score first and the leftmost of equals, which is the byte-level rule "lowest rank first".
 
 Edge cases: null or empty text has no ids (the hash is that of no bytes); a pre-token that is itself in the vocabulary
-is one id; ids that the vocabulary lacks are refused when decoding. Repeated rows and extra columns pass through.
+is one id; ids that the vocabulary lacks are refused when decoding. Repeated rows come out once each; very long texts are encoded
+whole, and their distinct pre-tokens beyond CACHE_CHARS are not remembered; an empty table gives no rows; columns that are not kept
+aren't read, whatever their names. Of two merges of one score the leftmost comes first.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from tallyloom.llm.arrow_text import column, map_text, texts
 
 #: Distinct pre-tokens whose ids a worker remembers, and the longest that it remembers.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 CACHE_CHARS = 64
 #: \s as Unicode's White_Space property, which is what the rule's usual library takes it for.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -49,6 +51,11 @@ def _letters(data: bytes) -> str:
     return data.decode("latin-1").translate(_LETTER)
 
 
+def _bytes(piece: str) -> bytes:
+    """The inverse of _letters."""
+    return bytes(ord(c) - 0x100 for c in piece)
+
+
 _LETTER = {b: chr(0x100 + b) for b in range(256)}
 
 
@@ -84,9 +91,9 @@ class Codec:
     """Encodes and decodes texts with one model; keeps a bounded memory of pieces already seen."""
 
     def __init__(self, tokens: list[bytes], pattern: str) -> None:
-        self.tokens = tokens
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(tokens))
+        self.pieces = [_bytes(self.model.id_to_piece(i)) for i in range(len(tokens))]
         exact = pattern.replace("[^\\s", f"[^{SPACE}").replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]")
         self.pretokens = regex.compile(exact)
         self.known: dict[str, tuple[int, ...]] = {}
@@ -94,7 +101,7 @@ class Codec:
 
     def _learn(self, pretokens: set[str]) -> None:
         """Ids of unseen pre-tokens, in one call of the model."""
-        odd, number = [], range(len(self.tokens))
+        odd, number = [], range(len(self.pieces))
         for pre in pretokens:
             one = self.ids.get(pre.encode())
             if one is None:
@@ -123,7 +130,7 @@ class Codec:
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes that the ids stand for: the inverse of the byte mapping over each piece."""
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return b"".join(map(self.pieces.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
