@@ -1,15 +1,17 @@
 """Approximate nearest neighbours by a hash-prefix forest (cosine).
 
 Each tree gives a vector a long string of bits, the signs of random projections. A block of the index keeps, for each tree, the
-sorted array of its rows' strings. A query descends in each array to its longest matching prefix by binary search; then all trees
-ascend together, a bit at a time, and every row that comes to share the shorter prefix becomes a candidate and is scored exactly,
-until the probability that a row as near as the current k-th was missed by all trees is below `miss`.
+sorted array of its rows' strings. A query descends in each array to its longest match by binary search; from the deepest of these
+on all trees ascend together, a bit at a time, and every row that comes to share the shorter prefix becomes a candidate and is scored
+exactly, until the probability that a row as near as the current k-th was missed by all trees is below `miss`.
 
 The index is dealt into blocks of bounded size by a hash of the id, the stated queries into blocks too, and every block of queries
 visits every block of rows; each pair of blocks is one task's work and gives k rows a query, of which the best k stay.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part; only vectors of equal length
-are compared; a row is no neighbour of its own (rows that repeat an id count as that row); fewer than k candidates give fewer rows.
+are compared; a row is no neighbour of its own (rows that repeat an id count as that row); fewer than k candidates give fewer rows;
+ties go to the smaller id; an empty table gives no rows; other columns aren't read, whatever their names. A vector is a few hundred
+numbers; a block holds INDEX_BLOCK of them.
 """
 
 from __future__ import annotations
@@ -22,8 +24,6 @@ from pyspark.sql import functions as F
 TREES, BITS = 32, 48
 #: Rows of the index and queries that meet in one task.
 INDEX_BLOCK, QUERY_BLOCK = 8_192, 1_024
-#: Depth (bits) from which the trees ascend together; longer matches are all inside it.
-DEEPEST = 20
 
 
 def planes(dim: int, trees: int = TREES, bits: int = BITS) -> np.ndarray:
@@ -50,33 +50,46 @@ class Block:
         self.ids, self.x, self.trees, self.bits = ids[order], x[order], trees, bits
         self.unit = self.x / np.linalg.norm(self.x, axis=1, keepdims=True)
         self.planes = planes(x.shape[1], trees, bits)
-        keys = strings(self.x, self.planes, trees, bits)
-        self.order = np.argsort(keys, axis=0, kind="stable")
-        self.keys = np.take_along_axis(keys, self.order, axis=0)
+        keys = strings(self.x, self.planes, trees, bits).T
+        self.order = np.argsort(keys, axis=1, kind="stable")
+        self.keys = np.take_along_axis(keys, self.order, axis=1)
+
+    def longest(self, keys: np.ndarray) -> np.ndarray:
+        """The longest match of each query's string (queries x trees) in each tree's array: one of the two strings it falls between."""
+        out = np.zeros(keys.shape, dtype=np.int64)
+        for t in range(self.trees):
+            own = self.keys[t]
+            at = np.searchsorted(own, keys[:, t])
+            for near in (np.maximum(at - 1, 0), np.minimum(at, len(own) - 1)):
+                differ = own[near] ^ keys[:, t]
+                # frexp gives the number of bits of a whole number below 2**53
+                out[:, t] = np.maximum(out[:, t], self.bits - np.frexp(differ.astype(np.float64))[1])
+        return out
 
-    def nearest(self, query_id: int, q: np.ndarray, key: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], k: int, miss: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """Row numbers and cosines of the best k found, and how many rows were scored; bounds: per depth and tree, the range that shares it."""
-        seen = self.ids == query_id
+    def nearest(self, query_id: int, q: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, miss: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """Row numbers and cosines of the best k found, and how many rows were scored; low, high: for each depth from the deepest match
+        to 0 and each tree, the range of rows that share the prefix."""
+        taken = self.ids == query_id
         unit = q / np.linalg.norm(q)
         rows, scores, scored = np.zeros(0, np.int64), np.zeros(0), 0
-        low, high = bounds
-        done_low = done_high = None
-        for step, depth in enumerate(range(min(DEEPEST, self.bits), -1, -1)):
-            new = []
+        done_low, done_high = high[0], high[0]
+        for depth in range(len(low) - 1, -1, -1):
+            step = len(low) - 1 - depth
+            found = np.zeros(len(self.ids), dtype=bool)
             for t in range(self.trees):
-                a, b = low[step, t], high[step, t]
-                if done_low is None:
-                    new.append(self.order[a:b, t])
-                else:
-                    new += [self.order[a : done_low[t], t], self.order[done_high[t] : b, t]]
+                found[self.order[t, low[step, t] : done_low[t]]] = True
+                found[self.order[t, done_high[t] : high[step, t]]] = True
             done_low, done_high = low[step], high[step]
-            fresh = np.concatenate(new)
-            fresh = np.unique(fresh[~seen[fresh]])
+            fresh = np.flatnonzero(found & ~taken)
             if len(fresh):
-                seen[fresh] = True
+                taken[fresh] = True
                 scored += len(fresh)
+                near = self.unit[fresh] @ unit
+                if len(fresh) > 8 * k:  # a first cut; rows as near as the k-th stay, so that ties are decided by id
+                    best = near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-11
+                    fresh, near = fresh[best], near[best]
                 rows = np.concatenate([rows, fresh])
-                scores = np.concatenate([scores, self.unit[fresh] @ unit])
+                scores = np.concatenate([scores, near])
                 best = np.lexsort((self.ids[rows], -np.round(scores, 12)))[:k]
                 rows, scores = rows[best], scores[best]
             if len(rows) == k:
@@ -88,18 +101,20 @@ class Block:
     def search(self, ids: np.ndarray, x: np.ndarray, k: int, miss: float) -> list[tuple[int, int, float, int]]:
         """(query, row, cosine, rows scored) of each query's best k."""
         keys = strings(x, self.planes, self.trees, self.bits)
-        depths = range(min(DEEPEST, self.bits), -1, -1)
-        low = np.empty((len(x), len(depths), self.trees), dtype=np.int64)
+        deepest = self.longest(keys).max(axis=1)
+        top = int(deepest.max(initial=0))
+        low = np.empty((len(x), top + 1, self.trees), dtype=np.int64)
         high = np.empty_like(low)
-        for step, depth in enumerate(depths):
+        for depth in range(top + 1):
             shift = self.bits - depth
             start = keys >> shift << shift
             for t in range(self.trees):
-                low[:, step, t] = np.searchsorted(self.keys[:, t], start[:, t], side="left")
-                high[:, step, t] = np.searchsorted(self.keys[:, t], start[:, t] + ((1 << shift) - 1), side="right")
+                low[:, top - depth, t] = np.searchsorted(self.keys[t], start[:, t], side="left")
+                high[:, top - depth, t] = np.searchsorted(self.keys[t], start[:, t] + ((1 << shift) - 1), side="right")
         out = []
         for i, one in enumerate(ids):
-            rows, scores, scored = self.nearest(int(one), x[i], keys[i], (low[i], high[i]), k, miss)
+            from_ = top - int(deepest[i])
+            rows, scores, scored = self.nearest(int(one), x[i], low[i, from_:], high[i, from_:], k, miss)
             out += [(int(one), int(self.ids[r]), float(s), scored) for r, s in zip(rows, scores, strict=True)]
         return out
 
