@@ -6,7 +6,9 @@ matched by an inverted index: each rule stands under one of its items, a URL loo
 whose items it has; the most confident wins (then the better supported, the longer, and the first in order).
 
 Edge cases: a null URL or one without "://" has an empty host and path, no items and the default verdict; labels that are null
-don't count; with no labelled rows there are no mined rules. Repeated rows come out once each.
+don't count; with no labelled rows there are no mined rules. Repeated rows come out once each; very long URLs are judged whole; rules
+that tie are told apart by length, then by their items in order; columns of pages other than the id and the URL aren't read, whatever
+their names; an empty table of pages gives no rows.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from tallyloom.session import stored
 
 # Fixed values: (verdict, host, path) of the base rules.
 BASE_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Mining: least share of labelled URLs, least confidence, least gain of a longer rule over its parts; most rules kept (they are broadcast).
-SUPPORT, CONFIDENCE, GAIN, MOST_RULES = 0.002, 0.6, 0.02, 5_000
+#: Mining: least share of labelled URLs, least confidence, least gain of a longer rule over its parts.
+SUPPORT, CONFIDENCE, GAIN = 0.002, 0.6, 0.02
 #: Labelled URLs that are mined, at most about; the rarest item kinds are dropped before mining by the support threshold itself.
 SAMPLE_URLS = 200_000
 BLOCK, ALLOW = "verdict=block", "verdict=allow"
@@ -65,8 +67,8 @@ def items_of(host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(parents, tokens, words, shapes, extra)))
 
 
-def mined_rules(marked: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, gain: float = GAIN, most: int = MOST_RULES) -> DataFrame:
-    """items, verdict, confidence, support: the pruned rules of marked(items, verdict), at most `most`, best first."""
+def mined_rules(marked: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, gain: float = GAIN) -> DataFrame:
+    """items, verdict, confidence, support: the pruned rules of marked(items, verdict)."""
     baskets = marked.select(F.array_union("items", F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items")).where(F.size("items") > 1)
     spark = marked.sparkSession
     schema = "items array<string>, verdict string, confidence double, support double"
@@ -74,7 +76,7 @@ def mined_rules(marked: DataFrame, support: float = SUPPORT, confidence: float =
     if not total:
         return spark.createDataFrame([], schema)
     sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).freqItemsets
-    sets = stored(sets.where(F.size("items") <= 4).select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+    sets = stored(sets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
     # a rule is a frequent set with one verdict in it; its confidence is that set's count over the count without the verdict
     with_verdict = sets.select(
         F.array_sort(F.filter("items", lambda x: ~x.startswith("verdict="))).alias("items"),
@@ -92,18 +94,20 @@ def mined_rules(marked: DataFrame, support: float = SUPPORT, confidence: float =
     shorter = shorter.select("items", "verdict", "confidence", F.array_except("items", F.array("out")).alias("part"))
     parts = rules.select(F.col("items").alias("part"), "verdict", F.col("confidence").alias("part_confidence"))
     weak = shorter.join(parts, ["part", "verdict"]).where(F.col("part_confidence") > F.col("confidence") - gain).select("items", "verdict").distinct()
-    return rules.join(weak, ["items", "verdict"], "left_anti").orderBy(F.desc("confidence"), F.desc("support"), "items", "verdict").limit(most).select("items", "verdict", "confidence", "support")
+    return rules.join(weak, ["items", "verdict"], "left_anti").select("items", "verdict", "confidence", "support")
+
+
+def index_of(rules: DataFrame) -> DataFrame:
+    """item, rule_items, rule_verdict, confidence, support: each rule once, under that of its items that fewest rules share."""
+    shared = rules.select(F.explode("items").alias("item")).groupBy("item").count()
+    numbered = rules.withColumn("rule", F.xxhash64("items", "verdict"))
+    least = numbered.select("rule", "items", "verdict", F.explode("items").alias("item")).join(shared, "item").groupBy("rule", "items", "verdict").agg(F.min(F.struct("count", "item")).alias("least"))
+    return numbered.join(least, ["rule", "items", "verdict"]).select("least.item", F.col("items").alias("rule_items"), F.col("verdict").alias("rule_verdict"), "confidence", "support")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """row, mined (struct confidence, support, verdict, items): the best rule all of whose items the URL of urls(row, items) has."""
-    rare = rules.select(F.explode("items").alias("item"), F.monotonically_increasing_id().alias("rule"), "items", "verdict", "confidence", "support")
-    shared = rare.groupBy("item").count()
-    # each rule stands under its least shared item
-    under = rare.join(shared, "item").groupBy("rule").agg(F.min(F.struct("count", "item")).alias("least"), F.first("items").alias("rule_items"), F.first("verdict").alias("rule_verdict"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
-    index = under.select(F.col("least.item").alias("item"), "rule_items", "rule_verdict", "confidence", "support")
-    index = F.broadcast(index)  # at most MOST_RULES rows
-    hits = urls.select("row", "items", F.explode("items").alias("item")).join(index, "item").where(F.size(F.array_except("rule_items", "items")) == 0)
+    hits = urls.select("row", "items", F.explode("items").alias("item")).join(index_of(rules), "item").where(F.size(F.array_except("rule_items", "items")) == 0)
     best = F.max(F.struct("confidence", "support", F.size("rule_items").alias("length"), F.array_join("rule_items", " ").alias("rule_text"), F.col("rule_verdict").alias("verdict")))
     return hits.groupBy("row").agg(best.alias("mined"))
 

@@ -63,3 +63,23 @@ def test_mined_rules_equal_brute_force_and_match(spark):
     for x in urls.collect():
         fit = [(f.confidence, f.support) for f in found if set(f["items"]) <= set(x["items"])]
         assert (max(fit) if fit else None) == ((got[x.row].confidence, got[x.row].support) if x.row in got else None)
+
+
+def test_every_rule_stands_once_in_the_index_under_its_least_shared_item(spark):
+    rules = [(["site=com", f"word=w{i}"], "block", 0.9, 0.1) for i in range(40)] + [(["ending=php", "site=com", "word=w0"], "allow", 0.8, 0.1), (["site=com"], "allow", 0.7, 0.5)]
+    frame = spark.createDataFrame(rules, "items array<string>, verdict string, confidence double, support double")
+    index = U.index_of(frame).collect()
+    assert sorted((x.rule_items, x.rule_verdict) for x in index) == sorted((r[0], r[1]) for r in rules)
+    under = {tuple(x.rule_items): x.item for x in index}
+    assert under[("site=com",)] == "site=com" and under[("ending=php", "site=com", "word=w0")] == "ending=php"
+    assert all(under[("site=com", f"word=w{i}")] == f"word=w{i}" for i in range(40))
+
+
+def test_long_urls_ties_and_an_empty_table(spark):
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    url = [f"http://h{i % 2}.biz/" + "x/" * (20_000 if i == 7 else 3) for i in range(40)]
+    pages = spark.createDataFrame([(i, u, 1, 2) for i, u in enumerate(url)] + [(3, url[3], 1, 2)], "page_id long, url string, verdict int, rule int")
+    out = U.judged(pages, labels).collect()
+    assert len(out) == 41 and all(x.verdict == ("block" if x.page_id % 2 else "allow") for x in out)
+    assert max(len(x.path) for x in out) == 40_001
+    assert U.judged(pages.limit(0), labels).count() == 0
