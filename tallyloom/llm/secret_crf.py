@@ -9,7 +9,9 @@ with a mark, and weighted windows without), with features dropped at random, so
 spans that the rules miss.
 
 Edge cases: null or empty text has no spans; offsets are code points, ends exclusive; an added span that overlaps a rule's span is
-dropped; with no sample (an empty table) or no marked token the field tags nothing.
+dropped; with no sample (an empty table) or no marked token the field tags nothing. Very long texts are searched whole; of tags with
+equal scores the first in the order outside, begin, inside is taken; repeated rows come out once each; columns other than the id and
+the text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -360,7 +362,7 @@ def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sample_do
     """Fit the field on windows of about `sample_docs` documents, chosen by the hash of their ids."""
     share = max(1, docs.count() // sample_docs)
     some = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(share)) == 0)
-    got = marked_chains(some, text).limit(SAMPLE_CHAINS).toArrow().to_pydict()
+    got = marked_chains(some, text).orderBy(F.xxhash64("x", "y"), "x", "y").limit(SAMPLE_CHAINS).toArrow().to_pydict()
     by_length: dict[int, tuple[list, list, list]] = {}
     for x, y, k in sorted(zip(got["x"], got["y"], got["k"], strict=True)):
         xs, ys, ks = by_length.setdefault(len(y), ([], [], []))
