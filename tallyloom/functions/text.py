@@ -92,27 +92,41 @@ def fact_hash(facts: Column, keep_empty: bool = False) -> Column:
     return F.sha2(text, 256) if keep_empty else F.when(F.size(used) > 0, F.sha2(text, 256))
 
 
-_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-# Fixed rule: explicit dates, as (pattern, order of year, month, day groups); a missing day leaves a month.
-_ISO = r"\b(20[0-9]{2})[-/.](0[1-9]|1[0-2])[-/.](0[1-9]|[12][0-9]|3[01])(?:\b|T)"
-_CN = r"(20[0-9]{2})年(1[0-2]|0?[1-9])月(3[01]|[12][0-9]|0?[1-9])日"
-_EN = rf"\b((?:{_MONTHS}) [0-9]{{1,2}}, 20[0-9]{{2}})\b"
-_EN2 = rf"\b([0-9]{{1,2}} (?:{_MONTHS}) 20[0-9]{{2}})\b"
+# Names of months, each short or whole.
+_MONTHS = ("jan(?:uary)?", "feb(?:ruary)?", "mar(?:ch)?", "apr(?:il)?", "may", "june?", "july?", "aug(?:ust)?", "sep(?:t(?:ember)?)?", "oct(?:ober)?", "nov(?:ember)?", "dec(?:ember)?")
+_MONTH = rf"({'|'.join(_MONTHS)})\.?"
+_NTH = r"([0-9]{1,2})(?:st|nd|rd|th)?"
+# Fixed rule: explicit dates, as (pattern, groups of year, month and day; 0 where there is no day).
+_FORMS = (
+    (r"\b(20[0-9]{2})[-/.](1[0-2]|0?[1-9])[-/.](3[01]|[12][0-9]|0?[1-9])(?:\b|T)", (1, 2, 3)),
+    (r"\b(20[0-9]{2})[-/.](1[0-2]|0?[1-9])\b(?![-/.](?:3[01]|[12][0-9]|0?[1-9])(?:\b|T))", (1, 2, 0)),
+    (r"(20[0-9]{2})\s*年\s*(1[0-2]|0?[1-9])\s*月\s*(3[01]|[12][0-9]|0?[1-9])\s*日", (1, 2, 3)),
+    (r"(20[0-9]{2})\s*年\s*(1[0-2]|0?[1-9])\s*月(?!\s*(?:3[01]|[12][0-9]|0?[1-9])\s*日)", (1, 2, 0)),
+    (rf"(?i)\b{_MONTH}\s+{_NTH},?\s+(20[0-9]{{2}})\b", (3, 1, 2)),
+    (rf"(?i)\b{_NTH}\s+{_MONTH},?\s+(20[0-9]{{2}})\b", (3, 2, 1)),
+    (rf"(?i)\b{_MONTH},?\s+(20[0-9]{{2}})\b", (2, 1, 0)),
+)
 _PATH = r"/(20[0-9]{2})/(0[1-9]|1[0-2])/(0[1-9]|[12][0-9]|3[01])(?:[/?#]|$)"
 
 
 def dates_in(text: Column) -> Column:
-    """All explicit days in a text as yyyy-MM-dd, in no order; days that don't exist are left out."""
-    numeric = lambda p: F.transform(
-        F.regexp_extract_all(text, F.lit(p), 0), lambda m: F.concat_ws("-", F.regexp_extract(m, p, 1), F.lpad(F.regexp_extract(m, p, 2), 2, "0"), F.lpad(F.regexp_extract(m, p, 3), 2, "0"))
-    )
-    named = lambda p, f: F.transform(F.regexp_extract_all(text, F.lit(p), 1), lambda m: F.date_format(F.try_to_timestamp(m, F.lit(f)), "yyyy-MM-dd"))
-    every = F.concat(numeric(_ISO), numeric(_CN), named(_EN, "MMMM d, yyyy"), named(_EN2, "d MMMM yyyy"))
-    return F.filter(every, lambda x: F.try_to_date(x, "yyyy-MM-dd").isNotNull())
+    """All explicit days (yyyy-MM-dd) and months (yyyy-MM) in a text, in no order; days that don't exist are left out."""
+    short = F.array(*[F.lit(m[:3]) for m in _MONTHS])
+
+    def found(pattern: str, year: int, month: int, day: int) -> Column:
+        def one(m: Column) -> Column:
+            part = lambda g: F.regexp_extract(m, pattern, g)
+            number = F.array_position(short, F.lower(F.substring(part(month), 1, 3))).cast("string") if "jan" in pattern else part(month)
+            return F.concat_ws("-", part(year), F.lpad(number, 2, "0"), *([F.lpad(part(day), 2, "0")] if day else []))
+
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), one)
+
+    every = F.concat(*[found(p, *groups) for p, groups in _FORMS])
+    return F.filter(every, lambda x: (F.length(x) == 7) | F.try_to_date(x, "yyyy-MM-dd").isNotNull())
 
 
 def latest_date(text: Column, today: Column) -> Column:
-    """The latest explicit day in the first 600 characters that is not after today (yyyy-MM-dd strings)."""
+    """The latest explicit day or month in the first 600 characters that is not after today (yyyy-MM-dd strings)."""
     return F.array_max(F.filter(dates_in(F.substring(text, 1, 600)), lambda x: x <= today))
 
 

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 MAX_RETRIES = 5
 
 
+def paired(primary: DataFrame, reviewer: DataFrame) -> DataFrame:
+    """item_id, primary_value, reviewer_value, disputed: both judgements of each item that either judge saw."""
+    both = primary.withColumnRenamed("value", "primary_value").join(reviewer.withColumnRenamed("value", "reviewer_value"), "item_id", "full")
+    return both.withColumn("disputed", F.coalesce(F.col("primary_value") != F.col("reviewer_value"), F.lit(False)))
+
+
 def adjudicated(primary: DataFrame, reviewer: DataFrame, arbiter: DataFrame) -> DataFrame:
     """item_id, outcome, value: equal judgements stand; of different ones the arbiter picks A or B, or the item stays pending.
 

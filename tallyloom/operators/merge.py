@@ -1,8 +1,9 @@
 """The ledger merge: candidates folded, in order, into events.
 
 Rows that can touch the same event share a key (evidence, URL, legacy id, fingerprint, or a matcher's verdict), so identity components
-fold independently. A component's rows stream through its task in order of seq; what is held is its events and the candidates that wait
-at the gate, not its rows.
+fold independently. A component's rows stream through its task in order of seq, and each outcome leaves as soon as it is final; what is
+held is the component's events and the candidates that wait at the gate, not its rows. A component is one task's work; candidate ids
+are distinct.
 
 Fold of one candidate, first rule that fits:
 no date and no new-content cursor: pending, date_verification; matched event, new evidence and different facts: update if the support
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.resolve import identity_components
 
-OUTCOME = "component string, row_kind string, candidate_id string, event_id string, outcome string, stage string, evidence_confidence string, facts string, n_evidence int"
+OUTCOME = "component string, row_kind string, candidate_id string, event_id string, outcome string, stage string, evidence_confidence string, facts string, n_evidence int, by_seq bigint, by_candidate string, place int"
+SEED = "event_id string, event_ord bigint, fingerprint string, facts string, evidence_id string, url string, legacy_id string, owner string, tier string, in_scope boolean"
 #: Columns of a candidate that the fold reads.
 READ = ("candidate_id", "seq", "fingerprint", "evidence_id", "url", "legacy_id", "verdict_event", "owner", "tier", "in_scope", "day", "has_cursor", "facts")
 
@@ -69,8 +71,12 @@ class _Ledger:
                 return self.events[found]
         return self.events.get(row["verdict_event"])
 
+    def left(self) -> list[dict]:
+        """The candidates that still wait."""
+        return [r for group in self.waiting.values() for r in group]
+
     def fold(self, row: dict) -> list[tuple[dict, str | None, str, str | None]]:
-        """(candidate, event id, outcome, stage) of the candidate, and of those promoted with it."""
+        """(candidate, event id, outcome, stage) of the candidate, and of those promoted with it; none for one that waits."""
         if row["day"] is None and not row["has_cursor"]:
             return [(row, None, "pending", "date_verification")]
         event = self._match(row)
@@ -84,6 +90,7 @@ class _Ledger:
         if weight == "low":
             if group:
                 self.waiting.setdefault(group, []).append(row)
+                return []
             return [(row, None, "pending", "evidence_gate")]
         if group:
             self.waiting.pop(group, None)
@@ -99,7 +106,8 @@ class _Ledger:
 
 
 def merge_ledger(candidates: DataFrame, seeds: DataFrame, baseline: str) -> DataFrame:
-    """Rows of two kinds: "candidate" (its last outcome) and "event" (its state, confidence, facts and number of evidences).
+    """Rows of two kinds: "candidate" (its last outcome, and which row of which seq brought it, at which place) and "event" (its state,
+    confidence, facts and number of evidences).
 
     candidates: the columns READ; seeds: (event_id, fingerprint, facts, evidence_id, url, legacy_id, owner, tier, in_scope), one for each
     piece of evidence of the events that are in the ledger already, in ledger order by event_ord.
@@ -115,11 +123,11 @@ def merge_ledger(candidates: DataFrame, seeds: DataFrame, baseline: str) -> Data
     ordered = rows.join(parts, "node").select(*columns).repartition("component").sortWithinPartitions("component", "kind", "event_ord", "seq", "candidate_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, ledger, last = None, _Ledger(baseline), {}
+        now, ledger = None, _Ledger(baseline)
 
         def flush() -> list[tuple]:
-            done = [(now, "candidate", cid, eid, outcome, stage, None, None, None) for cid, (eid, outcome, stage) in last.items()]
-            return done + [(now, "event", None, e.event_id, e.state, None, _confidence(e.evidence), e.facts, len(e.evidence)) for e in ledger.events.values()]
+            done = [(now, "candidate", r["candidate_id"], None, "pending", "evidence_gate", None, None, None, None, None, None) for r in ledger.left()]
+            return done + [(now, "event", None, e.event_id, e.state, None, _confidence(e.evidence), e.facts, len(e.evidence), None, None, None) for e in ledger.events.values()]
 
         names = [x.split(" ")[0] for x in OUTCOME.split(", ")]
         for frame in frames:
@@ -128,12 +136,11 @@ def merge_ledger(candidates: DataFrame, seeds: DataFrame, baseline: str) -> Data
                 if row["component"] != now:
                     if now is not None:
                         out += flush()
-                    now, ledger, last = row["component"], _Ledger(baseline), {}
+                    now, ledger = row["component"], _Ledger(baseline)
                 if row["kind"] == 0:
                     ledger.seed(row)
                 else:
-                    for r, event_id, outcome, stage in ledger.fold(row):
-                        last[r["candidate_id"]] = (event_id, outcome, stage)
+                    out += [(now, "candidate", r["candidate_id"], event_id, outcome, stage, None, None, None, row["seq"], row["candidate_id"], i) for i, (r, event_id, outcome, stage) in enumerate(ledger.fold(row))]
             yield pd.DataFrame(out, columns=names)
         if now is not None:
             yield pd.DataFrame(flush(), columns=names)
@@ -154,11 +161,18 @@ def commit(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
     spark.createDataFrame([(run_id, sorted(tables))], "run_id string, tables array<string>").coalesce(1).write.mode("overwrite").parquet(f"{root}/_manifest/run_id_part={run_id}")
 
 
-def current(spark, root: str, name: str) -> DataFrame:
-    """The table as of the last run in the manifest."""
+def last_run(spark, root: str, before: str | None = None) -> str | None:
+    """The last run in the manifest (before the given one); None where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_manifest")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
     runs = spark.read.parquet(f"{root}/_manifest")
-    last = runs.agg(F.max("run_id")).first()[0]
-    return spark.read.parquet(f"{root}/{name}/run_id={last}")
+    return (runs if before is None else runs.where(F.col("run_id") < before)).agg(F.max("run_id")).first()[0]
+
+
+def current(spark, root: str, name: str, run_id: str | None = None) -> DataFrame:
+    """The table as of the last run in the manifest, or as of the given one."""
+    return spark.read.parquet(f"{root}/{name}/run_id={run_id or last_run(spark, root)}")
 
 
 def append_history(row: DataFrame, path: str) -> None:

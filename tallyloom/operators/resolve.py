@@ -12,27 +12,37 @@ KEY_ORDER = ("evidence", "url", "legacy", "fingerprint", "verdict")
 def resolve_events(candidate_keys: DataFrame, event_keys: DataFrame) -> DataFrame:
     """candidate_id, event_id, tier: the first event that shares the strongest key.
 
-    candidate_keys(candidate_id, kind, key) and event_keys(event_id, event_ord, kind, key): one equi-join over all kinds of key, then the
-    least (tier, ledger order) by partial aggregation.
+    candidate_keys(candidate_id, kind, key) and event_keys(event_id, event_ord, kind, key): each key is reduced to its first event before
+    one equi-join over all kinds of key, so a key that many events share adds no rows; then the least (tier, ledger order) of a candidate.
     """
     rank = F.array_position(F.array(*[F.lit(k) for k in KEY_ORDER]), F.col("kind"))
-    hits = candidate_keys.join(event_keys, ["kind", "key"]).groupBy("candidate_id").agg(F.min(F.struct(rank.alias("rank"), "event_ord", "event_id")).alias("m"))
+    first = event_keys.groupBy("kind", "key").agg(F.min(F.struct("event_ord", "event_id")).alias("e")).select("kind", "key", "e.event_ord", "e.event_id")
+    hits = candidate_keys.join(first, ["kind", "key"]).groupBy("candidate_id").agg(F.min(F.struct(rank.alias("rank"), "event_ord", "event_id")).alias("m"))
     return hits.select("candidate_id", F.col("m.event_id").alias("event_id"), F.element_at(F.array(*[F.lit(k) for k in KEY_ORDER]), F.col("m.rank").cast("int")).alias("tier"))
 
 
 def recall_events(candidates: DataFrame, events: DataFrame, days: int = 45, k: int = 8) -> DataFrame:
     """candidate_id, event_id, rank: up to k events of the company with equal product or type and a date near by (or none).
 
-    An equi-join on the company; the rest is its residual. Two equi-joins on (company, product) and (company, type) keep a large
-    company's rows apart, so that not all its candidates meet all its events.
+    Equi-joins on (company, product) or (company, type) and a span of `days`: a dated candidate looks into its own span and the two beside
+    it, so that a large company's candidates meet events near by only. Rows without a date meet those of their company apart.
     """
-    near = F.col("c_day").isNull() | F.col("e_day").isNull() | (F.abs(F.datediff("c_day", "e_day")) <= days)
+    near = F.abs(F.datediff("c_day", "e_day")) <= days
+    span = lambda day: F.floor(F.unix_date(day) / days)
     c = candidates.select("candidate_id", "company", "product", "event_type", F.col("day").alias("c_day"))
     e = events.select("event_id", "company", "product", "event_type", F.col("day").alias("e_day"), "level_rank", "total")
-    by_product = c.drop("event_type").join(e.drop("event_type"), ["company", "product"]).where(near)
-    by_type = c.drop("product").join(e.drop("product"), ["company", "event_type"]).where(near)
     cols = ["candidate_id", "event_id", "level_rank", "total", "e_day"]
-    both = by_product.select(cols).unionByName(by_type.select(cols)).distinct()
+    c_near = c.where("c_day is not null").withColumn("span", F.explode(F.array(*[span("c_day") + i for i in (-1, 0, 1)])))
+    e_near = e.where("e_day is not null").withColumn("span", span("e_day"))
+    found = []
+    for own, other in (("product", "event_type"), ("event_type", "product")):
+        found.append(c_near.drop(other).join(e_near.drop(other), ["company", own, "span"]).where(near))
+        found.append(c.where("c_day is null").drop(other).join(e.drop(other), ["company", own]))
+        found.append(c.where("c_day is not null").drop(other).join(e.where("e_day is null").drop(other), ["company", own]))
+    both = found[0].select(cols)
+    for more in found[1:]:
+        both = both.unionByName(more.select(cols))
+    both = both.distinct()
     order = Window.partitionBy("candidate_id").orderBy(F.desc("level_rank"), F.desc("total"), F.desc_nulls_last("e_day"), "event_id")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("candidate_id", "event_id", "rank")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scoring import level_rank
+from tallyloom.session import stored
 
 
 def timeline(frames: list[DataFrame]) -> DataFrame:
@@ -21,9 +22,9 @@ def timeline_order() -> list[Column]:
 
 
 def timeline_query(
-    events: DataFrame, kind: str | None = None, company: str | None = None, origin: str | None = None, levels: tuple[str, ...] = (), since: str | None = None, q: str | None = None, offset: int = 0, limit: int = 20
+    events: DataFrame, kind: str | None = None, company: str | None = None, origin: str | None = None, levels: tuple[str, ...] = (), since: str | None = None, q: str | None = None, offset: int = 0, limit: int = 20, most: int = 200
 ) -> DataFrame:
-    """A page of the timeline with `total`, the number of matches; every condition is optional."""
+    """A page of the timeline (of `most` rows at most) with `total`, the number of matches; every condition is optional."""
     for name, value in (("kind", kind), ("company", company), ("origin", origin)):
         if value is not None:
             events = events.where(F.col(name) == value)
@@ -33,7 +34,7 @@ def timeline_query(
         events = events.where(F.col("date_key") >= since)
     if q:
         events = events.where(F.lower(F.concat_ws(" ", "title", "company", "kind")).contains(q[:200].lower()))
-    size = max(1, min(200, limit))
+    size = max(1, min(most, limit))
     total = events.agg(F.count(F.lit(1)).alias("total"))
     # a page is the head of one order: Spark keeps offset + size rows of each partition, no more
     page = events.orderBy(*timeline_order()).limit(offset + size)
@@ -41,6 +42,26 @@ def timeline_query(
     return page.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").drop("one")
 
 
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with `name`, its place (1, 2, ...) in a total order: ranges of the order are numbered apart and shifted by the rows before them."""
+    part = stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    # one row for each partition, so this window is as short as the job is wide
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = part.groupBy("__part").count().select("__part", before.alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("__before")
+    return part.join(F.broadcast(shift), "__part").withColumn(name, place).drop("__part", "__before")
+
+
+def featured(level: Column) -> Column:
+    """Whether an event is shown among the featured ones."""
+    return F.coalesce(level.isin("L1", "L2"), F.lit(False))
+
+
+def in_stated_order(df: DataFrame, order: Column, *ties: Column) -> DataFrame:
+    """The rows that state their place in a comparison, numbered by it; rows without a place take no part."""
+    return numbered(df.where(order.isNotNull()), "place", order.asc(), *ties)
+
+
 def headline(studies: DataFrame) -> DataFrame:
     """The best study of each company: scope, then design rank, then completeness, then date; an ordered minimum, no gathering."""
     order = F.struct((~F.col("in_scope")).alias("s"), "design_rank", (-F.col("filled")).alias("c"), (-F.unix_date("day")).alias("d"), "study_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scoring import bands_of_score, importance, level_rank
 from tallyloom.operators import evidence
+from tallyloom.operators.surface import numbered
 from tallyloom.plans.base import EVENTS, REGISTRY
 from tallyloom.plans.registry import query
 from tallyloom.sources import adapters as A
@@ -97,9 +98,8 @@ SELECT event_id, company, event_type, level, total, day, rank FROM s"""
 def r1_hot_view(spark: SparkSession, d: str) -> DataFrame:
     """The hot view of the public report: public events since a day, in ledger order."""
     e = A.ledger_events(spark, d).where(evidence.is_public()).withColumn("day", F.date_format("occurred_at", "yyyy-MM-dd")).where("day >= '2001-01-01'")
-    # The view is a ranked report of recent events: its order is total, so one sort decides it.
-    order = Window.orderBy(level_rank(F.col("level")).desc(), F.desc("total"), F.desc("day"), "event_id")
-    return e.select("event_id", "company", "event_type", "level", "total", "day", F.row_number().over(order).cast("bigint").alias("rank"))
+    order = [level_rank(F.col("level")).desc(), F.desc("total"), F.desc("day"), F.asc("event_id")]
+    return numbered(e.select("event_id", "company", "event_type", "level", "total", "day"), "rank", *order)
 
 
 @query(

@@ -35,7 +35,7 @@ def merged(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def e3_merge_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """Every candidate's outcome and every event after the fold (order decides, so there is no SQL; tests hold it against a plain fold)."""
+    """Every candidate's outcome and every event after the fold (order decides, so there is no SQL; a test holds it against a plain fold)."""
     return merged(spark, d).drop("component")
 
 
@@ -105,3 +105,73 @@ def t7_cursors(spark: SparkSession, d: str) -> DataFrame:
     none = e.select("source_id", F.col("ts").alias("cursor_at")).limit(0)
     first = streams.advance_cursor(none, e.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")))
     return streams.advance_cursor(first, e)
+
+
+def _streamed_ledger(spark: SparkSession, d: str) -> str:
+    """The folder of a ledger that a stream of events, in four files, was merged into batch by batch."""
+    folder = _folder(spark, "t5")
+    A.table(spark, d, "events").repartitionByRange(4, "event_id").write.parquet(f"{folder}/hits")
+    say = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    e = spark.readStream.schema(A.table(spark, d, "events").schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/hits").join(A.registry(spark, d), F.col("source_id") == F.col("user_id") % 10 + 1)
+    rows = e.select(
+        say("c", F.col("event_id")).alias("candidate_id"), F.col("event_id").alias("seq"), say("f", F.col("event_id") % 300).alias("fingerprint"), say("e", F.col("event_id")).alias("evidence_id"), F.lit(None).cast("string").alias("url"),
+        F.lit(None).cast("string").alias("legacy_id"), F.lit(None).cast("string").alias("verdict_event"), F.col("editorial_owner").cast("string").alias("owner"), "tier", (F.col("scope") == "1").alias("in_scope"),
+        F.lit("2024-01-01").alias("day"), F.lit(False).alias("has_cursor"), F.lit("a").alias("facts"),
+    )
+    streams.run_to_end(rows, "append", folder, streams.ledger_sink(f"{folder}/ledger", "2020-01-01"))
+    return f"{folder}/ledger"
+
+
+_GATED = f"""WITH {REGISTRY}, c AS (SELECT 'f' || event_id % 300 AS fingerprint, tier, editorial_owner AS owner, scope = '1' AS in_scope FROM events JOIN registry ON source_id = user_id % 10 + 1),
+g AS (SELECT fingerprint, count(*) AS n, coalesce(bool_or(tier = 'authoritative' AND in_scope), false) AS high, count(DISTINCT owner) FILTER (WHERE tier = 'trusted') >= 2 AS medium FROM c GROUP BY 1)"""
+
+
+@query(f"{_GATED} SELECT fingerprint, n AS n_evidence FROM g WHERE high OR medium")
+def t5_ledger_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger's events after the stream, and how much evidence each has."""
+    edges = merge.current(spark, _streamed_ledger(spark, d), "evidence")
+    return edges.groupBy("event_id", "fingerprint").agg(F.count_distinct("evidence_id").alias("n_evidence")).select("fingerprint", "n_evidence")
+
+
+@query(f"{_GATED} SELECT fingerprint, n FROM g WHERE NOT (high OR medium)")
+def k1_waiting_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates that wait at the gate after the last committed batch, by fingerprint; a batch run again changes nothing."""
+    root = _streamed_ledger(spark, d)
+    merge.commit({"waiting": spark.range(3), "evidence": spark.range(3), "history": spark.range(3)}, root, "0000000000")  # an earlier run, repeated
+    return merge.current(spark, root, "waiting").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS rows, sum(l_quantity)::BIGINT AS quantity, l_returnflag AS run FROM lineitem GROUP BY 3")
+def k2_run_history(spark: SparkSession, d: str) -> DataFrame:
+    """One line for each run, appended and read back."""
+    folder = f"{_folder(spark, 'k2')}/history"
+    runs = A.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("run")).agg(F.count(F.lit(1)).alias("rows"), F.sum("l_quantity").cast("bigint").alias("quantity"))
+    merge.append_history(runs.where("run < 'N'"), folder)
+    merge.append_history(runs.where("run >= 'N'"), folder)
+    return spark.read.schema("rows bigint, quantity bigint, run string").json(folder)
+
+
+@query("SELECT ts < TIMESTAMP '2024-01-12' AS late, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1")
+def t6_late_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits from before the baseline go to a branch of their own; none is lost to a watermark."""
+    folder = _folder(spark, "t6")
+    e = streams.hits(spark, f"{d}/events.parquet", A.table(spark, d, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = []
+    for name, rows in zip(("now", "late"), streams.split_late(e, "ts", F.lit("2024-01-12").cast("timestamp")), strict=True):
+        streams.run_to_end(rows.select("event_id"), "append", f"{folder}/{name}")
+        out.append(spark.read.parquet(f"{folder}/{name}/out").select(F.lit(name == "late").alias("late"), "event_id"))
+    return out[0].union(out[1]).groupBy("late").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query(
+    """WITH s AS (SELECT user_id AS source_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events),
+g AS (SELECT source_id, ts, sum(new) OVER (PARTITION BY source_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM s) SELECT source_id, min(ts) AS begins, count(*) AS hits FROM g GROUP BY source_id, k"""
+)
+def t2_stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of each source in sessions that a gap of six hours ends; the watermark spans the table, so all sessions are closed by the last row."""
+    folder = _folder(spark, "t2s")
+    e = _runs(spark, d)
+    counts = streams.session_counts(e, "ts", "6 hours", "400 days")
+    streams.run_to_end(counts.select("source_id", F.col("w.start").alias("begins"), "hits"), "complete", folder)
+    out = spark.read.parquet(f"{folder}/out")
+    return out.join(out.agg(F.max("batch").alias("batch")), "batch").select("source_id", F.col("begins").cast("timestamp_ntz").alias("begins"), "hits")

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
 from tallyloom.operators import adjudicate, health, resolve
+from tallyloom.operators.surface import numbered
 from tallyloom.plans.base import EVENTS, REGISTRY
 from tallyloom.plans.registry import query
 from tallyloom.sources import adapters as A
 
+#: Discovery queries that a configuration may hold.
+TASKS = 1_000
+
 _KEYS = """ck AS (
   SELECT l_orderkey * 10 + l_linenumber AS candidate_id, 'evidence' AS kind, 'p' || l_partkey AS key FROM lineitem WHERE l_returnflag = 'A'
   UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'url', 's' || l_suppkey FROM lineitem WHERE l_returnflag = 'R'
@@ -61,17 +65,15 @@ _HOST = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)),
 
 @query(
     f"""WITH u AS (SELECT page_id AS url_id, {_HOST} AS host FROM pages), reg AS (SELECT row_number() OVER (ORDER BY h) AS source_id, h AS r_host,
-  CASE (row_number() OVER (ORDER BY h)) % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS t FROM (SELECT DISTINCT regexp_replace(host, '^(m|blog)\\.', '') AS h FROM u) WHERE substr(h, 1, 3) < 'thn'),
+  CASE (row_number() OVER (ORDER BY h)) % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS t FROM (SELECT DISTINCT regexp_replace(host, '^(m|blog)\\.', '') AS h FROM u)),
 m AS (SELECT url_id, host, source_id, t, row_number() OVER (PARTITION BY url_id ORDER BY t DESC NULLS LAST, source_id) AS n FROM u LEFT JOIN reg ON host = r_host OR ends_with(host, '.' || r_host) OR ends_with(r_host, '.' || host))
 SELECT url_id, host, source_id, CASE t WHEN 3 THEN 'authoritative' WHEN 2 THEN 'trusted' ELSE 'discovery' END AS tier FROM m WHERE n = 1"""
 )
 def j3_attach_source(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     host = F.regexp_replace(F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]*)", 1)), r"^www\.", "")
     urls = A.table(spark, d, "pages").select(F.col("page_id").alias("url_id"), host.alias("host"))
-    names = urls.select(F.regexp_replace("host", r"^(m|blog)\.", "").alias("host")).distinct().where("substr(host, 1, 3) < 'thn'")
-    reg = names.withColumn("source_id", F.row_number().over(Window.orderBy("host")).cast("bigint"))  # the registry is numbered once, as a small table
+    names = urls.select(F.regexp_replace("host", r"^(m|blog)\.", "").alias("host")).distinct()
+    reg = numbered(names, "source_id", F.asc("host"))
     reg = reg.withColumn("tier", F.when(F.col("source_id") % 3 == 0, "authoritative").when(F.col("source_id") % 3 == 1, "trusted").otherwise("discovery"))
     return resolve.attach_sources(urls, reg)
 
@@ -133,11 +135,12 @@ def j9_archive_override(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {REGISTRY} SELECT n_name || ' ' || r_name AS task, source_id FROM (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) CROSS JOIN (SELECT source_id FROM registry WHERE NOT enabled)")
 def j10_manual_tasks(spark: SparkSession, d: str) -> DataFrame:
-    """Each discovery query for each manual source: the query list is written in the configuration, so it is small by nature."""
+    """Each discovery query for each manual source: the query list is configuration; beyond TASKS of them it is refused."""
     q = A.table(spark, d, "nation").join(A.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws(" ", "n_name", "r_name").alias("task"))
-    names = q.agg(F.collect_set("task").alias("tasks"))
-    manual = A.registry(spark, d).where("not enabled").select("source_id", F.lit(1).alias("k"))
-    return manual.join(names.withColumn("k", F.lit(1)), "k").select(F.explode("tasks").alias("task"), "source_id")
+    tasks = [r.task for r in q.limit(TASKS + 1).collect()]
+    if len(tasks) > TASKS:
+        raise ValueError(f"more than {TASKS} discovery queries")
+    return A.registry(spark, d).where("not enabled").select(F.explode(F.array(*[F.lit(t) for t in tasks])).alias("task"), "source_id")
 
 
 @query(
@@ -281,3 +284,22 @@ def g3_independent_sources(spark: SparkSession, d: str) -> DataFrame:
 def p1_rejected_urls(spark: SparkSession, d: str) -> DataFrame:
     """Rows that the canonical form refuses."""
     return X.canonical_urls(A.table(spark, d, "pages").select("page_id", "url"))[1].select("page_id", "url")
+
+
+@query("SELECT o_orderkey AS candidate_id, o_orderkey % 9 AS retry_count FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey % 9 >= 5")
+def f11_stalled(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates that could be replayed but have used up their attempts."""
+    status = F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("pending").alias("status")
+    c = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("candidate_id"), (F.col("o_orderkey") % 9).alias("retry_count"), status, F.col("o_orderpriority").alias("stage"), F.lit(True).alias("has_payload"))
+    return c.where(adjudicate.retry_fate(("1-URGENT", "2-HIGH")) == "stalled").select("candidate_id", "retry_count")
+
+
+@query(
+    """WITH a AS (SELECT doc_id AS item_id, toxic AS a FROM labels WHERE doc_id % 5 <> 1), b AS (SELECT doc_id AS item_id, CAST(n_chars % 3 = 0 AS INT) AS b FROM documents WHERE doc_id % 7 <> 2)
+SELECT item_id, a.a AS primary_value, b.b AS reviewer_value, a.a IS NOT NULL AND b.b IS NOT NULL AND a.a <> b.b AS disputed FROM a FULL JOIN b USING (item_id)"""
+)
+def j12_judgements(spark: SparkSession, d: str) -> DataFrame:
+    """Two judges' values of each item side by side, whoever saw it."""
+    a = A.table(spark, d, "labels").where("doc_id % 5 <> 1").select(F.col("doc_id").alias("item_id"), F.col("toxic").alias("value"))
+    b = A.table(spark, d, "documents").where("doc_id % 7 <> 2").select(F.col("doc_id").alias("item_id"), (F.col("n_chars") % 3 == 0).cast("int").alias("value"))
+    return adjudicate.paired(a, b)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import scoring
 from tallyloom.functions import text as X
 from tallyloom.operators import adjudicate, evidence, health
+from tallyloom.operators.surface import numbered
 from tallyloom.plans.base import EVENTS, REGISTRY
 from tallyloom.plans.registry import query
 from tallyloom.sources import adapters as A
@@ -45,15 +46,14 @@ def j8_company_dimension(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "c_name", "n_name", "r_name")
 
 
-@query("WITH v AS (SELECT o_orderpriority AS view, o_orderkey AS event_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM orders) SELECT view, pos, event_id, o_orderstatus AS status FROM v JOIN orders ON event_id = o_orderkey WHERE pos <= 10")
+@query("WITH v AS (SELECT o_orderpriority AS view, o_orderkey AS event_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM orders) SELECT view, pos, event_id, o_orderstatus AS status FROM v JOIN orders ON event_id = o_orderkey")
 def j14_view_join(spark: SparkSession, d: str) -> DataFrame:
     """Ordered id lists of views joined back to their stories."""
     o = A.table(spark, d, "orders")
-    w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    top = o.withColumn("pos", F.row_number().over(w)).where("pos <= 10")
-    lists = top.groupBy(F.col("o_orderpriority").alias("view")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "o_orderkey"))), lambda x: x["o_orderkey"]).alias("ids"))
-    flat = lists.select("view", F.posexplode("ids").alias("p", "event_id"))
-    return flat.join(o, F.col("event_id") == F.col("o_orderkey")).select("view", (F.col("p") + 1).alias("pos"), "event_id", F.col("o_orderstatus").alias("status"))
+    view = numbered(o.select(F.col("o_orderpriority").alias("view"), F.col("o_orderkey").alias("event_id"), "o_totalprice"), "at", F.asc("view"), F.desc("o_totalprice"), F.asc("event_id"))
+    begins = view.groupBy("view").agg(F.min("at").alias("first"))
+    flat = view.join(begins, "view").select("view", (F.col("at") - F.col("first") + 1).alias("pos"), "event_id")
+    return flat.join(o, F.col("event_id") == F.col("o_orderkey")).select("view", "pos", "event_id", F.col("o_orderstatus").alias("status"))
 
 
 @query("SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 3 <> 0 THEN d.source END, 'from ' || b.item_id, 'none') AS content FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")
@@ -102,10 +102,10 @@ def p22_study_kind(spark: SparkSession, d: str) -> DataFrame:
     return g.select("study", kind.alias("kind"), F.when(F.col("design") <= 1, "L1").when(F.col("design") <= 3, "L2").otherwise("L3").alias("level"))
 
 
-@query("SELECT l_suppkey AS anchor, round(avg(l_quantity), 4) AS sens FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1 ORDER BY avg(l_quantity) DESC, 1 LIMIT 15")
+@query("SELECT l_suppkey AS anchor, round(avg(l_quantity), 4) AS sens, row_number() OVER (ORDER BY avg(l_quantity) DESC, l_suppkey) AS place FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1")
 def w8_anchor_ranking(spark: SparkSession, d: str) -> DataFrame:
     g = A.table(spark, d, "lineitem").where("l_linestatus = 'O'").groupBy(F.col("l_suppkey").alias("anchor")).agg(F.avg("l_quantity").alias("s"))
-    return g.orderBy(F.desc("s"), "anchor").limit(15).select("anchor", F.round("s", 4).alias("sens"))
+    return numbered(g, "place", F.desc("s"), F.asc("anchor")).select("anchor", F.round("s", 4).alias("sens"), "place")
 
 
 @query(f"WITH {EVENTS}, i AS (SELECT event_id, level, is_public AND publication_state = 'first' AND level IN ('L1', 'L2') AS daily, row_number() OVER (ORDER BY level_rank DESC, total DESC, strftime(occurred_at, '%Y-%m-%d') DESC, event_id) AS place FROM pub WHERE is_public AND publication_state = 'first' AND occurred_at >= TIMESTAMP '2001-01-01') SELECT event_id, level, daily, place FROM i WHERE place <= 10")

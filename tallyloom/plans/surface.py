@@ -154,15 +154,22 @@ def w5_headline_study(spark: SparkSession, d: str) -> DataFrame:
     return S.headline(_studies(spark, d))
 
 
-@query(f"WITH {_STUDIES}, r AS (SELECT company, study_id, row_number() OVER (PARTITION BY company ORDER BY design_rank, day DESC, study_id) AS place FROM st) SELECT company, study_id, place FROM r WHERE place <= 10")
+@query(f"WITH {_STUDIES}, r AS (SELECT company, study_id, row_number() OVER (PARTITION BY company ORDER BY design_rank, day DESC, study_id) AS place FROM st) SELECT company, study_id, place FROM r")
 def w6_study_order(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("company").orderBy("design_rank", F.desc("day"), "study_id")
-    return _studies(spark, d).withColumn("place", F.row_number().over(w)).where("place <= 10").select("company", "study_id", "place")
+    return _studies(spark, d).withColumn("place", F.row_number().over(w)).select("company", "study_id", "place")
 
 
-@query(f"WITH {_STUDIES} SELECT study_id, sens FROM st WHERE in_scope ORDER BY design_rank, coalesce(sens, -1) DESC, study_id LIMIT 50")
+@query(f"WITH {_STUDIES} SELECT study_id, sens, row_number() OVER (ORDER BY design_rank, coalesce(sens, -1) DESC, study_id) AS place FROM st WHERE in_scope")
 def w7_performance_sort(spark: SparkSession, d: str) -> DataFrame:
-    return _studies(spark, d).where("in_scope").orderBy("design_rank", F.coalesce("sens", F.lit(-1)).desc(), "study_id").limit(50).select("study_id", "sens")
+    return S.numbered(_studies(spark, d).where("in_scope"), "place", F.asc("design_rank"), F.coalesce("sens", F.lit(-1)).desc(), F.asc("study_id")).select("study_id", "sens", "place")
+
+
+@query("SELECT p_partkey AS study_id, row_number() OVER (ORDER BY p_size, p_partkey) AS place, p_brand AS company FROM part WHERE p_size > 5")
+def w9_prospective(spark: SparkSession, d: str) -> DataFrame:
+    """The studies of the prospective comparison, in the order that they state."""
+    p = A.table(spark, d, "part").select(F.col("p_partkey").alias("study_id"), F.when(F.col("p_size") > 5, F.col("p_size")).alias("order"), F.col("p_brand").alias("company"))
+    return S.in_stated_order(p, F.col("order"), F.asc("study_id")).select("study_id", "place", "company")
 
 
 @query("SELECT conv_id AS event_id, max(turn) AS rev_no, max_by(role, turn) AS facts, count(*) AS revisions FROM conversations GROUP BY 1")

@@ -75,13 +75,13 @@ _CASCADE = " ".join(f"WHEN regexp_matches(lower(t), '{p}') THEN '{n}'" for n, p
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, substr(text, 1, 200) || CASE doc_id % 9 WHEN 0 THEN ' FDA clearance' WHEN 1 THEN ' poster at congress' WHEN 2 THEN ' sensitivity study' WHEN 3 THEN ' in Nature'
+    f"""WITH t AS (SELECT doc_id, text || CASE doc_id % 9 WHEN 0 THEN ' FDA clearance' WHEN 1 THEN ' poster at congress' WHEN 2 THEN ' sensitivity study' WHEN 3 THEN ' in Nature'
 WHEN 4 THEN ' to launch' WHEN 5 THEN ' and partner' WHEN 6 THEN ' merger' WHEN 7 THEN ' de novo' ELSE '' END AS t FROM documents)
 SELECT doc_id, CASE {_CASCADE} ELSE 'other' END AS event_type FROM t"""
 )
 def p5_classify(spark: SparkSession, d: str) -> DataFrame:
     tails = [" FDA clearance", " poster at congress", " sensitivity study", " in Nature", " to launch", " and partner", " merger", " de novo", ""]
-    title = F.concat(F.substring("text", 1, 200), F.element_at(F.array(*[F.lit(t) for t in tails]), (F.col("doc_id") % 9 + 1).cast("int")))
+    title = F.concat("text", F.element_at(F.array(*[F.lit(t) for t in tails]), (F.col("doc_id") % 9 + 1).cast("int")))
     return A.table(spark, d, "documents").select("doc_id", scoring.classify(title).alias("event_type"))
 
 
@@ -101,6 +101,25 @@ def p7_inferred_dates(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", day.alias("day"), X.stale_month(day, since).alias("stale"))
 
 
+@query(
+    r"""SELECT event_id, CASE WHEN event_id % 8 IN (2, 5, 6) THEN strftime(ts, '%Y-%m') WHEN event_id % 8 = 7 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events"""
+)
+def p7_date_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Short month names, ordinals, months without a day, single digits; what is no date stays none."""
+    say = lambda f: F.date_format("ts", f)
+    forms = [F.concat(say("MMM"), F.lit(". "), say("d"), F.lit("th "), say("yyyy")), F.concat(say("d"), F.lit("th "), say("MMM"), F.lit("., "), say("yyyy"), F.lit(" 13 Foo 2024")), F.concat(F.lit("in "), say("MMMM yyyy")),
+             F.concat(F.lit("ON "), F.upper(say("MMMM d yyyy"))), say("yyyy/M/d"), F.concat(say("yyyy"), F.lit(" 年 "), say("M"), F.lit(" 月")), F.concat(F.lit("since "), say("yyyy.MM"), F.lit(" and 2031-01")), F.lit("May the 4th, version 20.24.1")]
+    body = F.element_at(F.array(*forms), (F.col("event_id") % 8 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    return A.table(spark, d, "events").select("event_id", X.inferred_date(body, none, none, F.lit("2024-12-31")).alias("day"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN strftime(o_orderdate, '%Y-%m') < CASE o_orderkey % 2 WHEN 0 THEN '1996-07' ELSE '1998-01' END THEN strftime(o_orderdate, '%Y-%m') END AS stale FROM orders")
+def p8_stale_month(spark: SparkSession, d: str) -> DataFrame:
+    o = A.table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), X.stale_month(F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(F.col("o_orderkey") % 2 == 0, "1996-07").otherwise("1998-01")).alias("stale"))
+
+
 @query(
     """WITH p AS (SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders)
 SELECT id, rpad(d, 10, '-') AS padded, CASE length(d) WHEN 4 THEN d || '-00-00' WHEN 7 THEN d || '-00' ELSE d END AS date_key,
@@ -130,6 +149,21 @@ def p10_strip_html(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("body"))
 
 
+@query(
+    r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+f AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: trim(x, ' ') <> '' AND NOT regexp_matches(lower(trim(x, ' ')), '^(?:skip to |share|menu|home|search|login|sign in|cookie)')), true) AS f FROM l),
+b AS (SELECT doc_id, CASE WHEN f > 0 THEN l[f:] ELSE [] END AS b FROM f),
+t AS (SELECT doc_id, b, list_position(list_transform(b, lambda x, i: i > 1 AND regexp_matches(lower(trim(x, ' ')), '^(?:related articles|related posts|about the author|share this|相关阅读|相关文章|版权声明)')), true) AS t FROM b),
+j AS (SELECT doc_id, trim(regexp_replace(array_to_string(CASE WHEN t > 1 THEN b[:t - 1] ELSE b END, chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ') AS x FROM t),
+c AS (SELECT doc_id, CASE WHEN length(x) > 8000 THEN substr(x, 1, 8000) || '…' ELSE x END AS x FROM j)
+SELECT doc_id, length(x) AS n, sha256(x) AS body, CASE WHEN length(x) < 200 THEN 'failed' WHEN length(x) >= 400 THEN 'shown' ELSE 'stored' END AS status FROM c"""
+)
+def p9_clean_content(spark: SparkSession, d: str) -> DataFrame:
+    """The whole cleaned body, as a digest, and what becomes of it."""
+    docs = A.table(spark, d, "documents").select("doc_id", X.clean_content(F.col("text")).alias("x"))
+    return docs.select("doc_id", F.char_length("x").cast("bigint").alias("n"), F.sha2("x", 256).alias("body"), X.content_status(F.col("x")).alias("status"))
+
+
 @query(
     r"""WITH m AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(?:skip to |share|menu|home|search|login|sign in|cookie)')) AS l FROM documents)
 SELECT doc_id, CASE WHEN length(l[1]) > 8000 THEN substr(l[1], 1, 8000) || '…' ELSE l[1] END AS first_line FROM m"""

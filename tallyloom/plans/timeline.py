@@ -47,6 +47,26 @@ def f1_timeline_query(spark: SparkSession, d: str) -> DataFrame:
     return S.timeline_query(_timeline(spark, d), levels=("L1", "L2"), since="1997", q="INE 1", offset=10, limit=30).select("id", "date_key", "level", F.col("place").cast("bigint").alias("place"), "total")
 
 
+@query(
+    f"""WITH {_LINE}, f AS (SELECT * FROM tl WHERE level = 'L1' AND date_key >= substr('1996-01-01T00:00:00Z', 1, 10)),
+r AS (SELECT id, row_number() OVER (ORDER BY date_key DESC, id) AS place, count(*) OVER () AS total FROM f) SELECT * FROM r WHERE place <= 50"""
+)
+def f2_timeline_tool(spark: SparkSession, d: str) -> DataFrame:
+    """The tool's variant: one level, fifty rows at most, and a day out of a longer time."""
+    return S.timeline_query(_timeline(spark, d), levels=("L1",), since="1996-01-01T00:00:00Z"[:10], limit=400, most=50).select("id", F.col("place").cast("bigint").alias("place"), "total")
+
+
+@query(f"WITH {_LINE} SELECT id, row_number() OVER (ORDER BY date_key DESC, CASE level WHEN 'L1' THEN 3 WHEN 'L2' THEN 2 WHEN 'L3' THEN 1 ELSE 0 END DESC, id) AS place FROM tl")
+def w2_timeline_order(spark: SparkSession, d: str) -> DataFrame:
+    """Every event's place in the timeline."""
+    return S.numbered(_timeline(spark, d), "place", *S.timeline_order()).select("id", "place")
+
+
+@query(f"WITH {_LINE} SELECT id, level FROM tl WHERE level IN ('L1', 'L2')")
+def f12_featured(spark: SparkSession, d: str) -> DataFrame:
+    return _timeline(spark, d).where(S.featured(F.col("level"))).select("id", "level")
+
+
 @query(f"WITH {_LINE} SELECT id, date_key, level, score FROM tl WHERE origin = 'monitor' AND level IS NOT NULL AND date_diff('day', CAST(date_key AS DATE), DATE '2001-08-01') BETWEEN 0 AND 365 ORDER BY CASE level WHEN 'L1' THEN 3 WHEN 'L2' THEN 2 ELSE 1 END DESC, coalesce(score, 0) DESC, date_key DESC, id LIMIT 20")
 def w3_hot_list(spark: SparkSession, d: str) -> DataFrame:
     return S.hot_list(_timeline(spark, d).where("origin = 'monitor'"), F.lit("2001-08-01").cast("date"), 365).select("id", "date_key", "level", "score")

@@ -9,10 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyloom.operators import merge
+from tallyloom.operators.surface import numbered
+from tallyloom.session import stored
+
 
 def hits(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """A stream of the Parquet files at path (a folder or one file)."""
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 4).parquet(path[:-1] + "[" + path[-1] + "]")
+    """A stream of the Parquet files in the folder at path, or of the one file there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 4)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return reader.option("pathGlobFilter", at.getName()).parquet(str(at.getParent()))
+    return reader.parquet(path)
 
 
 def deduplicated(stream: DataFrame, key: str, at: str, delay: str) -> DataFrame:
@@ -97,6 +105,43 @@ def run_to_end(stream: DataFrame, mode: str, folder: str, write: Callable[[DataF
     q.awaitTermination()
 
 
+EDGES = ("event_id", "event_ord", "fingerprint", "facts", "evidence_id", "url", "legacy_id", "owner", "tier", "in_scope")
+
+
+def ledger_sink(root: str, baseline: str) -> Callable[[DataFrame, int], None]:
+    """A write function for run_to_end: each batch of candidates is merged into the ledger under root and committed as a whole.
+
+    A batch meets the ledger's events and the candidates that still wait. It commits the ledger's evidence, the waiting candidates
+    and one row of its history under its own number, so a batch that is run again finds the ledger as it was before it and replaces
+    what it wrote; a batch that breaks off before its manifest row changes nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        run, last = f"{number:010d}", merge.last_run(spark, root, before=f"{number:010d}")
+        rows = batch.select(*merge.READ)
+        known = spark.createDataFrame([], merge.SEED) if last is None else merge.current(spark, root, "evidence", last).select(*EDGES)
+        if last is not None:
+            rows = rows.unionByName(merge.current(spark, root, "waiting", last).select(*merge.READ))
+        rows = stored(rows, "candidates")
+        out = stored(merge.merge_ledger(rows, known, baseline), "merged")
+        done = out.where("row_kind = 'candidate'").select("candidate_id", "event_id", "outcome", "by_seq", "by_candidate", "place")
+        events = out.where("row_kind = 'event'").select("event_id", F.col("facts").alias("now"))
+        new = rows.join(done.where("event_id is not null"), "candidate_id")
+        begun = new.where(F.col("outcome").isin("first", "backfill")).select("event_id", "fingerprint")
+        names = known.groupBy("event_id").agg(F.min("fingerprint").alias("fingerprint")).unionByName(begun)
+        # the order in which evidence came decides who owns a key, so it is kept
+        since = known.agg(F.coalesce(F.max("event_ord"), F.lit(0))).first()[0]
+        new = numbered(new.drop("fingerprint", "facts"), "n", F.asc("by_seq"), F.asc("by_candidate"), F.asc("place")).withColumn("event_ord", F.col("n") + since)
+        edges = known.drop("fingerprint", "facts").unionByName(new.select(*[c for c in EDGES if c not in ("fingerprint", "facts")]))
+        evidence = edges.join(names, "event_id").join(events.withColumnRenamed("now", "facts"), "event_id").select(*EDGES)
+        waiting = rows.join(done.where("outcome = 'pending'"), "candidate_id", "left_semi")
+        history = out.where("row_kind = 'candidate'").groupBy("outcome").count().withColumn("batch", F.lit(number))
+        merge.commit({"evidence": evidence, "waiting": waiting, "history": history}, root, run)
+
+    return write
+
+
 def latest(df: DataFrame, *key: str) -> DataFrame:
     """The row of the last batch for each key."""
     others = [c for c in df.columns if c not in key and c not in ("batch", "n")]
