@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -60,10 +60,11 @@ _LOWER[0x41:0x5B] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
+POWERS_KEPT = 1 << 21
 
 
 def _power(which: str, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and grown as needed."""
+    """base**0 .. base**(n-1) modulo 2**64, grown as needed and kept up to POWERS_KEPT."""
     have = _powers.get(which)
     if have is None or len(have) < n:
         base = np.uint64(_BASE if which == "up" else _INVERSE)
@@ -71,7 +72,8 @@ def _power(which: str, n: int) -> np.ndarray:
         have = np.ones(size, dtype=np.uint64)
         have[1:] = base
         have = np.multiply.accumulate(have)
-        _powers[which] = have
+        if size <= POWERS_KEPT:
+            _powers[which] = have
     return have[:n]
 
 

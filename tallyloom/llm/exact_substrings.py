@@ -38,7 +38,7 @@ WINDOW = LENGTH - GRAM + 1
 #: Unequal runs that one bucket may hold before it is counted instead of gathered; runs refined at once.
 HOT, BLOCK = 512, 1024
 #: Bytes of text whose q-grams a task names at once (some 100 bytes of arrays for each).
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Starts that a large bucket's runs are first cut into.
 CELL = 16
 _PLACE_BITS = 31

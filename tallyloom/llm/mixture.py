@@ -58,6 +58,8 @@ def _counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 #: Whole numbers stand for vector entries, so that sums don't depend on the order of tasks: entries of stored vectors, and of the rows summed.
 STORED, SUMMED = 10_000, 1_000_000
+#: Vectors that a task unpacks at once.
+BLOCK = 1024
 
 
 def _scaled_sums(frame: DataFrame, size: int, rows: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -66,10 +68,11 @@ def _scaled_sums(frame: DataFrame, size: int, rows: Callable[[np.ndarray], tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, DIMS), dtype=np.int64)
         for b in batches:
-            x = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.int16).reshape(-1, DIMS)
-            slot, own = rows(x.astype(np.float64) / STORED)
-            for k in range(size):
-                total[k] += own[slot == k].sum(axis=0)
+            for at in range(0, b.num_rows, BLOCK):
+                x = np.frombuffer(b"".join(b.column(0).slice(at, BLOCK).to_pylist()), dtype=np.int16).reshape(-1, DIMS)
+                slot, own = rows(x.astype(np.float64) / STORED)
+                for k in range(size):
+                    total[k] += own[slot == k].sum(axis=0)
         flat = total.reshape(-1)
         cell = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(flat[cell])], names=["cell", "x"])
