@@ -150,36 +150,43 @@ def routed(rows: DataFrame, bounds: dict[tuple[int, int], np.ndarray], miss: flo
     """A row for each block of each tree that a vector lies in or asks for.
 
     Without a floor that is the block its string falls into, with one all blocks that the range s to e of the needed prefix touches.
+    Python sees each vector's strings only; the vectors themselves are repeated by Spark.
     """
     sent = rows.sparkSession.sparkContext.broadcast(bounds)
     none = np.zeros(0, dtype=np.int64)
+    lists = ["trees", "blocks", "lows", "highs"]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keys = np.stack(pdf["s"].to_numpy()) if len(pdf) else np.zeros((0, TREES), np.int64)
-            floor = pdf["floor"].to_numpy(dtype=np.float64, na_value=np.nan)
-            shift = np.where(pdf["wide"].to_numpy(dtype=bool), BITS - depth_needed(floor, TREES, miss, BITS), 0)
-            for tree in range(TREES):
-                low = keys[:, tree] >> shift << shift
+        for whole in batches:
+            for a in range(0, len(whole), QUERY_BLOCK):
+                pdf = whole.iloc[a : a + QUERY_BLOCK]
+                keys = np.stack(pdf["s"].to_numpy())
+                floor = pdf["floor"].to_numpy(dtype=np.float64, na_value=np.nan)
+                shift = np.where(np.isnan(floor), 0, BITS - depth_needed(floor, TREES, miss, BITS))[:, None]
+                low = keys >> shift << shift
                 high = low + (np.int64(1) << shift) - 1
-                first, last = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+                first, last = np.zeros_like(low), np.zeros_like(low)
                 for dim in pdf["dim"].unique():
                     at = (pdf["dim"] == dim).to_numpy()
-                    cuts = sent.value.get((int(dim), tree), none)
-                    first[at], last[at] = np.searchsorted(cuts, low[at], side="right"), np.searchsorted(cuts, high[at], side="right")
-                yield from spread(pdf.assign(tree=tree, s=low, e=high), first, last)
-
-    def spread(pdf: pd.DataFrame, first: np.ndarray, last: np.ndarray) -> Iterator[pd.DataFrame]:
-        many = last - first + 1
-        ends = np.cumsum(many)
-        for a in range(0, int(ends[-1]) if len(ends) else 0, 8 * QUERY_BLOCK):
-            place = np.arange(a, min(a + 8 * QUERY_BLOCK, int(ends[-1])))
-            row = np.searchsorted(ends, place, side="right")
-            yield pdf.iloc[row].assign(block=first[row] + place - (ends[row] - many[row]))[columns]
-
-    columns = ["dim", "tree", "block", "kind", "s", "e", "h", "g", "ids", "x", "floor"]
+                    for tree in range(TREES):
+                        cuts = sent.value.get((int(dim), tree), none)
+                        first[at, tree] = np.searchsorted(cuts, low[at, tree], side="right")
+                        last[at, tree] = np.searchsorted(cuts, high[at, tree], side="right")
+                many = last - first + 1
+                found: dict[str, list[np.ndarray]] = {name: [] for name in lists}
+                for i, each in enumerate(many):
+                    tree = np.repeat(np.arange(TREES), each)
+                    step = np.arange(len(tree)) - np.repeat(np.cumsum(each) - each, each)
+                    for name, value in zip(lists, (tree, first[i, tree] + step, low[i, tree], high[i, tree]), strict=True):
+                        found[name].append(value)
+                yield pdf[kept].assign(**found)
+
+    kept = ["dim", "kind", "h", "g", "ids", "x", "floor"]
     element = rows.schema["x"].dataType.simpleString()
-    return rows.mapInPandas(work, f"dim int, tree int, block bigint, kind int, s bigint, e bigint, h bigint, g bigint, ids array<bigint>, x {element}, floor double")
+    listed = "trees array<bigint>, blocks array<bigint>, lows array<bigint>, highs array<bigint>"
+    found = rows.mapInPandas(work, f"dim int, kind int, h bigint, g bigint, ids array<bigint>, x {element}, floor double, {listed}")
+    each = found.select(*kept, F.explode(F.arrays_zip(*lists)).alias("at"))
+    return each.select("dim", F.col("at.trees").cast("int").alias("tree"), F.col("at.blocks").alias("block"), "kind", F.col("at.lows").alias("s"), F.col("at.highs").alias("e"), "h", "g", "ids", "x", "floor")
 
 
 def visited(index: DataFrame, asks: DataFrame, bounds: dict[tuple[int, int], np.ndarray], k: int, miss: float) -> DataFrame:
@@ -226,15 +233,15 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 5, miss: float = 0.
     members = single.withColumn("place", F.row_number().over(by_vector)).where(F.col("place") <= k + 1)
     classes = members.groupBy("h", "g").agg(F.first("x").alias("x"), F.sort_array(F.collect_list("id")).alias("ids"))
     asked = single.where("asks")
-    no_floor = (F.lit(None).cast("double").alias("floor"), F.lit(False).alias("wide"))
-    index = cut(coded(classes.select("h", "g", "x", "ids"))).select("*", *no_floor)
+    no_floor = F.lit(None).cast("double").alias("floor")
+    index = cut(coded(classes.select("h", "g", "x", "ids"))).select("*", no_floor)
     bounds = bounds_of(index, -(-index.count() // INDEX_BLOCK))
     alone = asked.groupBy("h", "g").agg(F.first("x").alias("x"))
     asks = cut(coded(alone.withColumn("ids", F.lit(None).cast("array<bigint>"))))
 
-    first = cut(nearest_of(visited(index, asks.select("*", *no_floor), bounds, k, miss), k + 1).drop("place"))
+    first = cut(nearest_of(visited(index, asks.select("*", no_floor), bounds, k, miss), k + 1).drop("place"))
     floors = first.groupBy("h", "g").agg(F.when(F.count("*") > k, F.min("score")).alias("floor"))
-    again = asks.join(floors, ["h", "g"], "left").withColumn("wide", F.lit(True)).withColumn("floor", F.coalesce("floor", F.lit(-1.0)))
+    again = asks.join(floors, ["h", "g"], "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0)))
     best = nearest_of(first.unionByName(visited(index, again, bounds, k, miss)), k + 1)
 
     # one vector may be asked by many ids: its few answers are dealt over salts

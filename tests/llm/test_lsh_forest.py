@@ -52,3 +52,34 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert L.neighbours(frame(spark, ids, x).limit(0), F.col("vec_id") % 50 == 0).count() == 0
     few = L.neighbours(frame(spark, ids[:3], x[:3]), F.col("vec_id") == 0).collect()
     assert len(few) == 2
+
+
+def test_repeated_ids_clusters_and_scaled_vectors(spark, monkeypatch):
+    monkeypatch.setattr(L, "INDEX_BLOCK", 40)
+    monkeypatch.setattr(L, "NEAR", 8)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8)).astype(np.float32).astype(float)
+    x[100:200] = x[100] + 1e-3 * rng.normal(size=(100, 8)).astype(np.float32)
+    x[200:250] = x[200]
+    x[250:280] = x[100] * rng.integers(1, 4, 30)[:, None]
+    x = x.astype(np.float32).astype(float)
+    ids = np.arange(300)
+    more = [(0, [float(v) for v in x[1]], 0), (0, [float(v) for v in x[0]], 0)]
+    got = {}
+    for r in L.neighbours(frame(spark, ids, x, more), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert [v for _, v, _ in got[200]] == [201, 202, 203, 204, 205]
+    assert len(got[0]) == 10 and sorted(r for r, _, _ in got[0]) == sorted([1, 2, 3, 4, 5] * 2)
+    assert sum(v == 1 and s == L.exact_cosine(x[[1]], x[1])[0] for _, v, s in got[0]) == 1
+    want = brute(ids, x, np.array([50, 150, 250]))
+    hits = sum(len({v for _, v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert hits >= 14
+
+
+def test_depth_follows_the_stop_rule():
+    for cosine in (-0.5, 0.0, 0.3, 0.7, 0.99):
+        depth = int(L.depth_needed(np.array([cosine]), 32, 0.02, 48)[0])
+        agree = 1 - np.arccos(cosine) / np.pi
+        assert depth == 0 or (1 - agree**depth) ** 32 <= 0.02
+        assert depth == 48 or (1 - agree ** (depth + 1)) ** 32 > 0.02
+    assert L.depth_needed(np.array([1.0, np.nan]), 32, 0.02, 48).tolist() == [48, 0]
