@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,11 +23,12 @@ _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 MAX_URL_BYTES = 2048
 
 
-def canonical_urls(df: DataFrame, url: str = "url") -> tuple[DataFrame, DataFrame]:
+def canonical_urls(df: DataFrame, url: str = "url", root: bool = False) -> tuple[DataFrame, DataFrame]:
     """df with canonical_url, and the rejected rows with their reason.
 
     Rejected: too long, not http(s), with user information, or with a secret parameter. The rest loses its fragment, "www.",
     doubled and final slashes and tracking parameters; the host is in lower case; parameters are ordered by name, then as they came.
+    With `root`, a host without a path gets "/" and a scheme's own port goes, as a URL parser does it.
     """
     raw = F.trim(F.col(url))
     part = lambda k: F.regexp_extract(raw, _URL, k)
@@ -45,6 +47,9 @@ def canonical_urls(df: DataFrame, url: str = "url") -> tuple[DataFrame, DataFram
     tail = F.array_join(F.transform(ordered, lambda s: s["p"]), "&")
     host = F.regexp_replace(F.lower(authority), r"^www\.", "")
     clean = F.regexp_replace(F.regexp_replace(F.translate(path, ZERO_WIDTH, ""), "/{2,}", "/"), "/+$", "")
+    if root:
+        host = F.regexp_replace(host, F.when(scheme == "https", ":443$").otherwise(":80$"), F.lit(""))
+        clean = F.when(clean == "", "/").otherwise(clean)
     out = F.concat(scheme, F.lit("://"), host, clean, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise(""))
     marked = df.withColumn("reject_reason", reason)
     return marked.where("reject_reason is null").drop("reject_reason").withColumn("canonical_url", out), marked.where("reject_reason is not null")
@@ -166,20 +171,51 @@ def instant(x: Column) -> Column:
     return F.coalesce(epoch, *tried, F.when(x.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]"), F.try_to_timestamp(x)))
 
 
-# Entities that are decoded.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+# Named entities that are decoded, the ampersand last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
-def strip_html(html: Column) -> Column:
-    """The text of a page: scripts and styles go, tags become spaces, entities are decoded, white space collapses."""
-    x = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script>", " ")
-    x = F.regexp_replace(x, r"(?is)<style\b[^>]*>.*?</style>", " ")
-    x = F.regexp_replace(x, r"(?s)<[^>]*>", " ")
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _numbered(x: Column, pattern: str, base: int) -> Column:
+    """x with each entity of the pattern replaced by the character that its number names; numbers that name none leave nothing."""
+
+    def one(text: Column, entity: Column) -> Column:
+        code = F.conv(F.regexp_extract(entity, pattern, 1), base, 10).try_cast("bigint")
+        named = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(named, code)), 8, "0")), "UTF-32")
+        return F.replace(text, entity, F.coalesce(char, F.lit("")))
+
+    return let(x, lambda v: F.aggregate(F.array_distinct(F.regexp_extract_all(v, F.lit(pattern), 0)), v, one))
+
+
+def decode_entities(x: Column) -> Column:
+    """Numeric entities, hexadecimal ones first, then the named ones."""
+    x = _numbered(_numbered(x, r"&#[xX]([0-9A-Fa-f]+);", 16), r"&#([0-9]+);", 10)
     for entity, char in ENTITIES:
         x = F.replace(x, F.lit(entity), F.lit(char))
+    return x
+
+
+def squeezed(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"[ \t\n\r\f]+", " "))
 
 
+def strip_tags(html: Column) -> Column:
+    """Scripts and styles go, tags become spaces, white space collapses."""
+    x = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script>", " ")
+    x = F.regexp_replace(x, r"(?is)<style\b[^>]*>.*?</style>", " ")
+    return squeezed(F.regexp_replace(x, r"(?s)<[^>]*>", " "))
+
+
+def strip_html(html: Column) -> Column:
+    """The text of a page: no tags, entities decoded, white space collapsed."""
+    return squeezed(decode_entities(strip_tags(html)))
+
+
 def clean_title(title: Column) -> Column:
     """No zero-width characters, no site or brand at the end, dots as an ellipsis."""
     x = F.translate(title, ZERO_WIDTH, "")

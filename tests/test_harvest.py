@@ -24,3 +24,25 @@ def test_posts_fail_as_a_batch(spark):
         harvest.land_posts(subs, posts, good, "h", most=2)
     with pytest.raises(ValueError):
         harvest.land_posts(subs, posts, spark.createDataFrame([(1, "left")], "account int, state string"), "h")
+
+
+def harvested(spark, html, url="https://x.com/newsroom"):
+    frame = spark.createDataFrame([(1, url, html)], "page_id int, url string, html string")
+    return {(r.link, r.headline, r.day) for r in harvest.harvest_links(frame, "page_id").collect()}
+
+
+def test_titles_of_links(spark):
+    said = "Company reports that the trial met its goals"
+    assert harvested(spark, f"<a href='/newsroom/a'><time>2024-03-05</time><h3>{said}</h3><p>more</p></a>") == {("https://x.com/newsroom/a", said, "2024-03-05")}
+    assert harvested(spark, f'<a href="/newsroom/a" aria-label="{said}"><img src="x>y.png"></a>') == {("https://x.com/newsroom/a", said, None)}
+    assert harvested(spark, f'<div><h3>{said}</h3><p>x</p><div><a href="/newsroom/a">Read more</a></div></div>') == {("https://x.com/newsroom/a", said, None)}
+    assert harvested(spark, f'<div><a href="/newsroom/a"></a><h3>{said}</h3></div>') == {("https://x.com/newsroom/a", said, None)}
+    assert harvested(spark, f'<div><a href="/newsroom/a"></a></div><div><h3>{said}</h3></div>') == set()
+    assert harvested(spark, '<a href="/newsroom/a">Learn more</a><a href="/about/team/a">Meet the people who lead this fine company today</a>') == set()
+    assert harvested(spark, f'<a href="/newsroom/a">{said} &amp; more 2024.03.05</a>') == {("https://x.com/newsroom/a", f"{said} & more", "2024-03-05")}
+
+
+def test_links_outside_main_count_where_main_has_none(spark):
+    said = "Company reports that the trial met its goals"
+    assert harvested(spark, f'<main><a href="/x">More</a></main><a href="/newsroom/a">{said}</a><nav><a href="/newsroom/b">{said}</a></nav>') == {("https://x.com/newsroom/a", said, None)}
+    assert harvested(spark, f'<main><a href="//www.accesswire.com/1/news">{said}</a></main><a href="/newsroom/a">{said}</a>') == {("https://accesswire.com/1/news", said, None)}
