@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import scoring
 from tallyloom.functions import text as X
 from tallyloom.operators import adjudicate, evidence, health
+from tallyloom.operators.registry import registry_faults
 from tallyloom.operators.surface import numbered
 from tallyloom.plans.base import EVENTS, REGISTRY
 from tallyloom.plans.registry import query
@@ -199,3 +200,31 @@ def r8_monitor_health(spark: SparkSession, d: str) -> DataFrame:
 def g12_day_entries(spark: SparkSession, d: str) -> DataFrame:
     """Entries of each day by kind."""
     return A.table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query(
+    """WITH s AS (SELECT CASE WHEN s_suppkey % 17 = 0 THEN NULL WHEN s_suppkey % 10 = 1 THEN CAST(s_suppkey - 1 AS VARCHAR) ELSE CAST(s_suppkey AS VARCHAR) END AS source_id, s_suppkey AS k FROM supplier),
+a AS (SELECT CAST(s_suppkey AS VARCHAR) AS source_id, s_suppkey AS k, unnest([1, 2]) AS n FROM supplier WHERE s_suppkey % 9 <> 0),
+w AS (SELECT DISTINCT source_id FROM s WHERE k % 3 = 0 AND source_id IS NOT NULL)
+SELECT source_id, 'missing_id' AS rule FROM s WHERE source_id IS NULL UNION ALL SELECT source_id, 'missing_owner' FROM s WHERE k % 7 = 0 UNION ALL SELECT source_id, 'tier' FROM s WHERE k % 5 = 4
+UNION ALL SELECT source_id, 'event_types' FROM s WHERE k % 6 = 0 UNION ALL SELECT source_id, 'enabled' FROM s WHERE k % 19 = 0 UNION ALL SELECT source_id, 'interval' FROM s WHERE k % 4 = 0
+UNION ALL SELECT source_id, 'account_tier' FROM s WHERE k % 3 = 0 AND k % 5 NOT IN (2, 3) UNION ALL SELECT source_id, 'url' FROM s WHERE k % 13 < 2
+UNION ALL SELECT source_id, 'repeated_id' FROM s WHERE source_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1
+UNION ALL SELECT source_id, 'no_accounts' FROM w WHERE source_id NOT IN (SELECT source_id FROM a)
+UNION ALL SELECT source_id, 'account_username' FROM a WHERE n = 2 AND k % 2 = 1 AND source_id IN (SELECT source_id FROM w) UNION ALL SELECT DISTINCT source_id, 'repeated_account' FROM a WHERE k % 2 = 0 AND source_id IN (SELECT source_id FROM w)"""
+)
+def s1_registry_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Every broken rule of a registry with faults of all kinds."""
+    k, name = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    source = F.when(k % 17 == 0, None).when(k % 10 == 1, (k - 1).cast("string")).otherwise(name)
+    tier = F.element_at(F.array(*[F.lit(x) for x in ("authoritative", "trusted", "discovery", "discovery", "other")]), (k % 5 + 1).cast("int"))
+    url = F.when(k % 13 == 0, "ftp://x.example.com").when(k % 13 == 1, "https://u:p@x.example.com/").otherwise(F.concat(F.lit("https://s"), name, F.lit(".example.com/")))
+    types = F.when(k % 6 == 0, F.array(F.lit("approval"), F.lit("odd"))).otherwise(F.array(F.lit("approval")))
+    t = A.table(spark, d, "supplier")
+    sources = t.select(
+        source.alias("source_id"), F.when(k % 7 != 0, "owner").alias("editorial_owner"), tier.alias("tier"), F.when(k % 3 == 0, "posts").otherwise("html").alias("type"), url.alias("url"), types.alias("event_types"),
+        F.when(k % 19 != 0, True).alias("enabled"), F.when(k % 4 == 0, -1.0).when(k % 4 == 1, 6.0).alias("poll_interval_hours"),
+    )
+    users = F.array(F.concat(F.lit("gh_"), name), F.when(k % 2 == 0, F.concat(F.lit("gh_"), name)).otherwise(F.concat(F.lit("bad-"), name)))
+    accounts = t.where("s_suppkey % 9 <> 0").select(name.alias("source_id"), F.lit("account").alias("name"), F.explode(users).alias("username"))
+    return registry_faults(sources, accounts, ("approval",), "posts")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators import health
+from tallyloom.operators import filters, health
 from tallyloom.operators import surface as S
 from tallyloom.plans.registry import query
 from tallyloom.sources import adapters as A
@@ -215,3 +215,59 @@ def q6_domain_rules(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH w AS (SELECT unnest(['F', 'O', 'P', 'Q']) AS o_orderstatus), v AS (SELECT DISTINCT o_orderpriority FROM orders UNION SELECT '6-NONE') SELECT o_orderstatus, o_orderpriority FROM w CROSS JOIN v WHERE (o_orderstatus, o_orderpriority) NOT IN (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders) AND o_orderpriority IN ('1-URGENT', '2-HIGH', '6-NONE')")
 def q9_required_combinations(spark: SparkSession, d: str) -> DataFrame:
     return S.missing_combinations(A.table(spark, d, "orders"), ("o_orderstatus", ["F", "O", "P", "Q"]), ("o_orderpriority", ["1-URGENT", "2-HIGH", "6-NONE"]))
+
+
+_BOARD = """b AS (SELECT p_partkey AS id, p_name, p_brand AS region, p_size % 2 = 0 AS a, p_size % 3 = 0 AS b, p_size > 25 AS mced, p_type, p_size % 5 AS st FROM part),
+s AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity = 50)"""
+
+
+@query(
+    f"""WITH {_BOARD} SELECT 'routes' AS filter, id FROM b WHERE a AND b UNION ALL SELECT 'mced', id FROM b WHERE mced UNION ALL SELECT 'cancer', id FROM b WHERE p_type = (SELECT min(p_type) FROM part)
+UNION ALL SELECT 'status', id FROM b WHERE st = 3 UNION ALL SELECT 'region and route', id FROM b WHERE region = (SELECT min(p_brand) FROM part) AND a
+UNION ALL SELECT 'keyword', id FROM b WHERE contains(lower(p_name), 'an') OR id IN (SELECT id FROM s) UNION ALL SELECT 'none', id FROM b"""
+)
+def f4_board_facets(spark: SparkSession, d: str) -> DataFrame:
+    """Each facet of the board apart, two together, and none."""
+    size = F.col("p_size")
+    routes = F.array_compact(F.array(F.when(size % 2 == 0, "a"), F.when(size % 3 == 0, "b")))
+    part = A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", F.col("p_brand").alias("region"), routes.alias("routes"), (size > 25).alias("mced"), F.array("p_type").alias("cancers"), F.array((size % 5).cast("string")).alias("status_keys"))
+    studies = A.table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.when(F.col("l_quantity") == 50, "PANEL").otherwise("other").alias("name"))
+    low = A.table(spark, d, "part").agg(F.min("p_type").alias("t"), F.min("p_brand").alias("b")).first()
+    some = {"routes": {"routes": ("a", "b")}, "mced": {"cancer": "MCED"}, "cancer": {"cancer": low.t}, "status": {"status": "3"}, "region and route": {"region": low.b, "routes": ("a",)}, "keyword": {"keyword": "AN", "fields": ("p_name",), "studies": studies}, "none": {}}
+    frames = [filters.board_filter(part, "id", **how).select(F.lit(name).alias("filter"), "id") for name, how in some.items()]
+    return S.timeline(frames)
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS id, CASE WHEN p_size <= 40 THEN p_brand END AS approach, CAST(p_size % 4 AS VARCHAR) AS tissue, lower(p_name || ' ' || p_type || ' cancer ' || p_size % 7) AS t FROM part)
+SELECT 'null facet' AS filter, id FROM p WHERE coalesce(approach, 'none') = 'none' UNION ALL SELECT 'two facets', id FROM p WHERE approach = (SELECT min(p_brand) FROM part) AND tissue = '1'
+UNION ALL SELECT 'nested', id FROM p WHERE contains(t, 'cancer 3') UNION ALL SELECT 'off', id FROM p"""
+)
+def f5_all_facets(spark: SparkSession, d: str) -> DataFrame:
+    """Facets together with a keyword over fields and a nested array; null is "none", "all" is off."""
+    part = A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") <= 40, F.col("p_brand")).alias("approach"), (F.col("p_size") % 4).alias("tissue"), "p_name", "p_type", F.array(F.struct(F.concat(F.lit("Cancer "), (F.col("p_size") % 7).cast("string")).alias("cancer"))).alias("clinical"))
+    low = A.table(spark, d, "part").agg(F.min("p_brand").alias("b")).first().b
+    nested = F.transform("clinical", lambda s: s["cancer"])
+    some = {"null facet": ({"approach": "none", "tissue": "all"}, None), "two facets": ({"approach": low, "tissue": "1"}, " "), "nested": ({}, " CANCER 3 "), "off": ({"approach": "", "tissue": None}, None)}
+    return S.timeline([filters.facet_filter(part, facets, q, ("p_name", "p_type"), nested).select(F.lit(name).alias("filter"), "id") for name, (facets, q) in some.items()])
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey AS id, l_linenumber AS line, l_returnflag AS design, l_linestatus AS scope, l_quantity > 45 AS diagnostic, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS sens, CASE WHEN l_linenumber <> 4 THEN l_discount END AS spec FROM lineitem)
+SELECT 'plain' AS filter, id, line FROM r WHERE design IN ('A', 'N') UNION ALL SELECT 'design', id, line FROM r WHERE design = 'R' AND scope = 'F' UNION ALL SELECT 'all', id, line FROM r WHERE scope = 'O'
+UNION ALL SELECT 'scatter', id, line FROM r WHERE scope = 'F' AND NOT diagnostic AND sens IS NOT NULL AND spec IS NOT NULL"""
+)
+def f10_performance_table(spark: SparkSession, d: str) -> DataFrame:
+    """Prospective rows only unless a design or the tier "all" is given; the points of the scatter."""
+    n = F.col("l_linenumber")
+    r = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), n.alias("line"), F.col("l_returnflag").alias("design"), F.col("l_linestatus").alias("scope"), (F.col("l_quantity") > 45).alias("diagnostic"), F.when(n != 3, F.col("l_quantity")).alias("sens"), F.when(n != 4, F.col("l_discount")).alias("spec"))
+    ahead = ("A", "N")
+    frames = {"plain": filters.performance_rows(r, ahead), "design": filters.performance_rows(r, ahead, scope="F", design="R", tier="all"), "all": filters.performance_rows(r, ahead, scope="O", tier="all"), "scatter": filters.scatter_rows(r, "F")}
+    return S.timeline([f.select(F.lit(name).alias("filter"), "id", "line") for name, f in frames.items()])
+
+
+@query("SELECT p_partkey AS id, row_number() OVER (ORDER BY coalesce(CASE WHEN p_size <> 7 THEN p_size END, -1), p_partkey) AS place FROM part")
+def w7_sorted_by_figure(spark: SparkSession, d: str) -> DataFrame:
+    """The table by one figure, the lowest first; none counts as -1."""
+    p = A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") != 7, F.col("p_size")).alias("n"))
+    return S.numbered(p, "place", *filters.performance_order("n", -1), F.asc("id")).select("id", "place")

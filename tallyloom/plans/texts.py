@@ -164,6 +164,27 @@ def p9_clean_content(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.char_length("x").cast("bigint").alias("n"), F.sha2("x", 256).alias("body"), X.content_status(F.col("x")).alias("status"))
 
 
+@query(
+    r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'A&B 中文 ' || page_id WHEN 1 THEN 'it''s "' || page_id || '" &lt; x' ELSE 'x < y 😀 ' || page_id END AS body FROM pages"""
+)
+def p10_decoded_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Numeric and named entities; numbers that name no character leave nothing."""
+    n = F.col("page_id").cast("string")
+    forms = [F.concat(F.lit("<p>A&#38;B &#x4E2D;&#25991;</p>&#0;&#1114112;<b>"), n, F.lit("</b>")), F.concat(F.lit("it&apos;s <i>&quot;"), n, F.lit("&quot;</i> &amp;lt;&nbsp;x")), F.concat(F.lit("x &#38;lt; y &#X1f600; &#xD800;"), n)]
+    return A.table(spark, d, "pages").select("page_id", X.strip_html(F.element_at(F.array(*forms), (F.col("page_id") % 3 + 1).cast("int"))).alias("body"))
+
+
+@query(
+    r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://h' || page_id || '.example.com/' WHEN 1 THEN 'http://h' || page_id || '.example.com/?a=1&b=2' ELSE 'https://h' || page_id || '.example.com:80/a' END AS canonical_url FROM pages"""
+)
+def p1_root_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts without a path keep the root; a scheme's own port goes."""
+    n = F.col("page_id").cast("string")
+    host = F.concat(F.lit("H"), n, F.lit(".example.com"))
+    forms = [F.concat(F.lit("https://www."), host, F.lit(":443#x")), F.concat(F.lit("HTTP://"), host, F.lit(":80//?b=2&utm_id=3&a=1")), F.concat(F.lit("https://"), host, F.lit(":80/a//"))]
+    return X.canonical_urls(A.table(spark, d, "pages").select("page_id", F.element_at(F.array(*forms), (F.col("page_id") % 3 + 1).cast("int")).alias("url")), root=True)[0].select("page_id", "canonical_url")
+
+
 @query(
     r"""WITH m AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(?:skip to |share|menu|home|search|login|sign in|cookie)')) AS l FROM documents)
 SELECT doc_id, CASE WHEN length(l[1]) > 8000 THEN substr(l[1], 1, 8000) || '…' ELSE l[1] END AS first_line FROM m"""
@@ -208,6 +229,26 @@ def s5_harvest_links(spark: SparkSession, d: str) -> DataFrame:
     return harvest.harvest_links(listing, "page_id").select("page_id", "link", "headline", "score")
 
 
+@query(
+    r"""SELECT page_id, CASE WHEN page_id % 8 = 4 THEN 'https://accesswire.com/' || page_id || '/news' ELSE 'https://s' || page_id || '.example.com/newsroom/' || page_id END AS link,
+'Company reports that the trial met its goals' || CASE WHEN page_id % 8 = 6 THEN ' & more' ELSE '' END AS headline, CASE page_id % 8 WHEN 4 THEN 5 ELSE 5 END AS score, CASE page_id % 8 WHEN 0 THEN '2024-03-05' WHEN 6 THEN '2024-03-05' END AS day
+FROM pages WHERE page_id % 8 IN (0, 1, 2, 4, 6)"""
+)
+def s5_listing_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Listings in each accepted and refused form: headings, labels, cards, newswires, days; sections, paging and buttons are refused."""
+    n = F.col("page_id").cast("string")
+    said = "Company reports that the trial met its goals"
+    around = lambda before, after: F.concat(F.lit(before), n, F.lit(after))
+    forms = [
+        around("<a href='/newsroom/", f"'><div>2024-03-05</div><h3>{said}</h3><p>x</p></a>"), around('<a href="/newsroom/', f'" aria-label="{said}"></a>'), around(f'<div><h3>{said}</h3><p>x</p><a href="/newsroom/', '">Read more</a></div>'),
+        around('<a href="/about/team/', '">Meet the people who lead this fine company today</a>'), around('<a href="https://www.accesswire.com/', f'/news">{said}</a>'), around('<a href="/newsroom?page=', f'">{said}</a>'),
+        around('<a href="/newsroom/', f'">{said} &amp; more 2024.3.5</a>'), around('<a href="/newsroom/', '">Learn more</a>'),
+    ]
+    url = F.concat(F.lit("https://s"), n, F.lit(".example.com/newsroom"))
+    listing = A.table(spark, d, "pages").select("page_id", url.alias("url"), F.element_at(F.array(*forms), (F.col("page_id") % 8 + 1).cast("int")).alias("html"))
+    return harvest.harvest_links(listing, "page_id")
+
+
 @query(
     """WITH f AS (SELECT o_orderkey AS page_id, unnest([1, 2]) AS n FROM orders) SELECT page_id, n, 'https://news.example.com/' || page_id || '/' || n AS link, 'Title ' || page_id || '-' || n AS title, '2024-03-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') AS day FROM f"""
 )
