@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import canonical_urls, decode_entities, let, strip_html, strip_tags
+from tallyloom.functions.text import canonical_urls, decode_entities, let, squeezed, strip_html, strip_tags
 
 _ANCHOR = r'(?is)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>'
 # Words that mark a path as an article's, sections of a site, what buttons say, newswires, files, elements without an end.
@@ -65,8 +65,8 @@ def _undated(text: Column) -> Column:
 
 
 def _plain(html: Column) -> Column:
-    """Text of markup; markup that was written as entities goes too."""
-    return strip_tags(strip_html(html))
+    """Text of markup; markup that was written as entities goes too. Text with neither tags nor entities is only squeezed."""
+    return let(html, lambda h: F.when(h.rlike("[<&]"), strip_tags(strip_html(h))).otherwise(squeezed(h)))
 
 
 def headline_like(title: Column) -> Column:
@@ -93,7 +93,8 @@ def _inside(markup: Column, backward: bool, slack: Column | int) -> Column:
 
 def _settled(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that are computed once: conditions on them are not written out again below them."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+    # the outer form: Spark infers a condition from the other one, and that would be written out below
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def _titled(links: DataFrame) -> DataFrame:
@@ -112,8 +113,8 @@ def _titled(links: DataFrame) -> DataFrame:
     button = F.col("whole") != ""
     leads = F.col("led") & _inside(F.col("between"), True, F.when(button, 2).otherwise(0))
     card = F.when(~button & F.col("next_in"), F.col("next")).when(leads, F.col("last")).otherwise("")
-    links = _settled(links, own=own, card=_plain(card), day=F.coalesce(*[_day(F.col("whole"), p) for p in (_FIRST_DAY, _LAST_DAY, _ANY_DAY)]))
-    title = F.when(_usable(F.col("own")), F.col("own")).when(headline_like(F.col("label")), F.col("label")).otherwise(F.col("card"))
+    links = _settled(links, own=own, card=card, day=F.coalesce(*[_day(F.col("whole"), p) for p in (_FIRST_DAY, _LAST_DAY, _ANY_DAY)]))
+    title = F.when(_usable(F.col("own")), F.col("own")).when(headline_like(F.col("label")), F.col("label")).otherwise(_plain(F.col("card")))
     links = _settled(links, title=title, from_card=~_usable(F.col("own")))
     return links.drop("whole", "headed", "blocks", "label", "next", "next_in", "last", "between", "led", "own", "card", "before", "after", "inner")
 
@@ -131,7 +132,7 @@ def harvest_links(pages: DataFrame, key: str) -> DataFrame:
     areas = pages.select(key, "url", F.explode(F.array(F.struct(F.lit(0).alias("area"), main.alias("body")), F.struct(F.lit(1).alias("area"), bare.alias("body")))).alias("a"))
     areas = areas.select(key, "url", "a.area", "a.body", F.split("a.body", _LINK, -1).alias("gaps"))
     parts = lambda tag, i: F.struct(tag.alias("tag"), F.substring(F.get("gaps", i), -CARD_REACH, CARD_REACH).alias("before"), F.substring(F.get("gaps", i + 1), 1, CARD_REACH).alias("after"))
-    flat = areas.select(key, "url", "area", F.posexplode(F.transform(F.regexp_extract_all("body", F.lit(_LINK), 0), parts)).alias("pos", "p")).select(key, "url", "area", "pos", "p.*")
+    flat = areas.select(key, "url", "area", F.posexplode_outer(F.transform(F.regexp_extract_all("body", F.lit(_LINK), 0), parts)).alias("pos", "p")).where("pos is not null").select(key, "url", "area", "pos", "p.*")
     flat = _settled(flat, attributes=F.regexp_extract("tag", _LINK, 1), inner=F.regexp_extract("tag", _LINK, 2)).drop("tag")
     double, single = F.regexp_extract("attributes", r'(?i)\bhref\s*=\s*"([^"]*)"', 1), F.regexp_extract("attributes", r"(?i)\bhref\s*=\s*'([^']*)'", 1)
     flat = _settled(flat, href=F.trim(decode_entities(F.when(double != "", double).otherwise(single))))
