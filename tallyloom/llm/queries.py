@@ -97,6 +97,13 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_verdicts(table(spark, sf_dir, "documents"), by_id=True)
 
 
+def op13_digest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which row stays of each group of texts that are equal without white space."""
+    from tallyloom.llm.digest_merge import duplicates
+
+    return duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixture": op1_mixture,
     "op2_byte_bpe": op2_byte_bpe,
@@ -108,6 +115,16 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_lsh_forest": op9_lsh_forest,
     "op10_line_frequency": op10_line_frequency,
+    "op13_digest_merge": op13_digest_merge,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op13_digest_merge": """
+        with bodies as (select doc_id, coalesce(length(text), 0) as points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as body from documents),
+        placed as (
+            select doc_id, body, first_value(doc_id) over w as keep_id, row_number() over w as place, count(*) over (partition by body) as group_size
+            from bodies window w as (partition by body order by points desc, doc_id nulls last)
+        )
+        select doc_id, keep_id, group_size, place = 1 as kept, sha256(body) as text_sha256 from placed
+    """,
+}
