@@ -97,6 +97,13 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_verdicts(table(spark, sf_dir, "documents"), by_id=True)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verdict of every document against the root of the whole table; a third of the documents is tampered with."""
+    from tallyloom.llm.merkle_manifest import audited
+
+    return audited(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+
+
 def op13_digest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which row stays of each group of texts that are equal without white space."""
     from tallyloom.llm.digest_merge import duplicates
@@ -115,10 +122,42 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_lsh_forest": op9_lsh_forest,
     "op10_line_frequency": op10_line_frequency,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_digest_merge": op13_digest_merge,
 }
 
+#: CRC-32 of the decimal doc_id, bit by bit.
+_CRC = """xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))))"""
+
+
+def _said(*values: str) -> str:
+    """The digest of values, each with its length in bytes."""
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}::varchar)::varchar || ':' || {v}::varchar, '-')" for v in values) + ")"
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_merkle_manifest": f"""
+        with recursive
+        found as (select doc_id, lang, {_said("doc_id", "source", "lang", "n_chars", "text")} as leaf, {_CRC} % 3 = 0 as tampered,
+            {_said("doc_id", "source", "lang", "n_chars", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as lowered from documents),
+        leaves as (select doc_id, leaf, if(coalesce(tampered, false), lowered, leaf) as seen, dense_rank() over (order by lang nulls first) - 1 as tree,
+            row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n from found),
+        grown as (select tree, 0 as lvl, pos, n, leaf as h from leaves
+            union all select tree, lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' order by pos)) from grown where n > 1 group by tree, lvl, pos // 8, n),
+        subroots as (select tree, h from grown where n = 1),
+        above as (select 0 as lvl, tree as pos, (select count(*) from subroots) as n, h from subroots
+            union all select lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' order by pos)) from above where n > 1 group by lvl, pos // 8, n),
+        nodes as (select 0 as scope, tree, lvl, pos, n, h from grown union all select 1, 0, lvl, pos, n, h from above),
+        sides as (select *, coalesce(string_agg(h, '') over (w rows between unbounded preceding and 1 preceding), '') as l,
+            coalesce(string_agg(h, '') over (w rows between 1 following and unbounded following), '') as r from nodes
+            window w as (partition by scope, tree, lvl, pos // 8 order by pos)),
+        climb as (select doc_id, leaf, tree as of_tree, 0 as scope, tree, 0 as lvl, pos, seen as h, '' as proof, false as done from leaves
+            union all select doc_id, leaf, of_tree, if(s.n > 1, c.scope, 1), if(s.n > 1, c.tree, 0), if(s.n > 1, c.lvl + 1, 0), if(s.n > 1, c.pos // 8, c.tree),
+                if(s.n > 1, sha256(l || c.h || r), c.h), if(s.n > 1, proof || l || r, proof), s.n = 1 and c.scope = 1
+            from climb c join sides s on c.scope = s.scope and c.tree = s.tree and c.lvl = s.lvl and c.pos = s.pos where not done)
+        select doc_id, leaf, b.h as subroot, t.h as root, sha256(proof) as proof_sha256, c.h as folded_root, c.h = t.h as verified
+        from climb c join subroots b on b.tree = of_tree, (select h from above where n = 1) t where done
+    """,
     "op13_digest_merge": """
         with bodies as (select doc_id, coalesce(length(text), 0) as points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as body from documents),
         placed as (
