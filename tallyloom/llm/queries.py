@@ -97,6 +97,15 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_verdicts(table(spark, sf_dir, "documents"), by_id=True)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document; a tenth of the documents, by hash, is made periodic from some word on."""
+    from tallyloom.llm.periodic_runs import periodic_runs
+
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    return periodic_runs(table(spark, sf_dir, "documents"), (F.when(h % 10 == 0, g), 3 + g % 8))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and verdict of every document against the root of the whole table; a third of the documents is tampered with."""
     from tallyloom.llm.merkle_manifest import audited
@@ -122,6 +131,7 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_lsh_forest": op9_lsh_forest,
     "op10_line_frequency": op10_line_frequency,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_digest_merge": op13_digest_merge,
 }
@@ -136,6 +146,25 @@ def _said(*values: str) -> str:
     return "sha256(" + " || ".join(f"coalesce(strlen({v}::varchar)::varchar || ':' || {v}::varchar, '-')" for v in values) + ")"
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_periodic_runs": f"""
+        with found as (select row_number() over () as r, doc_id, {_CRC} as h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as plain from documents),
+        cut as (select *, len(plain) as n, if(h % 10 = 0 and len(plain) > 0, (h // 10) % len(plain), len(plain)) as a from found),
+        texts as (select r, doc_id, n, list_transform(range(n), lambda i: plain[1 + if(i < a, i, a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)))]) as words from cut),
+        words as (select r, n, unnest(words) as word, unnest(range(n)) as i from texts),
+        -- every run has five matches in a row, so equal stretches of five words find all of its diagonal
+        fives as (select r, n, i, word || ' ' || lead(word, 1) over w || ' ' || lead(word, 2) over w || ' ' || lead(word, 3) over w || ' ' || lead(word, 4) over w as five
+            from words window w as (partition by r order by i)),
+        diagonals as (select b.r, b.i - a.i as period, b.i, b.i - row_number() over (partition by b.r, b.i - a.i order by b.i) as island
+            from fives a join fives b on a.r = b.r and a.five = b.five and a.i < b.i and 4 * (b.i - a.i) <= a.n),
+        stretches as (select r, period, min(i) - period as start, count(*) + 4 + period as length from diagonals group by r, period, island),
+        runs as (select r, start, length, min(period) as period from stretches where length >= greatest(6, 4 * period) group by r, start, length),
+        lines as (select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as said from runs group by r),
+        top as (select * from runs qualify row_number() over (partition by r order by length::decimal(18, 0) / period desc, start, period) = 1),
+        kept as (select r, string_agg(word, ' ' order by i) as body from words w
+            where not exists (select 1 from runs where runs.r = w.r and i >= start + period and i < start + length) group by r)
+        select doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli, sha256(coalesce(said, '')) as runs_sha256, sha256(coalesce(body, '')) as collapsed_sha256
+        from texts left join lines using (r) left join top using (r) left join kept using (r)
+    """,
     "op12_merkle_manifest": f"""
         with recursive
         found as (select doc_id, lang, {_said("doc_id", "source", "lang", "n_chars", "text")} as leaf, {_CRC} % 3 = 0 as tampered,
