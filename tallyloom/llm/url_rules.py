@@ -1,7 +1,10 @@
 """URL filters: fixed host and path rules, and association rules mined from labelled URLs.
 
-A URL's items are its host, each parent domain, its host labels, path segments and their shapes, and the file ending. Spark's FP-growth mines item
-combinations that occur with a label; rules of enough confidence and support whose shorter forms are not as good stay. They are
+A URL's items are its host, each parent domain, its host labels, path segments, neighbouring pairs of both, and shapes of segments; and three fixed
+items that every URL has once at most: its registered domain, the shape of its last segment and the file ending. Spark's FP-growth mines
+combinations of the fixed items, and of the fixed items with one other, that occur with a label: a URL is one basket of its fixed items and
+one for each other item, so it makes 16 combinations of an item at most, however many segments it has (all subsets of the segments of one long URL that repeats would be
+2**segments). Rules of enough confidence and support (a share, and LEAST_URLS labelled URLs) whose shorter forms are not as good stay. They are
 matched by an inverted index: each rule stands under one of its items, a URL looks up the rules of its items and keeps those all of
 whose items it has; the most confident wins (then the better supported, the longer, and the first in order).
 
@@ -13,19 +16,24 @@ their names; an empty table of pages gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import stored
+from tallyloom.session import discard, stored
 
 # Fixed values: (verdict, host, path) of the base rules.
 BASE_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Mining: least share of labelled URLs, least confidence, least gain of a longer rule over its parts.
 SUPPORT, CONFIDENCE, GAIN = 0.002, 0.6, 0.02
+#: Labelled URLs that a rule needs at least, however few there are in all.
+LEAST_URLS = 5
+#: Labels of a host whose suffixes are items, besides the host as a whole (no valid host has more).
+MOST_LABELS = 127
 #: Labelled URLs that are mined, at most about; the rarest item kinds are dropped before mining by the support threshold itself.
 SAMPLE_URLS = 200_000
-BLOCK, ALLOW = "verdict=block", "verdict=allow"
 
 
 def host_of(url: Column) -> Column:
@@ -56,39 +64,72 @@ def base_rule(host: Column, path: Column, rules: tuple = BASE_RULES) -> Column:
 def items_of(host: Column, path: Column) -> Column:
     """The distinct items of a URL."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
-    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda k: F.concat(F.lit("site="), F.array_join(F.slice(labels, k, F.size(labels)), ".")))
+    near = F.slice(labels, F.greatest(F.size(labels) - MOST_LABELS + 1, F.lit(1)), MOST_LABELS)
+    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(near), F.lit(1))), lambda k: F.concat(F.lit("site="), F.array_join(F.slice(near, k, F.size(near)), ".")))
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    shapes = F.transform(parts, lambda x: F.concat(F.lit("shape="), F.regexp_replace(F.regexp_replace(x, "[0-9]+", "0"), r"\p{L}+", "a")))
-    words = F.transform(F.filter(parts, lambda x: ~x.rlike("[0-9]")), lambda x: F.concat(F.lit("part="), x))
+    shape = lambda x: F.regexp_replace(F.regexp_replace(x, "[0-9]+", "0"), r"\p{L}+", "a")
+    shapes = F.transform(parts, lambda x: F.concat(F.lit("shape="), shape(x)))
+    plain = F.filter(parts, lambda x: ~x.rlike("[0-9]"))
     own = F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0)))  # the registered domain is an item as a whole
-    tokens = F.transform(F.filter(F.flatten(F.transform(own, lambda x: F.split(x, "-"))), lambda x: x != ""), lambda x: F.concat(F.lit("word="), x))
+    tokens = F.filter(F.flatten(F.transform(own, lambda x: F.split(x, "-"))), lambda x: x != "")
     ending = F.regexp_extract(path, r"\.([a-z0-9]{1,5})$", 1)
-    extra = F.when(ending != "", F.array(F.concat(F.lit("ending="), ending))).otherwise(F.array().cast("array<string>"))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(parents, tokens, words, shapes, extra)))
+    no = F.array().cast("array<string>")
+    of = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), x))
+    pairs = lambda kind, xs: F.zip_with(F.slice(xs, 1, F.greatest(F.size(xs) - 1, F.lit(0))), F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), lambda x, y: F.concat(F.lit(kind), x, F.lit("/"), y))
+    fixed = F.concat(
+        F.array(F.concat(F.lit("domain="), F.substring_index(F.array_join(near, "."), ".", -2))),
+        F.when(F.size(parts) > 0, F.array(F.concat(F.lit("last="), shape(F.element_at(parts, -1))))).otherwise(no),
+        F.when(ending != "", F.array(F.concat(F.lit("ending="), ending))).otherwise(no),
+    )
+    whole = F.when(F.size(labels) > MOST_LABELS, F.array(F.concat(F.lit("site="), host))).otherwise(no)
+    return F.when(host == "", no).otherwise(F.array_distinct(F.concat(fixed, parents, whole, of("word=", tokens), pairs("words=", tokens), of("part=", plain), pairs("parts=", plain), shapes)))
+
+
+def _is_fixed(item: Column) -> Column:
+    return item.startswith("domain=") | item.startswith("last=") | item.startswith("ending=")
+
+
+def _is_verdict(item: Column) -> Column:
+    return item.startswith("verdict=")
+
+
+def _frequent(baskets: DataFrame, least: int) -> DataFrame:
+    """items (sorted) and freq of the combinations that at least `least` of the baskets hold."""
+    n = baskets.count()
+    if n < least:
+        return baskets.sparkSession.createDataFrame([], "items array<string>, freq bigint")
+    # half a basket less, so that rounding up in the share doesn't ask for one more
+    sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=1.0).fit(baskets).freqItemsets
+    return sets.select(F.array_sort("items").alias("items"), "freq")
 
 
-def mined_rules(marked: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, gain: float = GAIN) -> DataFrame:
+def mined_rules(marked: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, gain: float = GAIN, least_urls: int = LEAST_URLS) -> DataFrame:
     """items, verdict, confidence, support: the pruned rules of marked(items, verdict)."""
-    baskets = marked.select(F.array_union("items", F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items")).where(F.size("items") > 1)
+    verdict = F.array(F.concat(F.lit("verdict="), "verdict"))
+    marked = stored(marked.where(F.size("items") > 0).select(F.array_union(F.filter("items", _is_fixed), verdict).alias("fixed"), F.filter("items", lambda x: ~_is_fixed(x)).alias("free")), "baskets")
     spark = marked.sparkSession
     schema = "items array<string>, verdict string, confidence double, support double"
-    total = baskets.count()
+    total = marked.count()
     if not total:
         return spark.createDataFrame([], schema)
-    sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).freqItemsets
-    sets = stored(sets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+    least = max(least_urls, math.ceil(support * total - 1e-9))
+    sets = _frequent(marked.select(F.col("fixed").alias("items")), least)
+    # an item stands once in a URL, so combinations with it are counted once for each URL; those without it are counted above
+    wider = _frequent(marked.select("fixed", F.explode("free").alias("one")).select(F.concat("fixed", F.array("one")).alias("items")), least)
+    sets = stored(sets.unionByName(wider.where(F.exists("items", lambda x: ~(_is_fixed(x) | _is_verdict(x))))), "itemsets")
     # a rule is a frequent set with one verdict in it; its confidence is that set's count over the count without the verdict
     with_verdict = sets.select(
-        F.array_sort(F.filter("items", lambda x: ~x.startswith("verdict="))).alias("items"),
-        F.element_at(F.filter("items", lambda x: x.startswith("verdict=")), 1).alias("verdict"),
+        F.array_sort(F.filter("items", lambda x: ~_is_verdict(x))).alias("items"),
+        F.element_at(F.filter("items", _is_verdict), 1).alias("verdict"),
         F.col("freq").alias("hits"),
-        F.exists("items", lambda x: x.startswith("verdict=")).alias("has"),
+        F.exists("items", _is_verdict).alias("has"),
     ).where("has")
     base = with_verdict.where(F.size("items") == 0).select("verdict", (F.col("hits") / total).alias("prior"))
-    plain = sets.where(~F.exists("items", lambda x: x.startswith("verdict="))).select("items", "freq")
+    plain = sets.where(~F.exists("items", _is_verdict)).select("items", "freq")
     rules = with_verdict.where(F.size("items") > 0).join(plain, "items").select("items", F.substring_index("verdict", "=", -1).alias("verdict"), (F.col("hits") / F.col("freq")).alias("confidence"), (F.col("hits") / total).alias("support"))
     rules = rules.where(F.col("confidence") >= confidence).join(base.select(F.substring_index("verdict", "=", -1).alias("verdict"), "prior"), "verdict").where(F.col("confidence") >= F.col("prior") + gain)
     rules = stored(rules.drop("prior"), "rules")
+    discard(marked, sets)
     # drop a rule where leaving out one of its items gives a rule of the same verdict that is about as good
     shorter = rules.where(F.size("items") > 1).select("items", "verdict", "confidence", F.explode("items").alias("out"))
     shorter = shorter.select("items", "verdict", "confidence", F.array_except("items", F.array("out")).alias("part"))

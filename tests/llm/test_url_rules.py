@@ -83,3 +83,22 @@ def test_long_urls_ties_and_an_empty_table(spark):
     assert len(out) == 41 and all(x.verdict == ("block" if x.page_id % 2 else "allow") for x in out)
     assert max(len(x.path) for x in out) == 40_001
     assert U.judged(pages.limit(0), labels).count() == 0
+
+
+def test_urls_of_hundreds_of_segments_do_not_multiply(spark):
+    # the same long URL in 1 % of the rows, and a family of long URLs that share parts of their paths
+    long = "/".join(f"seg{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200))
+    rows = [(i, f"http://spam.biz/{long}" if i % 100 == 0 else f"http://h{i % 7}.biz/{'/'.join(f'p{chr(97 + (i * k) % 19)}' for k in range(i % 90))}") for i in range(2000)]
+    labels = spark.createDataFrame([(i, int(i % 100 != 0), 0) for i, _ in rows if i % 2 == 0], "doc_id long, quality int, toxic int")
+    out = {x.page_id: x.verdict for x in U.judged(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert all((out[i] == "block") == (i % 100 == 0) for i, _ in rows)
+
+
+def test_a_rule_needs_five_labelled_urls(spark):
+    marked = lambda n: spark.createDataFrame([(i, f"{'one' if i < n else 'many'}.biz", f"/x{chr(97 + i % 26)}", "block" if i < n else "allow") for i in range(300)], "row long, host string, path string, verdict string").select(U.items_of(F.col("host"), F.col("path")).alias("items"), "verdict")
+    assert [any("domain=one.biz" in x["items"] for x in U.mined_rules(marked(n)).collect()) for n in (4, 5)] == [False, True]
+
+
+def test_hosts_of_very_many_labels(spark):
+    items = spark.range(1).select(U.items_of(F.lit(".".join(["a"] * 5000)), F.lit("/")).alias("items")).first()["items"]
+    assert len(items) < 140 and "site=" + ".".join(["a"] * 5000) in items and "domain=a.a" in items
