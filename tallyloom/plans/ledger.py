@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,8 +71,77 @@ SELECT l.source_id, runs, count(*) FILTER (WHERE failed AND g.grp = l.last_grp)
 )
 def t3_stream_source_health(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark, "t3")
-    streams.run_to_end(streams.source_health(_runs(spark, d)), "update", folder)
-    return streams.latest(spark.read.parquet(f"{folder}/out"), "source_id").select("source_id", "runs", "consecutive_failures", "gap")
+    streams.run_to_end(streams.source_health(_runs(spark, d).withColumn("hours", F.lit(None).cast("double"))), "update", folder)
+    out = streams.latest(spark.read.parquet(f"{folder}/out").where("kind = 'state'"), "source_id")
+    return out.select("source_id", "runs", "consecutive_failures", (F.col("consecutive_failures") >= 3).alias("gap"))
+
+
+#: Events landed in four files, one after another, eight days each; every tenth event lands a file late.
+_LANDED = """landed AS (SELECT *, least(3, (day(ts) - 1) // 8)::INT AS own, least(3, (day(ts) - 1) // 8 + (event_id % 10 = 0)::INT)::INT AS slipped FROM events)"""
+
+
+def _landed(spark: SparkSession, d: str, folder: str, late: bool) -> Callable[[], DataFrame]:
+    """Opens a stream of the events, a file a batch; a file begins when the one before it is complete, so batches follow time."""
+    e = A.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    own = F.floor((F.day("ts") - 1) / 8) + (F.when(F.col("event_id") % 10 == 0, 1).otherwise(0) if late else 0)
+    for k in range(4):
+        e.where(F.least(F.lit(3), own) == k).coalesce(1).write.mode("append").parquet(f"{folder}/hits")
+    return lambda: spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/hits")
+
+
+@query(
+    f"""WITH {_LANDED}, e AS (SELECT user_id * 10 + event_id % 10 AS source_id, ts, event_id, own, event_type = 'error' AS failed FROM landed),
+g AS (SELECT *, CASE WHEN source_id % 3 <> 0 THEN (source_id % 7 + 1) * 6 END AS hours, count(*) FILTER (WHERE NOT failed) OVER (PARTITION BY source_id ORDER BY ts, event_id) AS k FROM e),
+f AS (SELECT source_id, k, min(ts) AS first_failure_at, min(ts) + to_hours(2 * any_value(hours)) AS alarm_at FROM g WHERE failed AND hours IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT f.*, min(own) FILTER (WHERE ts > alarm_at) AS shown, count(*) FILTER (WHERE NOT failed AND ts > first_failure_at AND ts <= alarm_at) AS off FROM f LEFT JOIN g ON f.source_id = g.source_id AND (g.k = f.k OR g.k = f.k + 1 AND NOT failed) GROUP BY ALL),
+m AS (SELECT own, max(max(ts)) OVER (ORDER BY own) - INTERVAL 1 HOUR AS mark FROM e GROUP BY own),
+t AS (SELECT s.*, (SELECT min(m.own) + 1 FROM m WHERE mark >= alarm_at) AS fired FROM s WHERE off = 0)
+SELECT source_id, first_failure_at, alarm_at, shown IS NULL OR coalesce(shown > fired, false) AS by_timer FROM t WHERE shown IS NOT NULL OR fired IS NOT NULL"""
+)
+def t3_health_alarms(spark: SparkSession, d: str) -> DataFrame:
+    """Alarms of sources that fail for more than twice their interval; those of sources that fell silent come from timers."""
+    folder = _folder(spark, "t3a")
+    e = _landed(spark, d, folder, late=False)()
+    source = F.col("user_id") * 10 + F.col("event_id") % 10
+    runs = e.select(source.alias("source_id"), "ts", F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("failed"), F.when(source % 3 != 0, (source % 7 + 1) * 6.0).alias("hours"))
+    streams.run_to_end(streams.source_health(runs), "update", folder)
+    local = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return spark.read.parquet(f"{folder}/out").where("kind = 'alarm'").select("source_id", local("first_failure_at"), local("alarm_at"), "by_timer")
+
+
+#: Which rows were behind the watermark when their file came: at or before the latest time of the files before it, less a day.
+_LATE = f"""{_LANDED}, m AS (SELECT slipped, max(epoch_ms(max(ts))) OVER (ORDER BY slipped) - 86400000 AS mark FROM landed GROUP BY slipped),
+marked AS (SELECT user_id % 50 AS source_id, ts, l.event_id, coalesce(epoch_us(ts) <= 1000 * m.mark, false) AS late FROM landed l LEFT JOIN m ON m.slipped = l.slipped - 1),
+last AS (SELECT max(mark) AS mark FROM m)"""
+
+
+def _by_fifty(open_stream: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+    return lambda: open_stream().select((F.col("user_id") % 50).alias("source_id"), "ts", F.col("event_id").alias("seq"))
+
+
+@query(
+    f"""WITH {_LATE}, w AS (SELECT source_id, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS begins FROM marked WHERE NOT late)
+SELECT source_id, begins, count(*) AS hits, false AS late FROM w GROUP BY ALL HAVING epoch_ms(begins + INTERVAL 2 DAY) <= (SELECT mark FROM last) UNION ALL SELECT source_id, ts, 1, true FROM marked WHERE late"""
+)
+def t2_sliding_windows_and_late(spark: SparkSession, d: str) -> DataFrame:
+    """Two-day windows that slide by a day, written once they have ended, and the rows that came behind the watermark, by one query in append mode."""
+    folder = _folder(spark, "t2w")
+    rows = streams.windows_with_late(_by_fifty(_landed(spark, d, folder, late=True)), "1 day", lambda ts: F.window(ts, "2 days", "1 day"))
+    streams.run_to_end(rows, "append", folder)
+    return spark.read.parquet(f"{folder}/out").select("source_id", F.col("begins").cast("timestamp_ntz").alias("begins"), "hits", "late")
+
+
+@query(
+    f"""WITH {_LATE}, s AS (SELECT source_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY source_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM marked WHERE NOT late),
+g AS (SELECT source_id, ts, sum(new) OVER (PARTITION BY source_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM s)
+SELECT source_id, min(ts) AS begins, count(*) AS hits, false AS late FROM g GROUP BY source_id, k HAVING epoch_us(max(ts) + INTERVAL 6 HOUR) <= 1000 * (SELECT mark FROM last) UNION ALL SELECT source_id, ts, 1, true FROM marked WHERE late"""
+)
+def t6_sessions_and_late(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that a gap of six hours ends, written once the watermark has passed their end, and the late rows, by one query in append mode."""
+    folder = _folder(spark, "t6s")
+    rows = streams.windows_with_late(_by_fifty(_landed(spark, d, folder, late=True)), "1 day", lambda ts: F.session_window(ts, "6 hours"))
+    streams.run_to_end(rows, "append", folder)
+    return spark.read.parquet(f"{folder}/out").select("source_id", F.col("begins").cast("timestamp_ntz").alias("begins"), "hits", "late")
 
 
 @query("SELECT DISTINCT user_id * 1000 + event_id % 50 AS evidence_id FROM events")
@@ -94,8 +164,29 @@ def t4_stream_gate(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark, "t4")
     e = streams.hits(spark, f"{d}/events.parquet", A.table(spark, d, "events")).join(A.registry(spark, d), F.col("source_id") == F.col("user_id") % 10 + 1)
     rows = e.select(F.concat(F.lit("f"), (F.col("event_id") % 300).cast("string")).alias("fingerprint"), F.col("event_id").alias("candidate_id"), F.col("event_id").alias("seq"), "tier", F.col("editorial_owner").cast("bigint").alias("owner"), (F.col("scope") == "1").alias("in_scope"))
-    streams.run_to_end(streams.gate(rows), "append", folder)
-    return spark.read.parquet(f"{folder}/out").select("fingerprint", "candidate_id", "confidence")
+    # evidence is taken in order of arrival, and no fingerprint expires here
+    rows = rows.withColumn("ts", F.timestamp_seconds("seq"))
+    streams.run_to_end(streams.gate(rows, "40000 days"), "append", folder)
+    return spark.read.parquet(f"{folder}/out").where("candidate_id = opened_by").select("fingerprint", "candidate_id", "confidence")
+
+
+@query(
+    f"""WITH {REGISTRY}, c AS (SELECT 'f' || event_id % 300 AS fingerprint, ts, event_id, tier, editorial_owner AS owner, scope = '1' AS in_scope FROM events JOIN registry ON source_id = user_id % 10 + 1),
+n AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY fingerprint ORDER BY ts, event_id) + INTERVAL 2 DAY THEN 1 ELSE 0 END AS new FROM c),
+s AS (SELECT *, sum(new) OVER (PARTITION BY fingerprint ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS life FROM n),
+o AS (SELECT *, row_number() OVER w AS place, first_value(CASE WHEN tier = 'trusted' THEN owner END IGNORE NULLS) OVER (PARTITION BY fingerprint, life ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_owner FROM s WINDOW w AS (PARTITION BY fingerprint, life ORDER BY ts, event_id)),
+b AS (SELECT fingerprint, life, min(place) AS opens FROM o WHERE tier = 'authoritative' AND in_scope OR tier = 'trusted' AND owner <> first_owner GROUP BY 1, 2),
+g AS (SELECT o.*, opens FROM o JOIN b USING (fingerprint, life) WHERE place <= opens)
+SELECT fingerprint, event_id AS candidate_id, max(CASE WHEN place = opens THEN event_id END) OVER p AS opened_by, max(CASE WHEN place = opens THEN CASE WHEN tier = 'authoritative' THEN 'high' ELSE 'medium' END END) OVER p AS confidence,
+  (SELECT count(DISTINCT owner) FROM g h WHERE h.fingerprint = g.fingerprint AND h.life = g.life) AS owners FROM g WINDOW p AS (PARTITION BY fingerprint, life)"""
+)
+def t4_gate_with_expiry(spark: SparkSession, d: str) -> DataFrame:
+    """The gate with state that ends: a fingerprint silent for more than two days is forgotten, with what waited, and starts anew."""
+    folder = _folder(spark, "t4e")
+    e = _landed(spark, d, folder, late=False)().join(A.registry(spark, d), F.col("source_id") == F.col("user_id") % 10 + 1)
+    rows = e.select(F.concat(F.lit("f"), (F.col("event_id") % 300).cast("string")).alias("fingerprint"), "ts", F.col("event_id").alias("candidate_id"), F.col("event_id").alias("seq"), "tier", F.col("editorial_owner").cast("bigint").alias("owner"), (F.col("scope") == "1").alias("in_scope"))
+    streams.run_to_end(streams.gate(rows, "2 days"), "append", folder)
+    return spark.read.parquet(f"{folder}/out").select("fingerprint", "candidate_id", "opened_by", "owners", "confidence")
 
 
 @query("SELECT user_id AS source_id, max(ts) FILTER (WHERE event_type <> 'error') AS cursor_at FROM events GROUP BY 1 HAVING max(ts) FILTER (WHERE event_type <> 'error') IS NOT NULL")

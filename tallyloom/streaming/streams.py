@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from tallyloom.operators import merge
 from tallyloom.operators.surface import numbered
 from tallyloom.session import stored
+from tallyloom.streaming.processors import HEALTH, PROMOTED, STORE, STORE_CONF, EvidenceGate, LateRouter, SourceHealth
 
 
 def hits(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -44,52 +45,55 @@ def split_late(stream: DataFrame, at: str, baseline: Column) -> tuple[DataFrame,
     return stream.where(F.col(at) >= baseline), stream.where(F.col(at) < baseline)
 
 
-HEALTH = "source_id bigint, runs bigint, consecutive_failures bigint, first_failure_at timestamp, last_success timestamp, gap boolean"
+def _with_timers(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
+    """A processor with timers on the watermark. Such state needs a store that finds keys by their time, which is set for the session."""
+    stream.sparkSession.conf.set(STORE_CONF, STORE)
+    return stream.groupBy(key).transformWithStateInPandas(processor, schema, mode, "eventTime")
 
 
-def source_health(stream: DataFrame, gap_at: int = 3) -> DataFrame:
-    """The state of each source after each batch: a success ends a run of failures. A batch's rows of a source are folded in order of time."""
+def source_health(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """The state of each source after each batch (kind "state"), and an alarm (kind "alarm") once failures have lasted for more than twice its interval.
+
+    stream: source_id, ts, seq, failed, hours. An alarm comes from a timer where the source falls silent, or with the first row after the due time.
+    """
+    rows = stream.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    out = _with_timers(rows, "source_id", SourceHealth(), HEALTH, "update")
+    return out.select("source_id", "kind", "by_timer", "runs", "consecutive_failures", *[F.timestamp_micros(c).alias(n) for c, n in (("first_at", "first_failure_at"), ("success_at", "last_success"), ("alarm_at", "alarm_at"))])
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        runs, failures, first, success = state.get if state.exists else (0, 0, None, None)
-        rows = pd.concat([f[["ts", "seq", "failed"]] for f in frames]).sort_values(["ts", "seq"])
-        for ts, failed in zip(rows["ts"], rows["failed"], strict=True):
-            runs += 1
-            if failed:
-                failures, first = failures + 1, first if failures else ts.to_pydatetime()
-            else:
-                failures, first, success = 0, None, ts.to_pydatetime()
-        state.update((runs, failures, first, success))
-        yield pd.DataFrame({"source_id": [key[0]], "runs": [runs], "consecutive_failures": [failures], "first_failure_at": pd.Series([first], dtype="datetime64[ns]"), "last_success": pd.Series([success], dtype="datetime64[ns]"), "gap": [failures >= gap_at]})
 
-    return stream.groupBy("source_id").applyInPandasWithState(fold, HEALTH, "runs bigint, failures bigint, first timestamp, success timestamp", "update", GroupStateTimeout.NoTimeout)
+def gate(stream: DataFrame, span: str, delay: str = "1 hour") -> DataFrame:
+    """Candidates whose fingerprint's evidence reaches the gate, each once, with the one that opened it.
+
+    stream: fingerprint, ts, seq, candidate_id, tier, owner, in_scope. State lasts for `span` after a fingerprint's last row (a number and a unit).
+    """
+    rows = stream.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    return _with_timers(rows, "fingerprint", EvidenceGate(pd.Timedelta(span) // pd.Timedelta("1ms")), PROMOTED, "append")
 
 
-PROMOTION = "fingerprint string, candidate_id bigint, owners bigint, confidence string"
+ROUTED = "source_id bigint, seq bigint, ts timestamp, at bigint, late boolean"
 
 
-def gate(stream: DataFrame) -> DataFrame:
-    """Fingerprints whose evidence first reaches the gate: an authoritative source in scope, or two trusted owners. Emitted once.
+def with_late_branch(open_stream: Callable[[], DataFrame], delay: str) -> tuple[DataFrame, DataFrame]:
+    """(on time, late) of a stream of (source_id, ts, seq): rows at or behind the watermark as their batch begins are late. No row is lost.
 
-    The state is at most one owner: with a second one the gate is open.
+    On-time rows keep the watermark, so windows over them end in append mode and their state goes; both branches belong in one query (a union),
+    which has one watermark. Each branch opens the stream for itself: a union of two branches of one stream loses rows of the second.
     """
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        owner, open_already = state.get if state.exists else (None, False)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for row in rows.itertuples():
-            if open_already:
-                break
-            high = row.tier == "authoritative" and row.in_scope
-            second = row.tier == "trusted" and owner is not None and row.owner != owner
-            if high or second:
-                open_already = True
-                yield pd.DataFrame({"fingerprint": [key[0]], "candidate_id": [row.candidate_id], "owners": [2 if second else 1], "confidence": ["high" if high else "medium"]})
-            elif row.tier == "trusted" and owner is None:
-                owner = int(row.owner)
-        state.update((owner, open_already))
-
-    return stream.groupBy("fingerprint").applyInPandasWithState(fold, PROMOTION, "owner bigint, open boolean", "append", GroupStateTimeout.NoTimeout)
+    def marked() -> DataFrame:
+        stream = open_stream()
+        stream.sparkSession.conf.set(STORE_CONF, STORE)
+        rows = stream.withWatermark("ts", delay).select("source_id", "seq", F.unix_micros("ts").alias("at"))
+        return rows.groupBy("source_id").transformWithStateInPandas(LateRouter(), ROUTED, "append", "eventTime", eventTimeColumnName="ts")
+
+    return marked().where("not late").drop("at"), marked().where("late").select("source_id", "seq", F.timestamp_micros("at").alias("ts"), "late")
+
+
+def windows_with_late(open_stream: Callable[[], DataFrame], delay: str, window: Callable[[str], Column]) -> DataFrame:
+    """source_id, begins, hits, late in append mode: windows (sliding, tumbling or sessions) of on-time rows as they end, and each late row by itself."""
+    now, late = with_late_branch(open_stream, delay)
+    ended = now.groupBy(window("ts").alias("w"), "source_id").agg(F.count(F.lit(1)).alias("hits")).select("source_id", F.col("w.start").alias("begins"), "hits", F.lit(False).alias("late"))
+    return ended.unionByName(late.select("source_id", F.col("ts").alias("begins"), F.lit(1).cast("bigint").alias("hits"), "late"))
 
 
 def run_to_end(stream: DataFrame, mode: str, folder: str, write: Callable[[DataFrame, int], None] | None = None) -> None:
