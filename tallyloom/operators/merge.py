@@ -19,12 +19,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.resolve import identity_components
 
-OUTCOME = "component string, row_kind string, candidate_id string, event_id string, outcome string, stage string, evidence_confidence string, facts string, n_evidence int, by_seq bigint, by_candidate string, place int"
+OUTCOME = "component bigint, row_kind string, candidate_id string, event_id string, outcome string, stage string, evidence_confidence string, facts string, n_evidence int, by_seq bigint, by_candidate string, place int"
 SEED = "event_id string, event_ord bigint, fingerprint string, facts string, evidence_id string, url string, legacy_id string, owner string, tier string, in_scope boolean"
 #: Columns of a candidate that the fold reads.
 READ = ("candidate_id", "seq", "fingerprint", "evidence_id", "url", "legacy_id", "verdict_event", "owner", "tier", "in_scope", "day", "has_cursor", "facts")
@@ -112,15 +112,44 @@ def merge_ledger(candidates: DataFrame, seeds: DataFrame, baseline: str) -> Data
     candidates: the columns READ; seeds: (event_id, fingerprint, facts, evidence_id, url, legacy_id, owner, tier, in_scope), one for each
     piece of evidence of the events that are in the ledger already, in ledger order by event_ord.
     """
-    own = lambda kind, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{kind}:"), F.col(c)))
-    keyed = lambda df, node, *more: df.select(node.alias("node"), F.explode(F.array_compact(F.array(own("fp", "fingerprint"), own("evd", "evidence_id"), own("url", "url"), own("leg", "legacy_id"), *more))).alias("key"))
-    c_node, s_node = F.concat(F.lit("c:"), "candidate_id"), F.concat(F.lit("e:"), "event_id")
-    keys = keyed(candidates, c_node, own("evt", "verdict_event")).unionByName(keyed(seeds, s_node, own("evt", "event_id")))
-    parts = identity_components(keys)
-    shape = lambda df, kind: df.withColumn("kind", F.lit(kind))
-    rows = shape(seeds.withColumn("node", s_node), 0).unionByName(shape(candidates.select(*READ).withColumn("node", c_node), 1), allowMissingColumns=True)
+    parts = identity_components(node_keys(candidates, seeds))
+    return fold_components(_rows_of(candidates, seeds).join(parts, "node"), baseline)
+
+
+def _keyed(df: DataFrame, node: Column, *more: Column) -> DataFrame:
+    own = lambda kind, c: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(kind), F.col(c)))
+    keys = F.array_compact(F.array(own("fp", "fingerprint"), own("evd", "evidence_id"), own("url", "url"), own("leg", "legacy_id"), *more))
+    return df.select(node.alias("node"), F.explode(keys).alias("key"))
+
+
+def named(kind: str, name: str) -> Column:
+    """A key or node as a number. Two names that share one fall into one component, which changes nothing: the fold compares names."""
+    return F.when(F.col(name).isNotNull(), F.xxhash64(F.lit(kind), F.col(name)))
+
+
+def candidate_keys(candidates: DataFrame) -> DataFrame:
+    """node, key of candidates."""
+    return _keyed(candidates, named("c", "candidate_id"), named("evt", "verdict_event"))
+
+
+def seed_keys(seeds: DataFrame) -> DataFrame:
+    """node, key of evidence."""
+    return _keyed(seeds, named("e", "event_id"), named("evt", "event_id"))
+
+
+def node_keys(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
+    return candidate_keys(candidates).unionByName(seed_keys(seeds))
+
+
+def _rows_of(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
+    shape = lambda df, kind, node: df.withColumn("kind", F.lit(kind)).withColumn("node", node)
+    return shape(seeds, 0, named("e", "event_id")).unionByName(shape(candidates.select(*READ), 1, named("c", "candidate_id")), allowMissingColumns=True)
+
+
+def fold_components(rows: DataFrame, baseline: str) -> DataFrame:
+    """The outcome of rows (kind 0: seeds, 1: candidates) whose `component` is known."""
     columns = ["component", "kind", "event_ord", "event_id", *READ]
-    ordered = rows.join(parts, "node").select(*columns).repartition("component").sortWithinPartitions("component", "kind", "event_ord", "seq", "candidate_id")
+    ordered = rows.select(*columns).repartition("component").sortWithinPartitions("component", "kind", "event_ord", "seq", "candidate_id", "event_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, ledger = None, _Ledger(baseline)
@@ -132,7 +161,9 @@ def merge_ledger(candidates: DataFrame, seeds: DataFrame, baseline: str) -> Data
         names = [x.split(" ")[0] for x in OUTCOME.split(", ")]
         for frame in frames:
             out: list[tuple] = []
-            for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
+            columns = [frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in frame]
+            for values in zip(*columns, strict=True):
+                row = dict(zip(frame, values, strict=True))
                 if row["component"] != now:
                     if now is not None:
                         out += flush()
