@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.session import stored
+
 
 def confidence(scoped: DataFrame, key: str) -> DataFrame:
     """key, evidence_confidence, sources: from rows (key, tier, editorial_owner, in_scope), one for each piece of evidence.
@@ -29,6 +31,34 @@ def corroborated(candidates: DataFrame) -> DataFrame:
     return keyed.select("candidate_id", "support").distinct().join(confidence(keyed, "support"), "support").drop("support")
 
 
+def running_support(candidates: DataFrame, key: str, *order: str) -> DataFrame:
+    """candidates with `owners` (distinct trusted owners so far), `running_confidence` of the support set so far, and `opens`: whether this row first lifts it above low.
+
+    candidates: key, tier, editorial_owner, in_scope and the columns of a total order. A set's rows are dealt out by ranges of (key, order), so a hot key is
+    spread over tasks: a range counts its own first occurrences, and what the ranges before it found is carried in as sums, one row for each key of a range.
+    """
+    ranged = stored(candidates.repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()), "support")
+    trusted, at = ranged.where("tier = 'trusted'"), F.struct(*order)
+    # an owner counts in the range where it first stands, at its first row there
+    first = trusted.groupBy(key, "editorial_owner").agg(F.min(F.struct("__part", *order)).alias("m"))
+    first = first.select(F.col(key).alias("__key"), F.col("editorial_owner").alias("__owner"), F.col("m.__part").alias("__first"), F.struct(*[F.col(f"m.{c}") for c in order]).alias("__at"))
+    strong = (F.col("tier") == "authoritative") & F.col("in_scope")
+    sums = ranged.groupBy(key, "__part").agg(F.coalesce(F.max(strong), F.lit(False)).alias("__strong"))
+    new = first.groupBy("__key", F.col("__first").alias("__in")).agg(F.count(F.lit(1)).alias("__new"))
+    sums = sums.join(new, (F.col(key) == F.col("__key")) & (F.col("__part") == F.col("__in")), "left").drop("__key", "__in")
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(F.col(key).alias("__k"), F.col("__part").alias("__p"), F.coalesce(F.sum("__new").over(before), F.lit(0)).alias("__owners"), F.coalesce(F.max("__strong").over(before), F.lit(False)).alias("__had"))
+    rows = ranged.join(first, (F.col(key) == F.col("__key")) & (F.col("editorial_owner") == F.col("__owner")) & (F.col("__part") == F.col("__first")) & (F.col("tier") == "trusted"), "left")
+    rows = rows.withColumn("__one", F.coalesce(at == F.col("__at"), F.lit(False)).cast("int")).join(carried, (F.col(key) == F.col("__k")) & (F.col("__part") == F.col("__p")))
+    here = Window.partitionBy("__part", key).orderBy(*order)
+    upto, earlier = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
+    owners = lambda w: F.col("__owners") + F.coalesce(F.sum("__one").over(w), F.lit(0))
+    had = lambda w: F.col("__had") | F.coalesce(F.max(strong).over(w), F.lit(False))
+    word = lambda w: F.when(had(w), "high").when(owners(w) >= 2, "medium").otherwise("low")
+    out = rows.select(*candidates.columns, owners(upto).alias("owners"), word(upto).alias("running_confidence"), word(earlier).alias("__was"))
+    return out.withColumn("opens", (F.col("running_confidence") != "low") & (F.col("__was") == "low")).drop("__was")
+
+
 def high_risk(level: Column, event_type: Column, risky_types: tuple[str, ...], flags: Column | None = None) -> Column:
     """An event of level L1, of a risky type, or with risk flags."""
     out = F.coalesce(level == "L1", F.lit(False)) | event_type.isin(*risky_types)

@@ -40,6 +40,21 @@ def e2_corroborate(spark: SparkSession, d: str) -> DataFrame:
     return evidence.corroborated(candidates)
 
 
+@query(
+    f"""WITH {REGISTRY}, c AS (SELECT l_orderkey * 10 + l_linenumber AS candidate_id, CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE 'p' || l_partkey END AS fingerprint, l_shipdate AS shipped, tier, editorial_owner, scope = substr(l_shipdate::VARCHAR, 4, 1) AS in_scope FROM lineitem JOIN registry ON l_suppkey = source_id),
+f AS (SELECT *, tier = 'trusted' AND row_number() OVER (PARTITION BY fingerprint, tier, editorial_owner ORDER BY shipped, candidate_id) = 1 AS one FROM c),
+r AS (SELECT *, count(*) FILTER (WHERE one) OVER w AS owners, coalesce(bool_or(tier = 'authoritative' AND in_scope) OVER w, false) AS high FROM f WINDOW w AS (PARTITION BY fingerprint ORDER BY shipped, candidate_id ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT candidate_id, fingerprint, shipped, owners, CASE WHEN high THEN 'high' WHEN owners >= 2 THEN 'medium' ELSE 'low' END AS running_confidence FROM r)
+SELECT candidate_id, owners, running_confidence, running_confidence <> 'low' AND coalesce(lag(running_confidence) OVER (PARTITION BY fingerprint ORDER BY shipped, candidate_id), 'low') = 'low' AS opens FROM s"""
+)
+def e2_running_support(spark: SparkSession, d: str) -> DataFrame:
+    """The gate row by row: each candidate with the support set as of its place; a third of the rows share one fingerprint."""
+    line = A.table(spark, d, "lineitem").join(A.registry(spark, d), F.col("l_suppkey") == F.col("source_id"))
+    name = F.when(F.col("l_orderkey") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("l_partkey").cast("string")))
+    rows = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("candidate_id"), name.alias("fingerprint"), F.col("l_shipdate").alias("at"), "tier", "editorial_owner", (F.col("scope") == F.substring(F.col("l_shipdate").cast("string"), 4, 1)).alias("in_scope"))
+    return evidence.running_support(rows, "fingerprint", "at", "candidate_id").select("candidate_id", "owners", "running_confidence", "opens")
+
+
 @query(f"WITH {EVENTS} SELECT event_id, relevance, impact, actionability, total, level FROM levelled")
 def p6_importance(spark: SparkSession, d: str) -> DataFrame:
     return A.ledger_events(spark, d).select("event_id", "relevance", "impact", "actionability", "total", "level")

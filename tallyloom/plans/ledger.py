@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import merge
+from tallyloom.operators.ledger_store import IncrementalLedger
+from tallyloom.operators.store import Store
 from tallyloom.plans.base import REGISTRY
 from tallyloom.plans.registry import query
 from tallyloom.session import scratch_dir
@@ -198,18 +200,22 @@ def t7_cursors(spark: SparkSession, d: str) -> DataFrame:
     return streams.advance_cursor(first, e)
 
 
-def _streamed_ledger(spark: SparkSession, d: str) -> str:
-    """The folder of a ledger that a stream of events, in four files, was merged into batch by batch."""
-    folder = _folder(spark, "t5")
-    A.table(spark, d, "events").repartitionByRange(4, "event_id").write.parquet(f"{folder}/hits")
+def _as_candidates(e: DataFrame) -> DataFrame:
+    """Events joined with their sources, as candidates of 300 fingerprints."""
     say = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
-    e = spark.readStream.schema(A.table(spark, d, "events").schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/hits").join(A.registry(spark, d), F.col("source_id") == F.col("user_id") % 10 + 1)
-    rows = e.select(
+    return e.select(
         say("c", F.col("event_id")).alias("candidate_id"), F.col("event_id").alias("seq"), say("f", F.col("event_id") % 300).alias("fingerprint"), say("e", F.col("event_id")).alias("evidence_id"), F.lit(None).cast("string").alias("url"),
         F.lit(None).cast("string").alias("legacy_id"), F.lit(None).cast("string").alias("verdict_event"), F.col("editorial_owner").cast("string").alias("owner"), "tier", (F.col("scope") == "1").alias("in_scope"),
         F.lit("2024-01-01").alias("day"), F.lit(False).alias("has_cursor"), F.lit("a").alias("facts"),
     )
-    streams.run_to_end(rows, "append", folder, streams.ledger_sink(f"{folder}/ledger", "2020-01-01"))
+
+
+def _streamed_ledger(spark: SparkSession, d: str) -> str:
+    """The folder of a ledger that a stream of events, in four files, was merged into batch by batch."""
+    folder = _folder(spark, "t5")
+    A.table(spark, d, "events").repartitionByRange(4, "event_id").write.parquet(f"{folder}/hits")
+    e = spark.readStream.schema(A.table(spark, d, "events").schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/hits").join(A.registry(spark, d), F.col("source_id") == F.col("user_id") % 10 + 1)
+    streams.run_to_end(_as_candidates(e), "append", folder, streams.ledger_sink(f"{folder}/ledger", "2020-01-01"))
     return f"{folder}/ledger"
 
 
@@ -232,6 +238,39 @@ def k1_waiting_candidates(spark: SparkSession, d: str) -> DataFrame:
     return merge.current(spark, root, "waiting").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _incremental(spark: SparkSession, d: str) -> IncrementalLedger:
+    """A ledger that a stream of events, in four files, was merged into, each batch at the cost of what it touches."""
+    folder = _folder(spark, "t5i")
+    e = _landed(spark, d, folder, late=False)().join(A.registry(spark, d), F.col("source_id") == F.col("user_id") % 10 + 1)
+    ledger = IncrementalLedger(Store(spark, f"{folder}/ledger", 16), "2020-01-01")
+    streams.run_to_end(_as_candidates(e), "append", folder, ledger.write)
+    return ledger
+
+
+@query(f"{_GATED} SELECT fingerprint, n AS n_evidence FROM g WHERE high OR medium")
+def t5_incremental_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger's events after the stream, each batch of which read and wrote the components that it touched."""
+    edges = _incremental(spark, d).evidence()
+    return edges.groupBy("event_id", "fingerprint").agg(F.count_distinct("evidence_id").alias("n_evidence")).select("fingerprint", "n_evidence")
+
+
+@query(
+    f"""WITH {REGISTRY}, {_LANDED}, c AS (SELECT 'f' || event_id % 300 AS fingerprint, tier, editorial_owner AS owner, scope = '1' AS in_scope FROM landed JOIN registry ON source_id = user_id % 10 + 1 WHERE own < 3),
+g AS (SELECT fingerprint, count(*) AS n, coalesce(bool_or(tier = 'authoritative' AND in_scope), false) AS high, count(DISTINCT owner) FILTER (WHERE tier = 'trusted') >= 2 AS medium FROM c GROUP BY 1)
+SELECT fingerprint, n, NOT (high OR medium) AS waits FROM g"""
+)
+def k1_verified_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger as of its last whole version: a file of the last run is lost, so the version before it stands."""
+    ledger = _incremental(spark, d)
+    last = ledger.store.latest()
+    bucket, parts = next((b, parts) for b, parts in last["tables"]["members"]["buckets"].items() if parts[-1][0].startswith(f"{last['run']:010d}"))
+    lost, fs = ledger.store._path("members", f"run={parts[-1][0]}", f"bucket={bucket}")
+    fs.delete(lost, True)
+    whole = ledger.store.verified()
+    rows = ledger.evidence(whole).select("fingerprint", "evidence_id", F.lit(False).alias("waits")).unionByName(ledger.waiting(whole).select("fingerprint", "evidence_id", F.lit(True).alias("waits")))
+    return rows.groupBy("fingerprint", "waits").agg(F.count_distinct("evidence_id").alias("n")).select("fingerprint", "n", "waits")
+
+
 @query("SELECT count(*) AS rows, sum(l_quantity)::BIGINT AS quantity, l_returnflag AS run FROM lineitem GROUP BY 3")
 def k2_run_history(spark: SparkSession, d: str) -> DataFrame:
     """One line for each run, appended and read back."""

@@ -195,6 +195,56 @@ def e8_adjudicate(spark: SparkSession, d: str) -> DataFrame:
     return adjudicate.adjudicated(a, b, c)
 
 
+_JUDGED = """WITH o AS (SELECT o_orderkey AS item_id, ['extraction', 'importance', 'match'][1 + o_orderkey % 3] AS task, * FROM orders),
+j AS (SELECT item_id, task, 'Firm ' || o_custkey % 9 || ' Inc.' AS a_company, CASE WHEN item_id % 5 = 0 THEN 'Firm ' || o_custkey % 8 ELSE 'FIRM-' || o_custkey % 9 END AS b_company, strftime(o_orderdate, '%Y-%m-%d') || 'T09:00' AS a_day,
+  CASE WHEN item_id % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS b_day, (o_custkey % 4)::INT AS a_band, (CASE WHEN item_id % 4 = 0 THEN 3 ELSE o_custkey % 4 END)::INT AS b_band,
+  CASE WHEN item_id % 8 < 4 THEN 'different_event' ELSE 'same_event' END AS a_rel, CASE WHEN item_id % 8 < 5 THEN 'different_event' ELSE 'same_event' END AS b_rel,
+  CASE WHEN item_id % 8 >= 4 OR item_id % 11 = 0 THEN o_custkey END AS a_ev, CASE WHEN item_id % 8 >= 5 THEN o_custkey END AS b_ev,
+  item_id % 13 <> 0 AS has_b, CASE item_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'pending' END AS pick FROM o),
+e AS (SELECT *, CASE task WHEN 'extraction' THEN regexp_replace(a_company, '[^0-9]', '', 'g') = regexp_replace(b_company, '[^0-9]', '', 'g') AND left(a_day, 10) IS NOT DISTINCT FROM b_day
+  WHEN 'importance' THEN a_band = b_band ELSE a_rel = b_rel AND a_ev IS NOT DISTINCT FROM b_ev END AS agreed FROM j),
+c AS (SELECT *, CASE WHEN NOT has_b THEN 'single' WHEN agreed THEN 'agreed' WHEN pick IN ('A', 'B') THEN 'arbiter' ELSE 'pending' END AS first, CASE WHEN NOT has_b THEN NULL WHEN agreed THEN 'A' WHEN pick IN ('A', 'B') THEN pick END AS chosen FROM e),
+v AS (SELECT *, CASE chosen WHEN 'A' THEN a_rel WHEN 'B' THEN b_rel END AS rel, CASE chosen WHEN 'A' THEN a_ev WHEN 'B' THEN b_ev END AS ev FROM c)"""
+
+
+@query(
+    f"""{_JUDGED}, k AS (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0), r AS (SELECT *, task = 'match' AND chosen IS NOT NULL AND NOT CASE WHEN rel = 'different_event' THEN ev IS NULL ELSE ev IN (SELECT c_custkey FROM k) END AS refused FROM v)
+SELECT item_id, task, CASE WHEN refused THEN 'pending' ELSE first END AS outcome, CASE WHEN NOT refused THEN CASE chosen WHEN 'A' THEN a_company WHEN 'B' THEN b_company END END AS company, CASE WHEN NOT refused THEN ev END AS event_id FROM r"""
+)
+def e8_adjudicate_by_task(spark: SparkSession, d: str) -> DataFrame:
+    """Two judgements of each item, compared by its task's rules; the arbiter decides, and a match stands only if it names a known event."""
+    o, key = A.table(spark, d, "orders"), F.col("o_orderkey")
+    task = F.element_at(F.array(F.lit("extraction"), F.lit("importance"), F.lit("match")), (key % 3 + 1).cast("int"))
+    text = lambda prefix, c, end="": F.concat(F.lit(prefix), c.cast("string"), F.lit(end))
+    day, nothing = F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(None).cast("string")
+    band = lambda c: [c.cast("int").alias("relevance"), F.lit(1).alias("impact"), F.lit(2).alias("actionability")]
+    rest = [F.lit("p").alias("product"), F.lit("approval").alias("event_type"), nothing.alias("published_at")]
+    relation = lambda n: F.when(key % 8 < n, "different_event").otherwise("same_event").alias("relation")
+    a = F.struct(text("Firm ", F.col("o_custkey") % 9, " Inc.").alias("company"), *rest, F.concat(day, F.lit("T09:00")).alias("occurred_at"), *band(F.col("o_custkey") % 4), relation(4), F.when((key % 8 >= 4) | (key % 11 == 0), F.col("o_custkey")).alias("event_id"))
+    b = F.struct(
+        F.when(key % 5 == 0, text("Firm ", F.col("o_custkey") % 8)).otherwise(text("FIRM-", F.col("o_custkey") % 9)).alias("company"), *rest, F.when(key % 7 != 0, day).alias("occurred_at"),
+        *band(F.when(key % 4 == 0, 3).otherwise(F.col("o_custkey") % 4)), relation(5), F.when(key % 8 >= 5, F.col("o_custkey")).alias("event_id"),
+    )
+    judged = lambda rows, x: rows.select(key.alias("item_id"), task.alias("task"), x.alias("judgement"))
+    pick = o.select(key.alias("item_id"), task.alias("task"), F.when(key % 4 == 0, "A").when(key % 4 == 1, "B").when(key % 4 == 2, "pending").alias("selected"))
+    known = A.table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("event_id"))
+    out = adjudicate.adjudicated_by_task(judged(o, a), judged(o.where(key % 13 != 0), b), pick, known)
+    return out.select("item_id", "task", "outcome", F.col("judgement.company").alias("company"), F.col("judgement.event_id").alias("event_id"))
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS candidate_id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey % 6 < 5),
+h AS (SELECT o_orderkey AS candidate_id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) + least(500, (SELECT count(*) FROM r)) AS n FROM orders WHERE o_orderstatus <> 'O')
+SELECT candidate_id, true AS replayed, CASE WHEN n <= 500 THEN n END AS place FROM r UNION ALL SELECT candidate_id, false, n FROM h"""
+)
+def s11_replay_before_hits(spark: SparkSession, d: str) -> DataFrame:
+    """A run's queue: at most 500 candidates that are tried again, then the new hits; further retries wait."""
+    o = A.table(spark, d, "orders").withColumns({"candidate_id": F.col("o_orderkey"), "seq": F.col("o_orderdate")})
+    waiting = o.where("o_orderstatus = 'O'").withColumns({"retry_count": F.col("o_orderkey") % 6, "status": F.lit("pending"), "stage": F.col("o_orderpriority"), "has_payload": F.lit(True)})
+    retries = waiting.where(adjudicate.retry_fate(("1-URGENT", "2-HIGH")) == "retry")
+    return adjudicate.replay_first(retries.select("candidate_id", "seq"), o.where("o_orderstatus <> 'O'").select("candidate_id", "seq"))
+
+
 @query(
     """WITH s AS (SELECT s_suppkey AS source_id, CASE WHEN s_suppkey % 2 = 0 THEN (s_suppkey % 7 + 1) * 6 END AS h FROM supplier),
 r AS (SELECT user_id + 1 AS source_id, max(ts) FILTER (WHERE event_type <> 'error') AS last_success FROM events GROUP BY 1)
