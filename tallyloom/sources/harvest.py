@@ -5,36 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import canonical_urls, decode_entities, let, squeezed, strip_html, strip_tags
+from tallyloom.functions.text import canonical_urls, strip_html
+from tallyloom.sources.markup import read_links
 
 _ANCHOR = r'(?is)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>'
-# Words that mark a path as an article's, sections of a site, what buttons say, newswires, files, elements without an end.
+# Words that mark a path as an article's, sections of a site, names of page numbers, newswires, files.
 NEWS_WORDS = ("news", "newsroom", "press", "release", "releases", "media", "announcement", "announcements", "blog", "article", "articles", "story", "stories", "insight", "insights", "update", "updates", "xinwen", "xwzx", "gsxw", "gsdt", "dongtai", "zixun")
 SECTION_WORDS = ("about", "about-us", "team", "leadership", "management", "board", "governance", "career", "careers", "job", "jobs", "contact", "contact-us", "privacy", "privacy-policy", "terms", "legal", "cookie", "cookies", "sitemap", "login", "faq", "product", "products", "our-products", "solutions", "services", "patient", "patients", "provider", "providers", "physician", "physicians", "health-systems", "investor", "investors", "financial", "financials", "annual-reports", "sec-filings", "stock-information")
-BUTTON_VERBS = ("read", "learn", "view", "see", "find out", "download", "continue", "click", "more", "next", "previous")
-BUTTON_WORDS = ("home", "news")
-BUTTON_CN = ("阅读", "查看", "了解", "点击", "更多", "详情")
+PAGE_NAMES = ("page", "p", "offset", "start")
 NEWSWIRES = ("prnewswire.com", "businesswire.com", "globenewswire.com", "accesswire.com")
 FILES = ("pdf", "jpg", "jpeg", "png", "gif", "svg", "webp", "zip", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "mp4")
-VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
-LEAST_SCORE, LEAST_TITLE, MOST_TITLE, CARD_REACH = 3, 12, 300, 1500
-
-_ATTRIBUTES = r"""((?:[^>"']+|"[^"]*"|'[^']*')*+)"""
-_LINK = rf"(?is)<a\b{_ATTRIBUTES}>(.*?)</a>"
-_HEADING = r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>"
-_TAG = rf"(?is)</?[a-z][a-z0-9]*\b{_ATTRIBUTES}>"
-_BLOCK_EDGE = r"(?i)</?(?:div|p|li|ul|ol|h[1-6]|section|article|header|time|br|dt|dd|td|tr|figure|figcaption)\b[^>]*>"
-_BUTTON = rf"(?i)^(?:(?:{'|'.join(BUTTON_VERBS)})(?:\s|$)|(?:{'|'.join(BUTTON_WORDS)})$|{'|'.join(BUTTON_CN)})"
-_NEWS = rf"(?:^|[/_-])(?:{'|'.join(NEWS_WORDS)})(?:$|[/_.-])"
-_SECTION = rf"(?:^|/)(?:{'|'.join(SECTION_WORDS)})(?:/|$)"
-_DATED = r"(?:^|/)(?:19|20)[0-9]{2}(?:[/-]?[0-9]{1,2}){0,2}(?:/|-|$)"
-_PAGING = r"[?&](?:page|p|offset|start)=[0-9]+|/page/[0-9]+/?$"
-_FILE = rf"\.(?:{'|'.join(FILES)})$"
-_TEMPLATE = r"(?i)\{\{|%7B%7B"
-_DAY = r"((?:19|20)[0-9]{2})\s*[-./年]\s*([0-9]{1,2})\s*[-./月]\s*([0-9]{1,2})\s*日?"
-_FIRST_DAY = rf"(?i)^(?:(?:hot|new|top|置顶|最新)\s+)?{_DAY}\s*"
-_LAST_DAY = rf"\s*{_DAY}$"
-_ANY_DAY = rf"(?<![0-9]){_DAY}(?![0-9])"
+LEAST_SCORE, MOST_TITLE = 3, 300
 
 
 def anchors(pages: DataFrame, key: str) -> DataFrame:
@@ -46,49 +27,27 @@ def anchors(pages: DataFrame, key: str) -> DataFrame:
     return flat.withColumn("href", F.regexp_extract("tag", _ANCHOR, 1)).withColumn("label", strip_html(F.regexp_extract("tag", _ANCHOR, 2))).drop("tag", "html")
 
 
-def _day(text: Column, pattern: str) -> Column:
-    return let(text, lambda t: _as_day(*[F.regexp_extract(t, pattern, k).try_cast("int") for k in (1, 2, 3)]))
+def _says_news(path: Column) -> Column:
+    """A word of the path (parted by "/", "_" or "-", up to a dot) is one of an article's."""
+    return F.exists(F.split(path, "[/_-]"), lambda w: F.substring_index(w, ".", 1).isin(*NEWS_WORDS))
 
 
-def _as_day(year: Column, month: Column, day: Column) -> Column:
-    return F.when(month.between(1, 12) & day.between(1, 31), F.format_string("%04d-%02d-%02d", year, month, day))
+def _says_year(path: Column) -> Column:
+    """A part of the path begins with a year, alone or with a month and a day run on, and a hyphen or its end behind."""
 
+    def begins(part: Column) -> Column:
+        digits = F.regexp_extract(part, "^[0-9]*", 0)
+        behind = F.substring(part, F.length(digits) + 1, F.lit(1))
+        return F.length(digits).between(4, 8) & F.substring(digits, 1, 4).try_cast("int").between(1900, 2099) & behind.isin("", "-")
 
-def _undated(text: Column) -> Column:
-    """A title without the day of a listing before or behind it."""
+    return F.exists(F.split(path, "/"), begins)
 
-    def cut(t: Column) -> Column:
-        bare = F.when(_day(t, _FIRST_DAY).isNotNull(), F.regexp_replace(t, _FIRST_DAY, ""))
-        return F.trim(bare.when(_day(t, _LAST_DAY).isNotNull(), F.regexp_replace(t, _LAST_DAY, "")).otherwise(t))
 
-    return let(text, cut)
-
-
-def _plain(html: Column) -> Column:
-    """Text of markup; markup that was written as entities goes too. Text with neither tags nor entities is only squeezed."""
-    return let(html, lambda h: F.when(h.rlike("[<&]"), strip_tags(strip_html(h))).otherwise(squeezed(h)))
-
-
-def headline_like(title: Column) -> Column:
-    """A sentence: twelve Han characters, or 35 characters in five words."""
-    han = F.length(F.regexp_replace(title, r"[^\p{IsHan}]", "")) >= 12
-    return han | ((F.length(title) >= 35) & (F.size(F.split(title, r"\s+")) >= 5))
-
-
-def _usable(title: Column) -> Column:
-    return (F.length(title) >= LEAST_TITLE) & ~title.rlike(_TEMPLATE) & (~title.rlike(_BUTTON) | headline_like(title))
-
-
-def _inside(markup: Column, backward: bool, slack: Column | int) -> Column:
-    """Whether markup between a link and a heading leaves at most `slack` elements around the link."""
-    empty = rf"(?i)^<(?:{'|'.join(VOID)})\b"
-    step = lambda t: F.when(t.endswith("/>") | t.rlike(empty), 0).when(t.startswith("</"), -1).otherwise(1)
-    steps = F.transform(F.regexp_extract_all(markup, F.lit(_TAG), 0), step)
-    if backward:
-        steps = F.transform(F.reverse(steps), lambda s: -s)
-    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low"))
-    walked = F.aggregate(steps, begin, lambda at, s: F.struct((at["depth"] + s).alias("depth"), F.least(at["low"], at["depth"] + s).alias("low")))
-    return walked["low"] >= -slack
+def _pages_on(path: Column, search: Column) -> Column:
+    """A page number in the query, or at the end of the path where there is no query."""
+    named = F.exists(F.split(F.substring(search, 2, 1 << 20), "&"), lambda x: F.substring_index(x, "=", 1).isin(*PAGE_NAMES) & F.substring_index(x, "=", -1).rlike("^[0-9]") & x.contains("="))
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    return named | ((search == "") & (F.try_element_at(parts, F.lit(-2)) == "page") & F.try_element_at(parts, F.lit(-1)).rlike("^[0-9]+$"))
 
 
 def _settled(df: DataFrame, **columns: Column) -> DataFrame:
@@ -97,46 +56,13 @@ def _settled(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
-def _titled(links: DataFrame) -> DataFrame:
-    """links(attributes, inner, before, after) with title, day and from_card (the title stands in an attribute or in the card around the link)."""
-    text = r"""(?i)\b(?:aria-label|title)\s*=\s*"""
-    said = F.concat(F.regexp_extract("attributes", text + '"([^"]*)"', 1), F.regexp_extract("attributes", text + "'([^']*)'", 1))
-    blocks = F.transform(F.split(F.regexp_replace("inner", r"\s+", " "), _BLOCK_EDGE), lambda b: _undated(_plain(b)))
-    heads = F.regexp_extract_all("before", F.lit(_HEADING), 0)
-    links = _settled(
-        links, whole=_plain(F.col("inner")), headed=_undated(_plain(F.regexp_extract("inner", _HEADING, 2))), blocks=F.filter(blocks, lambda b: b != ""), label=_plain(said),
-        next=F.regexp_extract("after", _HEADING, 2), next_in=F.col("after").rlike(_HEADING) & _inside(F.get(F.split("after", _HEADING, 2), F.lit(0)), False, 0),
-        last=F.regexp_extract(F.coalesce(F.try_element_at(heads, F.lit(-1)), F.lit("")), _HEADING, 2), between=F.element_at(F.split("before", _HEADING, -1), -1), led=F.size(heads) > 0,
-    )
-    several = F.coalesce(F.get(F.filter("blocks", _usable), F.lit(0)), F.lit(""))
-    own = F.when(_usable(F.col("headed")), F.col("headed")).when(F.size("blocks") < 2, _undated(F.col("whole"))).otherwise(several)
-    button = F.col("whole") != ""
-    leads = F.col("led") & _inside(F.col("between"), True, F.when(button, 2).otherwise(0))
-    card = F.when(~button & F.col("next_in"), F.col("next")).when(leads, F.col("last")).otherwise("")
-    links = _settled(links, own=own, card=card, day=F.coalesce(*[_day(F.col("whole"), p) for p in (_FIRST_DAY, _LAST_DAY, _ANY_DAY)]))
-    title = F.when(_usable(F.col("own")), F.col("own")).when(headline_like(F.col("label")), F.col("label")).otherwise(_plain(F.col("card")))
-    links = _settled(links, title=title, from_card=~_usable(F.col("own")))
-    return links.drop("whole", "headed", "blocks", "label", "next", "next_in", "last", "between", "led", "own", "card", "before", "after", "inner")
-
-
 def harvest_links(pages: DataFrame, key: str) -> DataFrame:
     """key, link, headline, score, day: links of pages(key, url, html) that look like news of the site or of a newswire, first of each URL.
 
     Links are sought in <main>; only where none there counts, in the page without <nav> and <footer>. A title is the heading or the first
-    block of a link, else its label, else the heading of the card around it.
+    block of a link, else its label, else the heading of the card around it (sources/markup.py reads them); what a link's URL says is judged in columns.
     """
-    page = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<!--.*?-->", " ")
-    pages = pages.select(key, "url", page.alias("html"))
-    main = F.regexp_extract("html", r"(?is)<main\b[^>]*>(.*)</main\s*>", 1)
-    bare = F.regexp_replace("html", r"(?is)<(nav|footer)\b.*?</\1\s*>", " ")
-    areas = pages.select(key, "url", F.explode(F.array(F.struct(F.lit(0).alias("area"), main.alias("body")), F.struct(F.lit(1).alias("area"), bare.alias("body")))).alias("a"))
-    areas = areas.select(key, "url", "a.area", "a.body", F.split("a.body", _LINK, -1).alias("gaps"))
-    parts = lambda tag, i: F.struct(tag.alias("tag"), F.substring(F.get("gaps", i), -CARD_REACH, CARD_REACH).alias("before"), F.substring(F.get("gaps", i + 1), 1, CARD_REACH).alias("after"))
-    flat = areas.select(key, "url", "area", F.posexplode_outer(F.transform(F.regexp_extract_all("body", F.lit(_LINK), 0), parts)).alias("pos", "p")).where("pos is not null").select(key, "url", "area", "pos", "p.*")
-    flat = _settled(flat, attributes=F.regexp_extract("tag", _LINK, 1), inner=F.regexp_extract("tag", _LINK, 2)).drop("tag")
-    double, single = F.regexp_extract("attributes", r'(?i)\bhref\s*=\s*"([^"]*)"', 1), F.regexp_extract("attributes", r"(?i)\bhref\s*=\s*'([^']*)'", 1)
-    flat = _settled(flat, href=F.trim(decode_entities(F.when(double != "", double).otherwise(single))))
-    flat = flat.where((F.col("href") != "") & ~F.col("href").rlike(_TEMPLATE))
+    flat = read_links(pages, key)
 
     scheme, origin = F.regexp_extract("url", "^([a-zA-Z]+:)", 1), F.regexp_extract("url", "^([a-zA-Z]+://[^/?#]*)", 1)
     listed = F.regexp_replace("url", "[?#].*$", "")
@@ -155,18 +81,18 @@ def harvest_links(pages: DataFrame, key: str) -> DataFrame:
     for name in NEWSWIRES:
         wire = wire | (F.col("host") == name) | F.col("host").endswith(f".{name}")
     itself = (F.col("host") == F.col("site")) & (F.regexp_replace("path", "/+$", "") == F.col("listing")) & (search("link") == search("url"))
-    flat = _settled(flat, wire=wire).where((own | F.col("wire")) & ~F.col("path").rlike(f"(?i){_FILE}") & ~itself)
+    flat = _settled(flat, wire=wire).where((own | F.col("wire")) & ~(F.col("path").contains(".") & F.lower(F.substring_index("path", ".", -1)).isin(*FILES)) & ~itself)
 
-    named = _titled(flat).where(_usable(F.col("title")))
-    named = _settled(named, small=F.lower(F.coalesce(F.try_url_decode("path"), F.col("path"))))
+    named = _settled(flat, small=F.lower(F.coalesce(F.try_url_decode("path"), F.col("path"))))
     small, listing = F.col("small"), F.lower("listing")
     under = (F.col("host") == F.col("site")) & (F.length(listing) > 1) & small.startswith(F.concat(listing, F.lit("/"))) & (F.length(small) > F.length(listing) + 1)
     rest = F.when(under, F.substring(small, F.length(listing) + 1, F.length(small))).otherwise(small)  # the listing's own path says nothing
     points = lambda hit, n: F.when(hit, n).otherwise(0)
-    named = _settled(_settled(named, under=under, rest=rest), told=headline_like(F.col("title")))
-    named = _settled(named, article=points(F.col("under"), 2) + points(F.col("rest").rlike(_NEWS), 2) + points(F.col("rest").rlike(_DATED), 2))
-    score = points(F.col("told"), 3) + F.col("article") - points(F.col("rest").rlike(_SECTION), 4) - points(F.concat(small, search("link")).rlike(f"(?i){_PAGING}"), 4)
-    doubtful = F.col("wire") | F.col("from_card") | F.col("title").rlike(_BUTTON)
+    named = _settled(named, under=under, rest=rest)
+    named = _settled(named, article=points(F.col("under"), 2) + points(_says_news(F.col("rest")), 2) + points(_says_year(F.col("rest")), 2))
+    section = F.exists(F.split("rest", "/"), lambda x: x.isin(*SECTION_WORDS))
+    score = points(F.col("told"), 3) + F.col("article") - points(section, 4) - points(_pages_on(small, F.lower(search("link"))), 4)
+    doubtful = F.col("wire") | F.col("from_card") | F.col("button")
     fit = _settled(named, score=score).where((~doubtful | (F.col("told") & (F.col("article") > 0))) & (F.col("score") >= LEAST_SCORE))
 
     clean = canonical_urls(fit, "link")[0]
