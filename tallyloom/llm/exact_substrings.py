@@ -16,7 +16,10 @@ equal anchors at equal places, so suffixes are bucketed by their anchor's q-gram
 Names are 64-bit polynomial hashes of exact bytes. Intervals meet their texts at the end; texts that a sketch of fixed size rules out are not moved.
 
 Edge cases: null or empty texts and texts below LENGTH lose nothing; strings never cross documents; overlapping repeats count; rows that
-repeat an id and text are repeats of one another; ids may be of any type.
+repeat an id and text are repeats of one another, each with a row of its own; ids may be of any type. Very long texts are cut nowhere: a text is
+one row, and takes some 100 bytes of arrays for each of its bytes while it is read. Of anchors with equal hashes the leftmost counts; which of
+repeated runs stands in for the others changes no result. An empty table gives no rows, and columns other than the id and the text are not
+read, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ host's size, or above a share of the host's, with a floor for small hosts. Parti
 that a third of all rows holds is summed, not gathered.
 
 Edge cases: null or empty text has no words and fails the plain rule; a null host is a host of its own; repeated rows of one id
-keep a row each; a document whose lines are all common is rejected.
+keep a row each; a document whose lines are all common is rejected. A line that stands exactly at a limit is not common, and a document of which exactly the least
+share is left is kept. Very long texts are read whole, lines of any length too. An empty table gives no rows, and columns other than those named are not read,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ digits, "at", "dot" and "plus" words - while keeping for every rewritten charact
 detectors run over the rewritten text, and what they find there is carried back to source characters.
 
 Edge cases: null or empty text has no spans; offsets are code points with exclusive ends; a found span that overlaps a plain one
-of any kind is dropped, so plain spans always stay; equal texts give equal spans.
+of any kind is dropped, so plain spans always stay; equal texts give equal spans, so repeated rows do. Spans that begin at one place are listed in the order of
+KINDS, plain before disguised. Very long texts are searched whole. An empty table gives no rows, and columns other than the id and the text are not read, whatever
+their names.
 """
 
 from __future__ import annotations
