@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import nfkc
+
 #: Order in which a candidate's keys decide: same evidence, same URL, shared legacy id, equal fingerprint, a matcher's verdict.
 KEY_ORDER = ("evidence", "url", "legacy", "fingerprint", "verdict")
 
@@ -69,6 +71,17 @@ def attach_sources(urls: DataFrame, registry: DataFrame) -> DataFrame:
     return urls.join(best, "host", "left").select("url_id", "host", F.col("b.source_id").alias("source_id"), F.coalesce("b.tier", F.lit("discovery")).alias("tier"))
 
 
+def slug(x: Column) -> Column:
+    """Lower case, letters and digits, a hyphen for whatever stands between them."""
+    return F.regexp_replace(F.regexp_replace(F.lower(nfkc(x)), r"[^\p{L}\p{N}]+", "-"), "^-|-$", "")
+
+
+def press_wire(attached: DataFrame, wire: str, company: Column) -> DataFrame:
+    """attached(source_id, editorial_owner, ...) where a company's release on the wire counts as the company's: the wire's id with its slug, the company as owner."""
+    own = F.col("source_id") == wire
+    return attached.withColumns({"source_id": F.when(own, F.concat_ws(":", "source_id", slug(company))).otherwise(F.col("source_id")), "editorial_owner": F.when(own, company).otherwise(F.col("editorial_owner"))})
+
+
 def unknown(hits: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """hits whose key is not null and not in known(key)."""
     return hits.where(F.col(key).isNotNull()).join(known.select(key).distinct(), key, "left_anti")

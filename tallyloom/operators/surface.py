@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tallyloom.functions.scoring import level_rank
 from tallyloom.session import stored
@@ -84,6 +85,63 @@ def widening(events: DataFrame, today: Column, narrow: int = 31, wide: int = 90,
     return both.withColumn("one", F.lit(1)).join(enough, "one").where(F.col("near") == F.col("enough")).drop("one", "near", "enough")
 
 
+def facet_counts(rows: DataFrame, key: str, facets: dict[str, tuple[Column, list[str] | None, bool]]) -> DataFrame:
+    """facet, value, n, place: distinct keys of each value of each facet, from one pass.
+
+    facets: for each name the column (an array counts each of its values), its values in their fixed order (none: as found, the most frequent first), and whether values
+    without rows are dropped; without a fixed order there are none. Facets come in the order in which they are given.
+    """
+    spark = rows.sparkSession
+    pairs = F.array(*[F.struct(F.lit(i).alias("f"), (c if isinstance(rows.select(c).schema[0].dataType, ArrayType) else F.array(c)).alias("vs")) for i, (c, _, _) in enumerate(facets.values())])
+    found = rows.select(key, F.explode(pairs).alias("p")).select(key, "p.f", F.explode("p.vs").alias("value")).where("value is not null")
+    counts = found.groupBy("f", "value").agg(F.count_distinct(key).alias("n"))
+    fixed = spark.createDataFrame([(i, v, k, drop) for i, (_, values, drop) in enumerate(facets.values()) for k, v in enumerate(values or [])], "f int, value string, own int, dropped boolean")
+    free = [i for i, (_, values, _) in enumerate(facets.values()) if values is None]
+    out = fixed.join(counts, ["f", "value"], "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n > 0 or not dropped").select("f", "value", "n", "own")
+    # values are dimensions: a facet has as many rows here as it has different values
+    rank = F.row_number().over(Window.partitionBy("f").orderBy(F.desc("n"), "value")) - 1
+    out = out.unionByName(counts.where(F.col("f").isin(free)).select("f", "value", "n", rank.alias("own")))
+    name = F.element_at(F.array(*[F.lit(x) for x in facets]), F.col("f") + 1)
+    return out.select(name.alias("facet"), "value", "n", (F.col("f") * 1_000_000 + F.col("own")).alias("place"))
+
+
+def grouped_coverage(pairs: DataFrame, group: str, row: str, column: str, columns: list[str]) -> DataFrame:
+    """A matrix of 0 and 1 for each group: its rows with totals, and a row "all" with the totals of its columns; one pass, summed by group."""
+    cells = pairs.groupBy(group, row).agg(*[F.max((F.col(column) == c).cast("int")).alias(c) for c in columns])
+    cells = cells.withColumn("total", sum(F.coalesce(F.col(c), F.lit(0)) for c in columns))
+    totals = cells.groupBy(group).agg(F.lit("all").alias(row), *[F.sum(c).cast("int").alias(c) for c in [*columns, "total"]])
+    return cells.unionByName(totals.select(cells.columns))
+
+
+def ranked_matrix(rows: DataFrame, keys: list[str], column: str, columns: list[str], value: str, rank: dict[str, int]) -> DataFrame:
+    """A cell for each key and column: its different values in order of rank (values without a rank come last, by name), joined by commas; null where there are none."""
+    place = F.coalesce(*[F.when(F.col(value) == v, n) for v, n in rank.items()], F.lit(1 << 20))
+    rows = rows.select(*keys, column, F.struct(place.alias("p"), F.col(value).alias("v")).alias("s")).distinct()
+    cell = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(column) == c, F.col("s")))), lambda x: x["v"]), ",")
+    filled = rows.groupBy(*keys).agg(*[cell(c).alias(c) for c in columns])
+    return filled.select(*keys, *[F.nullif(F.col(c), F.lit("")).alias(c) for c in columns])
+
+
+def daily_issue(events: DataFrame, today: Column, daily: Column, order: list[Column], first: int = 5, top: int = 10, days: int = 31) -> DataFrame:
+    """list ("daily", "top", "featured"), place and the columns of events: the first of the day, the top stories, and the featured ones of the last days by date.
+
+    events: the current issue and what was released before (`current` tells them apart), with level and date_key. The first two lists are short by their nature; the third is
+    numbered by ranges.
+    """
+    now = events.where("current")
+    head = lambda rows, n, name: rows.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order))).withColumn("list", F.lit(name))
+    age = F.datediff(today, F.to_date("date_key"))
+    shown = numbered(events.where(featured(F.col("level")) & age.between(0, days)), "place", F.desc("date_key"), *order).withColumn("list", F.lit("featured"))
+    return head(now.where(daily), first, "daily").unionByName(head(now, top, "top")).unionByName(shown.withColumn("place", F.col("place").cast("int")))
+
+
+def host_links(links: DataFrame, key: str) -> DataFrame:
+    """The first link (by pos) of each host for each key, in their order: key, host, url, place. Rows are reduced by host before they are ordered."""
+    host = F.regexp_replace(F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]*)", 1)), r"^www\.", "")
+    one = links.groupBy(key, host.alias("host")).agg(F.min(F.struct("pos", "url")).alias("m"))
+    return one.select(key, "host", "m.url", F.row_number().over(Window.partitionBy(key).orderBy("m.pos", "m.url")).alias("place"))
+
+
 def coverage(pairs: DataFrame, row: str, column: str, columns: list[str]) -> DataFrame:
     """A matrix of 0 and 1 with row totals and a last row of column totals."""
     flags = pairs.select(row, column).distinct()

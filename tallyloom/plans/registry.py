@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return keep
 
 
-from tallyloom.plans import exports, gate, ledger, matching, model, surface, texts, timeline  # noqa: E402, F401
+from tallyloom.plans import exports, gate, ledger, matching, model, surface, texts, timeline, views  # noqa: E402, F401
