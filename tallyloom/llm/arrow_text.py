@@ -147,6 +147,21 @@ def run_lengths(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, place
 
 
+def in_one_task(sample: DataFrame, work: Callable[[pa.Table], object]) -> object:
+    """What `work` makes of a sample of bounded size, in one task. Only the result comes to the driver, not the sample or what work needs besides."""
+    import pickle
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(sample.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = work(pa.Table.from_batches(list(batches), schema))
+        yield pa.RecordBatch.from_pydict({"body": pa.array([pickle.dumps(made)], pa.binary())})
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "body binary").first()["body"])
+
+
 def map_text(
     docs: DataFrame, keep: list[str], schema: str, rows: Callable[[pa.RecordBatch], dict[str, object]], text: str = "text", limit: int = SLICE_BYTES
 ) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.arrow_text import byte_view, column, lowered, map_text, mix, prefix_sums, span_hash
+from tallyloom.llm.arrow_text import byte_view, column, in_one_task, lowered, map_text, mix, prefix_sums, span_hash
 
 KINDS = ("assign", "access", "hex")
 ADDED = "field"
@@ -362,16 +362,25 @@ def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sample_do
     """Fit the field on windows of about `sample_docs` documents, chosen by the hash of their ids."""
     share = max(1, docs.count() // sample_docs)
     some = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(share)) == 0)
-    got = marked_chains(some, text).orderBy(F.xxhash64("x", "y"), "x", "y").limit(SAMPLE_CHAINS).toArrow().to_pydict()
-    by_length: dict[int, tuple[list, list, list]] = {}
-    for x, y, k in sorted(zip(got["x"], got["y"], got["k"], strict=True)):
-        xs, ys, ks = by_length.setdefault(len(y), ([], [], []))
-        xs.append(np.array(x).reshape(len(y), SLOTS))
-        ys.append(y)
-        ks.append(k)
-    if not any(any(y) for y in got["y"]):
+    return in_one_task(marked_chains(some, text).orderBy(F.xxhash64("x", "y"), "x", "y").limit(SAMPLE_CHAINS), _fitted)
+
+
+def _fitted(got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The field of windows (x, y, k), taken by length and in order of their values, whatever order they came in."""
+    flat = [got[c].combine_chunks() for c in ("x", "y")]
+    x, y = (np.asarray(c.flatten()) for c in flat)
+    weight = got["k"].to_numpy()
+    sizes = np.asarray(flat[1].value_lengths()).astype(np.int64)
+    if not y.any():
         return fit([])
-    return fit([(np.stack(xs), np.array(ys), np.array(ks)) for _, (xs, ys, ks) in sorted(by_length.items())])
+    ends, groups = np.cumsum(sizes), []
+    for length in np.unique(sizes).tolist():
+        pick = np.flatnonzero(sizes == length)
+        at = (ends[pick] - length)[:, None] + np.arange(length)
+        xs, ys, ks = x.reshape(-1, SLOTS)[at].reshape(len(pick), -1), y[at], weight[pick]
+        order = np.lexsort([ks, *ys.T[::-1], *xs.T[::-1]])
+        groups.append((xs[order].reshape(-1, length, SLOTS), ys[order].astype(np.int64), ks[order]))
+    return fit(groups)
 
 
 def said(spans: list[tuple[str, int, int]]) -> str:
