@@ -414,11 +414,10 @@ def _first_groups(stars: DataFrame, t: Threshold) -> DataFrame:
 def _mixed_groups(placed: DataFrame) -> DataFrame:
     """Groups of placed(head, node, part), such that members of different parts meet in one; parts of a first node with many members are cut
     into blocks, and blocks meet in twos, but for those of one part."""
-    few = placed.groupBy("head").count().select("head", (F.col("count") > LARGE_PART).alias("wide"))
-    placed = placed.join(few, "head")
-    plain = placed.where("not wide").select(F.col("head").alias("g"), "node", "part", F.lit(0).alias("side"))
+    many = placed.groupBy("head").count().where(F.col("count") > LARGE_PART).select("head")
+    plain = placed.join(many, "head", "left_anti").select(F.col("head").alias("g"), "node", "part", F.lit(0).alias("side"))
 
-    wide = placed.where("wide").drop("wide")
+    wide = placed.join(many, "head")
     size = wide.groupBy("head", "part").agg(F.count(F.lit(1)).alias("own"))
     size = size.withColumn("bulk", F.col("own") > LARGE_PART // 2)
     small = size.where("not bulk").groupBy("head").agg(F.sum("own").alias("rest"))
