@@ -10,6 +10,10 @@ from tallyloom.functions.scoring import level_rank
 from tallyloom.session import stored
 
 
+#: Rows before the end of a page up to which it is taken from the head of the order, in one task.
+DEEPEST_HEAD = 10_000
+
+
 def timeline(frames: list[DataFrame]) -> DataFrame:
     """One timeline of several bodies of events (id, date_key, level, kind, company, title, origin)."""
     out = frames[0]
@@ -37,9 +41,12 @@ def timeline_query(
         events = events.where(F.lower(F.concat_ws(" ", "title", "company", "kind")).contains(q[:200].lower()))
     size = max(1, min(most, limit))
     total = events.agg(F.count(F.lit(1)).alias("total"))
-    # a page is the head of one order: Spark keeps offset + size rows of each partition, no more
-    page = events.orderBy(*timeline_order()).limit(offset + size)
-    page = page.withColumn("place", F.row_number().over(Window.orderBy(*timeline_order()))).where(F.col("place") > offset)
+    if offset + size <= DEEPEST_HEAD:
+        # a page is the head of one order: Spark keeps offset + size rows of each partition, no more
+        page = events.orderBy(*timeline_order()).limit(offset + size)
+        page = page.withColumn("place", F.row_number().over(Window.orderBy(*timeline_order()))).where(F.col("place") > offset)
+    else:  # a deep page is read from its range of the order
+        page = numbered(events, "place", *timeline_order()).where((F.col("place") > offset) & (F.col("place") <= offset + size)).withColumn("place", F.col("place").cast("int"))
     return page.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").drop("one")
 
 
@@ -102,7 +109,7 @@ def facet_counts(rows: DataFrame, key: str, facets: dict[str, tuple[Column, list
     rank = F.row_number().over(Window.partitionBy("f").orderBy(F.desc("n"), "value")) - 1
     out = out.unionByName(counts.where(F.col("f").isin(free)).select("f", "value", "n", rank.alias("own")))
     name = F.element_at(F.array(*[F.lit(x) for x in facets]), F.col("f") + 1)
-    return out.select(name.alias("facet"), "value", "n", (F.col("f") * 1_000_000 + F.col("own")).alias("place"))
+    return out.select(name.alias("facet"), "value", "n", (F.col("f") * 1_000_000 + F.col("own")).cast("bigint").alias("place"))
 
 
 def grouped_coverage(pairs: DataFrame, group: str, row: str, column: str, columns: list[str]) -> DataFrame:
@@ -129,17 +136,17 @@ def daily_issue(events: DataFrame, today: Column, daily: Column, order: list[Col
     numbered by ranges.
     """
     now = events.where("current")
-    head = lambda rows, n, name: rows.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order))).withColumn("list", F.lit(name))
+    head = lambda rows, n, name: rows.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint")).withColumn("list", F.lit(name))
     age = F.datediff(today, F.to_date("date_key"))
     shown = numbered(events.where(featured(F.col("level")) & age.between(0, days)), "place", F.desc("date_key"), *order).withColumn("list", F.lit("featured"))
-    return head(now.where(daily), first, "daily").unionByName(head(now, top, "top")).unionByName(shown.withColumn("place", F.col("place").cast("int")))
+    return head(now.where(daily), first, "daily").unionByName(head(now, top, "top")).unionByName(shown.withColumn("place", F.col("place").cast("bigint")))
 
 
 def host_links(links: DataFrame, key: str) -> DataFrame:
     """The first link (by pos) of each host for each key, in their order: key, host, url, place. Rows are reduced by host before they are ordered."""
     host = F.regexp_replace(F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]*)", 1)), r"^www\.", "")
     one = links.groupBy(key, host.alias("host")).agg(F.min(F.struct("pos", "url")).alias("m"))
-    return one.select(key, "host", "m.url", F.row_number().over(Window.partitionBy(key).orderBy("m.pos", "m.url")).alias("place"))
+    return one.select(key, "host", "m.url", F.row_number().over(Window.partitionBy(key).orderBy("m.pos", "m.url")).cast("bigint").alias("place"))
 
 
 def coverage(pairs: DataFrame, row: str, column: str, columns: list[str]) -> DataFrame:

@@ -38,7 +38,7 @@ def r1_items(spark: SparkSession, d: str) -> DataFrame:
     return _report(spark, d).items
 
 
-@query(f"{_REPORT} SELECT count(*) AS events, count_if(eligible) AS eligible, count_if(shown) AS shown, count_if(eligible AND NOT shown) AS held, count_if(daily) AS daily, count_if(hot) AS hot, count_if(review_status = 'pending') AS waits FROM f")
+@query(f"{_REPORT} SELECT count(*) AS events, count_if(eligible)::BIGINT AS eligible, count_if(shown)::BIGINT AS shown, count_if(eligible AND NOT shown)::BIGINT AS held, count_if(daily)::BIGINT AS daily, count_if(hot)::BIGINT AS hot, count_if(review_status = 'pending')::BIGINT AS waits FROM f")
 def r1_counts(spark: SparkSession, d: str) -> DataFrame:
     """What was shown and what was held back, as it was counted while the report was written."""
     counts = _report(spark, d).counts
