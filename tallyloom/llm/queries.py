@@ -31,11 +31,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document: fixed rules, and the field fitted on a bounded sample."""
-    from tallyloom.llm.secret_crf import secret_spans, train
+    """Secrets of every document: fixed rules, and the field fitted on a bounded sample, in part without neighbours and on varied secrets."""
+    from tallyloom.llm.secret_crf import ALONE, secret_spans, train
 
     docs = table(spark, sf_dir, "documents")
-    return secret_spans(docs, train(docs))
+    return secret_spans(docs, train(docs, alone=ALONE, vary=True))
 
 
 def op4_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

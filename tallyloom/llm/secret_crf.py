@@ -1,12 +1,12 @@
-"""Secrets in texts: fixed rules, and a linear-chain conditional random field over secret-like tokens.
+"""Secrets in texts: fixed rules, and a linear-chain conditional random field over all tokens of each line.
 
 Every token of a text (a run of secret characters, or of characters beyond ASCII) stands in a chain, one chain a line, and may be
 tagged begin (B), inside (I) or outside (O). Features are the token's length and shape, the tokens and signs around it, and figures
 of the whole text (the "file"); scores are summed for whole batches. Decoding is exact: a token that no path of the best score can
 tag B or I, by a bound over its own and the next token's scores, is outside and splits its chain; Viterbi runs over what is left.
 The field learns from tokens that the fixed rules mark, whatever their length or signs, in a bounded sample of documents (windows
-with a mark, and weighted windows without), with features dropped at random, so that shape and context each carry weight; it adds
-spans that the rules miss.
+with a mark, and weighted windows without), with features dropped at random, so that shape and context each carry weight; on demand also from
+lines whose secret was exchanged for others, with and without a word that announces it, and from windows without neighbours. It adds spans that the rules miss.
 
 Edge cases: null or empty text has no spans; offsets are code points, ends exclusive; an added span that overlaps a rule's span is
 dropped; with no sample (an empty table) or no marked token the field tags nothing. Very long texts are searched whole; of tags with
@@ -17,6 +17,7 @@ the text aren't read, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -33,6 +34,15 @@ ADDED = "field"
 SAMPLE_DOCS, SAMPLE_CHAINS, WINDOW, PLAIN = 20_000, 40_000, 8, 4
 #: Hashed feature values, and features of a token.
 SIZE, SLOTS = 1 << 13, 18
+#: The slots that tell of a token's neighbours; the share of chains that are learnt without them where tokens shall be found by themselves.
+AROUND, ALONE = (10, 11, 12, 16), 0.5
+#: Varied lines for each mark, and the weight of a window of one.
+VARIANTS, VARIANT_WEIGHT = 6, 2.0
+# The alphabets of keys: hexadecimal, letters and digits, capitals and digits, base 64 with its signs, small letters and digits.
+ALPHABETS = (
+    "abcdef0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-0123456789", "abcdefghijklmnopqrstuvwxyz0123456789",
+)
 
 _ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
@@ -184,10 +194,11 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int = 80, rate: float = 0.5, decay: float = 1e-4, drop: float = 0.3, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def fit(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int = 80, rate: float = 0.5, decay: float = 1e-4, drop: float = 0.3, seed: int = 7, alone: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Weights (SIZE x 3) and moves (3 x 3) that maximise the likelihood of the tags; each group holds chains of one length.
 
     groups: (features n x length x SLOTS, tags n x length, weights n). Gradients are exact (forward and backward sums), steps are AdaGrad's.
+    Features are dropped at random; in a share `alone` of the chains all that tells of neighbours is dropped at once, so that a token's own shape is learnt as a reason by itself.
     """
     rng = np.random.default_rng(seed)
     w, moves = np.zeros((SIZE, 3)), np.zeros((3, 3))
@@ -201,6 +212,9 @@ def fit(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int = 8
         for x, y, weight in groups:
             n, length, _ = x.shape
             x = np.where(rng.random(x.shape) < drop, 0, x)
+            if alone:
+                bare = np.flatnonzero(rng.random(n) < alone)
+                x[np.ix_(bare, np.arange(length), AROUND)] = 0
             score = w[x].sum(axis=2) * (x > 0).any(axis=2, keepdims=True)
             step = _steps(moves)
             ahead = np.empty((n, length, 3))
@@ -313,10 +327,65 @@ def _found(part: pa.RecordBatch, text: str, model: tuple[np.ndarray, np.ndarray]
         yield raw[base : int(offsets[i + 1])], rules, spans
 
 
-def marked_chains(docs: DataFrame, text: str = "text") -> DataFrame:
+def varied(line: bytes, start: int, end: int, rng: random.Random) -> tuple[bytes, int, int]:
+    """A line whose secret is another one, of any usual alphabet and length, announced by its old neighbours, by another word or by none; and where it stands now."""
+    alphabet = rng.choice(ALPHABETS)
+    size = rng.randint(10, 48)
+    value = [rng.choice(alphabet) for _ in range(size)]
+    value[rng.randrange(size)] = rng.choice(alphabet[-10:])  # each alphabet ends with its digits, or with letters where it has none
+    before, after = line[:start], line[end:]
+    if rng.random() < 0.7:  # without what announced it: words of the line itself stand before it
+        words = before.split()[:-2] or [b""]
+        before = b" ".join(words) + (b" " if words[-1:] != [b""] else b"") + rng.choice((b"", b"", b"key ", b"is ", b"auth: ", b"id=", b'"'))
+    return before + "".join(value).encode() + after, len(before), len(before) + size
+
+
+def _windows(x: np.ndarray, tags: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of windows of at most WINDOW tokens of a chain, and which hold a mark."""
+    chain = np.cumsum(opens) - 1
+    place = np.arange(len(tags)) - np.flatnonzero(opens)[chain]
+    begins = np.flatnonzero(place % WINDOW == 0)
+    return begins, np.append(begins[1:], len(tags)), np.add.reduceat(tags > 0, begins) > 0
+
+
+def _varied_windows(raw: bytes, offsets: np.ndarray, marks: list, out: dict[str, list]) -> None:
+    """Windows of VARIANTS varied lines for each mark, as if they stood in their texts."""
+    lines, spans, of = [], [], []
+    for i, rules in enumerate(marks):
+        body = raw[int(offsets[i]) : int(offsets[i + 1])]
+        for _, _, end, own in rules:
+            low, high = body.rfind(b"\n", 0, own) + 1, body.find(b"\n", end)
+            low, high = max(low, own - 80), min(len(body) if high < 0 else high, end + 80)
+            rng = random.Random(hashlib.blake2b(body[low:high], digest_size=8).digest())
+            for _ in range(VARIANTS):
+                line, a, b = varied(body[low:high], own - low, end - low, rng)
+                lines.append(line)
+                spans.append((a, b))
+                of.append(i)
+    if not lines:
+        return
+    data, bounds = np.frombuffer(b"".join(lines), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in lines])))
+    starts, ends, opens = chains(data, bounds)
+    file = [f[np.array(of)] for f in _file_columns(np.frombuffer(raw, np.uint8), offsets)]
+    x = np.stack(list(feature_columns(data, bounds, starts, ends, file)), axis=1)
+    tags = np.zeros(len(starts), dtype=np.int64)
+    for base, (a, b) in zip(bounds, spans, strict=False):
+        tags[np.searchsorted(ends, base + a, side="right") : np.searchsorted(starts, base + b)] = 1
+    tags[1:][(tags[1:] > 0) & (tags[:-1] > 0) & ~opens[1:]] = 2
+    begins, stops, marked = _windows(x, tags, opens)
+    for a, b in zip(begins[marked], stops[marked], strict=True):
+        own = tags[a:b].copy()
+        own[0] = 1 if own[0] == 2 else own[0]
+        out["x"].append(x[a:b].reshape(-1).astype(np.int32))
+        out["y"].append(own)
+        out["k"].append(VARIANT_WEIGHT)
+
+
+def marked_chains(docs: DataFrame, text: str = "text", vary: bool = False) -> DataFrame:
     """One row a window of a chain: `x` (features, flat), `y` (tags by the fixed rules) and `k` (its weight).
 
-    All windows with a mark; of those without one, by a hash of the text, one window of one text in PLAIN, which stands for all.
+    All windows with a mark; of those without one, by a hash of the text, one window of one text in PLAIN, which stands for all. With `vary`, also windows of
+    lines in which the marked secret was exchanged for others (see `varied`).
     """
 
     def rows(part: pa.RecordBatch) -> dict:
@@ -328,16 +397,15 @@ def marked_chains(docs: DataFrame, text: str = "text") -> DataFrame:
             return out
         x = np.stack(list(feature_columns(data, offsets, starts, ends, _file_columns(data, offsets))), axis=1)
         tags = np.zeros(len(starts), dtype=np.int64)
-        for base, rules in zip(offsets, _marks(raw, offsets), strict=False):
+        marks = _marks(raw, offsets)
+        if vary:
+            _varied_windows(raw, offsets, marks, out)
+        for base, rules in zip(offsets, marks, strict=False):
             for _, _, end, own in rules:
                 a, b = np.searchsorted(ends, base + own, side="right"), np.searchsorted(starts, base + end)
                 tags[a:b] = 1
         tags[1:][(tags[1:] > 0) & (tags[:-1] > 0) & ~opens[1:]] = 2
-        chain = np.cumsum(opens) - 1
-        place = np.arange(len(starts)) - np.flatnonzero(opens)[chain]
-        begins = np.flatnonzero(place % WINDOW == 0)
-        stops = np.append(begins[1:], len(starts))
-        marked = np.add.reduceat(tags > 0, begins) > 0
+        begins, stops, marked = _windows(x, tags, opens)
         owner = np.searchsorted(offsets, starts[begins], side="right") - 1
         weight = marked.astype(np.float64)
         for i in range(len(offsets) - 1):
@@ -358,14 +426,18 @@ def marked_chains(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_text(docs, [], "x array<int>, y array<int>, k double", rows, text, 1 << 20)
 
 
-def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """Fit the field on windows of about `sample_docs` documents, chosen by the hash of their ids."""
+def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, alone: float = 0.0, vary: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Fit the field on windows of about `sample_docs` documents, chosen by the hash of their ids.
+
+    alone: the share of windows that are learnt without a token's neighbours (see `fit`); vary: learn other secrets in the places of marked ones too (see `varied`).
+    With both, secrets of other alphabets and such that no keyword announces are found.
+    """
     share = max(1, docs.count() // sample_docs)
     some = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(share)) == 0)
-    return in_one_task(marked_chains(some, text).orderBy(F.xxhash64("x", "y"), "x", "y").limit(SAMPLE_CHAINS), _fitted)
+    return in_one_task(marked_chains(some, text, vary).orderBy(F.xxhash64("x", "y"), "x", "y").limit(SAMPLE_CHAINS), lambda rows: _fitted(rows, alone))
 
 
-def _fitted(got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _fitted(got: pa.Table, alone: float) -> tuple[np.ndarray, np.ndarray]:
     """The field of windows (x, y, k), taken by length and in order of their values, whatever order they came in."""
     flat = [got[c].combine_chunks() for c in ("x", "y")]
     x, y = (np.asarray(c.flatten()) for c in flat)
@@ -380,7 +452,7 @@ def _fitted(got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         xs, ys, ks = x.reshape(-1, SLOTS)[at].reshape(len(pick), -1), y[at], weight[pick]
         order = np.lexsort([ks, *ys.T[::-1], *xs.T[::-1]])
         groups.append((xs[order].reshape(-1, length, SLOTS), ys[order].astype(np.int64), ks[order]))
-    return fit(groups)
+    return fit(groups, alone=alone)
 
 
 def said(spans: list[tuple[str, int, int]]) -> str:

@@ -91,3 +91,17 @@ def test_letters_only_and_short_secrets_are_found_beyond_the_rules(spark):
     got = {x.doc_id: x for x in S.secret_spans(spark.createDataFrame(held, "doc_id long, text string"), model).collect()}
     assert sum(got[i].n_field > 0 for i in range(50)) > 40 and sum(got[100 + i].n_field > 0 for i in range(50)) > 30
     assert sum(got[200 + i].n_field for i in range(200)) < 10
+
+
+def test_secrets_of_other_kinds_without_a_keyword_are_found_in_held_out_texts(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("aeiourstnl") for _ in range(r.randint(2, 8)))
+    key = lambda n, letters="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(r.choice(letters) for _ in range(n))
+    line = lambda odd: " ".join([word() for _ in range(9)] + [odd] + [word() for _ in range(9)])
+    rows = [(i, line(f'token = "{key(40, "0123456789abcdef")}"' if i % 10 == 0 else r.choice([word(), f"mail{i % 9}.example.com", f"{word()}.{i % 90}", f"page-{i % 99}-of-{word()}"]))) for i in range(3000)]
+    model = S.train(spark.createDataFrame(rows, "doc_id long, text string"), alone=S.ALONE, vary=True)
+    held = [(i, line("Bearer " + key(40))) for i in range(60)] + [(100 + i, line(key(24, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))) for i in range(60)]
+    plain = [(1000 + i, line(r.choice([word(), f"mail{i % 9}.example.com", f"{word()}.{i % 90}", f"page-{i % 99}-of-{word()}"]))) for i in range(400)]
+    got = {x.doc_id: x for x in S.secret_spans(spark.createDataFrame(held + plain, "doc_id long, text string"), model).collect()}
+    assert sum(got[i].n_field == 1 for i in range(60)) > 50 and sum(got[100 + i].n_field == 1 for i in range(60)) > 50
+    assert sum(got[1000 + i].n_field for i in range(400)) < 8
