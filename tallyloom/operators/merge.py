@@ -161,9 +161,10 @@ def fold_components(rows: DataFrame, baseline: str) -> DataFrame:
         names = [x.split(" ")[0] for x in OUTCOME.split(", ")]
         for frame in frames:
             out: list[tuple] = []
-            columns = [frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in frame]
+            fields = list(frame)
+            columns = [frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in fields]
             for values in zip(*columns, strict=True):
-                row = dict(zip(frame, values, strict=True))
+                row = dict(zip(fields, values, strict=True))
                 if row["component"] != now:
                     if now is not None:
                         out += flush()
