@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.resolve import identity_components
+from tallyloom.operators.resolve import hub_components
+from tallyloom.session import dealt
 
 OUTCOME = "component bigint, row_kind string, candidate_id string, event_id string, outcome string, stage string, evidence_confidence string, facts string, n_evidence int, by_seq bigint, by_candidate string, place int"
 SEED = "event_id string, event_ord bigint, fingerprint string, facts string, evidence_id string, url string, legacy_id string, owner string, tier string, in_scope boolean"
@@ -112,14 +113,18 @@ def merge_ledger(candidates: DataFrame, seeds: DataFrame, baseline: str) -> Data
     candidates: the columns READ; seeds: (event_id, fingerprint, facts, evidence_id, url, legacy_id, owner, tier, in_scope), one for each
     piece of evidence of the events that are in the ledger already, in ledger order by event_ord.
     """
-    parts = identity_components(node_keys(candidates, seeds))
-    return fold_components(_rows_of(candidates, seeds).join(parts, "node"), baseline)
+    rows = _rows_of(candidates, seeds)
+    parts = hub_components(rows)
+    return fold_components(rows.join(parts, "hub", "left").withColumn("component", F.coalesce("component", "hub")), baseline)
+
+
+def _own_keys(*more: Column) -> Column:
+    """The keys of a row, its fingerprint's first."""
+    return F.array_compact(F.array(named("fp", "fingerprint"), named("evd", "evidence_id"), named("url", "url"), named("leg", "legacy_id"), *more))
 
 
 def _keyed(df: DataFrame, node: Column, *more: Column) -> DataFrame:
-    own = lambda kind, c: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(kind), F.col(c)))
-    keys = F.array_compact(F.array(own("fp", "fingerprint"), own("evd", "evidence_id"), own("url", "url"), own("leg", "legacy_id"), *more))
-    return df.select(node.alias("node"), F.explode(keys).alias("key"))
+    return df.select(node.alias("node"), F.explode(_own_keys(*more)).alias("key"))
 
 
 def named(kind: str, name: str) -> Column:
@@ -137,19 +142,21 @@ def seed_keys(seeds: DataFrame) -> DataFrame:
     return _keyed(seeds, named("e", "event_id"), named("evt", "event_id"))
 
 
-def node_keys(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
-    return candidate_keys(candidates).unionByName(seed_keys(seeds))
+def _rows_of(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Candidates and evidence with their keys and their hub, the first of these; a row without any is its own hub."""
 
+    def shape(df: DataFrame, kind: int, node: Column, event: Column) -> DataFrame:
+        df = df.withColumn("kind", F.lit(kind)).withColumn("keys", _own_keys(event))
+        return df.withColumn("hub", F.coalesce(F.try_element_at("keys", F.lit(1)), node))
 
-def _rows_of(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
-    shape = lambda df, kind, node: df.withColumn("kind", F.lit(kind)).withColumn("node", node)
-    return shape(seeds, 0, named("e", "event_id")).unionByName(shape(candidates.select(*READ), 1, named("c", "candidate_id")), allowMissingColumns=True)
+    seeds = shape(seeds, 0, named("e", "event_id"), named("evt", "event_id"))
+    return seeds.unionByName(shape(candidates.select(*READ), 1, named("c", "candidate_id"), named("evt", "verdict_event")), allowMissingColumns=True)
 
 
 def fold_components(rows: DataFrame, baseline: str) -> DataFrame:
     """The outcome of rows (kind 0: seeds, 1: candidates) whose `component` is known."""
     columns = ["component", "kind", "event_ord", "event_id", *READ]
-    ordered = rows.select(*columns).repartition("component").sortWithinPartitions("component", "kind", "event_ord", "seq", "candidate_id", "event_id")
+    ordered = dealt(rows.select(*columns), "component").sortWithinPartitions("component", "kind", "event_ord", "seq", "candidate_id", "event_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, ledger = None, _Ledger(baseline)

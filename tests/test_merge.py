@@ -123,3 +123,36 @@ def test_a_stream_of_batches_ends_in_the_same_ledger_and_can_be_run_again(spark,
         own = [x for x in once if x[0] == k]
         assert {x[1] for x in own} == set(e.evidence) and {x[2] for x in own} == {e.facts}
     assert {r.candidate_id for r in merge.current(spark, str(tmp_path), "waiting").collect()} == {r["candidate_id"] for r in waits}
+
+
+def test_hubs_fall_into_the_components_of_their_keys(spark):
+    from tallyloom.operators.resolve import hub_components
+
+    r = random.Random(3)
+    rows = [[r.randint(0, 150) for _ in range(r.randint(1, 3))] for _ in range(90)]
+    got = {x.hub: x.component for x in hub_components(spark.createDataFrame([(k[0], k) for k in rows], "hub bigint, keys array<bigint>")).collect()}
+    low = {k: k for keys in rows for k in keys}
+    for _ in low:
+        for keys in rows:
+            least = min(low[k] for k in keys)
+            low |= dict.fromkeys(keys, least)
+    same = lambda label: {frozenset(h for h in {k[0] for k in rows} if label(h) == label(g)) for g in {k[0] for k in rows}}
+    assert same(lambda h: low[h]) == same(lambda h: got.get(h, h))
+
+
+def test_keys_that_link_nothing_cost_no_rounds(spark):
+    import os
+
+    from tallyloom.session import scratch_dir
+
+    folder = scratch_dir(spark)
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+    rows, before = [cand(i, i, fp=f"alone{i}") for i in range(3000)], size()
+    assert len(run(spark, rows)[0]) == 3000
+    assert size() - before < 50_000
+
+
+def test_a_candidate_without_keys_is_judged(spark):
+    row = list(cand(1, 1))
+    row[2] = row[3] = row[4] = None
+    assert run(spark, [tuple(row)])[0]["c1"][0] == "first"
