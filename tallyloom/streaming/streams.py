@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from tallyloom.operators import merge
 from tallyloom.operators.surface import numbered
 from tallyloom.session import stored
-from tallyloom.streaming.processors import HEALTH, PROMOTED, STORE, STORE_CONF, EvidenceGate, LateRouter, SourceHealth
+from tallyloom.streaming.processors import GROUPS, HEALTH, PROMOTED, STORE, STORE_CONF, EvidenceGate, LateRouter, SourceHealth
 
 
 def hits(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -56,8 +56,8 @@ def source_health(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 
     stream: source_id, ts, seq, failed, hours. An alarm comes from a timer where the source falls silent, or with the first row after the due time.
     """
-    rows = stream.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
-    out = _with_timers(rows, "source_id", SourceHealth(), HEALTH, "update")
+    rows = stream.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts")).withColumn("group", F.pmod(F.xxhash64("source_id"), F.lit(GROUPS)))
+    out = _with_timers(rows, "group", SourceHealth(), HEALTH, "update")
     return out.select("source_id", "kind", "by_timer", "runs", "consecutive_failures", *[F.timestamp_micros(c).alias(n) for c, n in (("first_at", "first_failure_at"), ("success_at", "last_success"), ("alarm_at", "alarm_at"))])
 
 

@@ -68,3 +68,30 @@ def test_late_rows_are_kept_and_ended_windows_written(spark, tmp_path):
     got = sorted((r.source_id, hours(r.begins), r.hits, r.late) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     # watermarks: 8 before the second batch, 11 before the third, 29 at the end
     assert got == [(1, 0, 2, False), (1, 2, 1, True), (1, 8, 1, False), (1, 12, 1, False), (2, 8, 1, True), (2, 9, 1, True)]
+
+
+def test_a_call_serves_all_sources_of_a_group():
+    import pandas as pd
+
+    from tallyloom.streaming.processors import SourceHealth
+
+    class Held:
+        """The state and timers of one group."""
+
+        value, timers = None, set()
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        getValueState = lambda self, *a: self  # noqa: E731, N815
+        registerTimer = lambda self, at: self.timers.add(at)  # noqa: E731, N815
+        deleteTimer = lambda self, at: self.timers.discard(at)  # noqa: E731, N815
+
+        def update(self, value):
+            self.value = value
+
+    health, held, hour = SourceHealth(), Held(), 3_600_000_000
+    health.init(held)
+    rows = pd.DataFrame([(1, 0, 1, True, 2.0), (2, 0, 2, True, 1.0), (2, 9 * hour, 3, True, 1.0), (3, 0, 4, False, None)], columns=["source_id", "at", "seq", "failed", "hours"])
+    out = pd.concat(health.handleInputRows((0,), iter([rows]), None))
+    assert out[out["kind"] == "alarm"][["source_id", "alarm_at"]].values.tolist() == [[2, 2 * hour]]
+    assert out[out["kind"] == "state"][["source_id", "consecutive_failures"]].values.tolist() == [[1, 1], [2, 2], [3, 0]]
+    assert held.timers == {4 * hour // 1000}
