@@ -167,8 +167,8 @@ CASE WHEN score >= 90 THEN 20 WHEN score >= 80 THEN 10 WHEN score >= 70 THEN 10
 SELECT *, relevance + impact + actionability AS total, CASE WHEN relevance + impact + actionability >= 80 THEN 'L1' WHEN relevance + impact + actionability >= 60 THEN 'L2' WHEN relevance + impact + actionability >= 40 THEN 'L3' END AS level FROM b"""
 )
 def e14_legacy_import(spark: SparkSession, d: str) -> DataFrame:
-    """Old scores as importance bands."""
-    s = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.round(F.col("o_totalprice") / 5000).cast("int").alias("score"))
+    """Old scores as importance bands; a score halfway between two whole ones goes to the even one, as the SQL's cast does."""
+    s = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.rint(F.col("o_totalprice") / 5000).cast("int").alias("score"))
     return importance(s.select("event_id", "score", bands_of_score(F.col("score")).alias("b")).select("event_id", "score", "b.*"))
 
 
