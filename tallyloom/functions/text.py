@@ -241,6 +241,13 @@ def clean_content(content: Column) -> Column:
     return F.when(F.length(text) > BODY_LIMIT, F.concat(F.substring(text, 1, BODY_LIMIT), F.lit("…"))).otherwise(text)
 
 
+def first_line(content: Column) -> Column:
+    """The first line that is neither blank nor junk, cut at BODY_LIMIT characters of its own; null where there is none."""
+    lines = F.filter(F.transform(F.split(content, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.lower(x).rlike(JUNK_LINE))
+    line = F.try_element_at(lines, F.lit(1))
+    return F.when(F.length(line) > BODY_LIMIT, F.concat(F.substring(line, 1, BODY_LIMIT), F.lit("…"))).otherwise(line)
+
+
 def content_status(clean: Column) -> Column:
     return F.when(F.length(clean) < BODY_LEAST, "failed").when(F.length(clean) >= BODY_SHOWN, "shown").otherwise("stored")
 
