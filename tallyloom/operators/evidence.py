@@ -13,10 +13,13 @@ def confidence(scoped: DataFrame, key: str) -> DataFrame:
 
     high: an authoritative source in scope; medium: two distinct trusted owners; else low. sources counts distinct owners.
     """
-    high = F.max(((F.col("tier") == "authoritative") & F.col("in_scope")).cast("int")) == 1
-    owners = F.count_distinct(F.when(F.col("tier") == "trusted", F.col("editorial_owner")))
-    return scoped.groupBy(key).agg(
-        F.when(high, "high").when(owners >= 2, "medium").otherwise("low").alias("evidence_confidence"), F.count_distinct("editorial_owner").alias("sources")
+    trusted, strong = F.col("tier") == "trusted", (F.col("tier") == "authoritative") & F.col("in_scope")
+    # owners are told apart by a sum before the sum, so no row is written out for each count of different values
+    owners = scoped.groupBy(key, "editorial_owner").agg(F.max(trusted.cast("int")).alias("__trusted"), F.max(strong.cast("int")).alias("__strong"))
+    known = F.col("editorial_owner").isNotNull()
+    medium = F.count_if(known & (F.col("__trusted") == 1)) >= 2
+    return owners.groupBy(key).agg(
+        F.when(F.max("__strong") == 1, "high").when(medium, "medium").otherwise("low").alias("evidence_confidence"), F.count_if(known).alias("sources")
     )
 
 

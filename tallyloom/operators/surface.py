@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from tallyloom.functions.scoring import level_rank
-from tallyloom.session import stored
+from tallyloom.session import dealt, stored, tasks_for
 
 
 #: Rows before the end of a page up to which it is taken from the head of the order, in one task.
@@ -52,12 +52,14 @@ def timeline_query(
 
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """df with `name`, its place (1, 2, ...) in a total order: ranges of the order are numbered apart and shifted by the rows before them."""
-    part = stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    tasks = tasks_for(df)
+    ranges = df.repartitionByRange(tasks, *order) if tasks else df.repartitionByRange(*order)
+    part = stored(ranges.withColumn("__part", F.spark_partition_id()), "ranges")
     # one row for each partition, so this window is as short as the job is wide
     before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = part.groupBy("__part").count().select("__part", before.alias("__before"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("__before")
-    return part.join(F.broadcast(shift), "__part").withColumn(name, place).drop("__part", "__before")
+    return dealt(part, "__part").join(F.broadcast(shift), "__part").withColumn(name, place).drop("__part", "__before")
 
 
 def featured(level: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scoring import importance
 from tallyloom.operators import evidence
+from tallyloom.session import dealt
 
 BASELINE = "1998-01-01"
 
@@ -41,7 +42,9 @@ def ledger_events(spark: SparkSession, d: str) -> DataFrame:
             (10 * (F.col("o_custkey") % 4)).cast("int").alias("relevance"), impact.cast("int").alias("impact"), (10 * (F.col("o_orderkey") % 3)).cast("int").alias("actionability"),
         )
     )
-    scoped = event_evidence(spark, d).join(registry(spark, d), "source_id").join(events.select("event_id", "event_type"), "event_id")
+    # dealt by event before the join: the tasks of the join, the sums and the join after them grow in number with the tables
+    edges = event_evidence(spark, d).join(registry(spark, d).select("source_id", "tier", "editorial_owner", "scope"), "source_id").drop("pos", "source_id")
+    scoped = dealt(edges, "event_id").join(events.select("event_id", "event_type"), "event_id")
     confidence = evidence.confidence(scoped.withColumn("in_scope", F.col("scope") == F.substring("event_type", 1, 1)), "event_id")
     full = events.join(confidence, "event_id", "left").na.fill({"evidence_confidence": "low", "sources": 0})
     risky = evidence.high_risk(F.col("level"), F.col("event_type"), ("1-URGENT",))
