@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from tallyloom.session import stored
 
 
-def confidence(scoped: DataFrame, key: str) -> DataFrame:
+def confidence(scoped: DataFrame, key: str, in_order: bool = False) -> DataFrame:
     """key, evidence_confidence, sources: from rows (key, tier, editorial_owner, in_scope), one for each piece of evidence.
 
     high: an authoritative source in scope; medium: two distinct trusted owners; else low. sources counts distinct owners.
+    in_order, for rows that are dealt by key already: they are summed in their order (Spark sums texts so), which holds one row, not a table of keys.
     """
+    one = F.lit(1).cast("string" if in_order else "int")
     trusted, strong = F.col("tier") == "trusted", (F.col("tier") == "authoritative") & F.col("in_scope")
     # owners are told apart by a sum before the sum, so no row is written out for each count of different values
-    owners = scoped.groupBy(key, "editorial_owner").agg(F.max(trusted.cast("int")).alias("__trusted"), F.max(strong.cast("int")).alias("__strong"))
+    owners = scoped.groupBy(key, "editorial_owner").agg(F.max(F.when(trusted, one)).alias("__trusted"), F.max(F.when(strong, one)).alias("__strong"))
     known = F.col("editorial_owner").isNotNull()
-    medium = F.count_if(known & (F.col("__trusted") == 1)) >= 2
+    medium = F.count_if(known & F.col("__trusted").isNotNull()) >= 2
     return owners.groupBy(key).agg(
-        F.when(F.max("__strong") == 1, "high").when(medium, "medium").otherwise("low").alias("evidence_confidence"), F.count_if(known).alias("sources")
+        F.when(F.max("__strong").isNotNull(), "high").when(medium, "medium").otherwise("low").alias("evidence_confidence"), F.count_if(known).alias("sources")
     )
 
 

@@ -11,6 +11,7 @@ from tallyloom.operators import evidence
 from tallyloom.operators import surface as S
 from tallyloom.plans.base import EVENTS
 from tallyloom.plans.registry import query
+from tallyloom.session import dealt
 from tallyloom.sources import adapters as A
 
 _LINE = f"""{EVENTS}, tl AS (
@@ -93,7 +94,8 @@ def w1_ledger_order(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("company").orderBy(level_rank(F.col("level")).desc(), F.desc("total"), F.date_format("occurred_at", "yyyy-MM-dd").desc(), "event_id")
-    return A.ledger_events(spark, d).where(evidence.is_public()).select("event_id", "level", "total", F.row_number().over(w).alias("place"))
+    e = dealt(A.ledger_events(spark, d).where(evidence.is_public()).select("event_id", "level", "total", "company", "occurred_at"), "company")
+    return e.select("event_id", "level", "total", F.row_number().over(w).alias("place"))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scoring import importance
 from tallyloom.operators import evidence
-from tallyloom.session import dealt
+from tallyloom.session import dealt, looked_up
 
 BASELINE = "1998-01-01"
 
@@ -43,9 +43,9 @@ def ledger_events(spark: SparkSession, d: str) -> DataFrame:
         )
     )
     # dealt by event before the join: the tasks of the join, the sums and the join after them grow in number with the tables
-    edges = event_evidence(spark, d).join(registry(spark, d).select("source_id", "tier", "editorial_owner", "scope"), "source_id").drop("pos", "source_id")
+    edges = looked_up(event_evidence(spark, d), registry(spark, d).select("source_id", "tier", "editorial_owner", "scope"), "source_id").drop("pos", "source_id")
     scoped = dealt(edges, "event_id").join(events.select("event_id", "event_type"), "event_id")
-    confidence = evidence.confidence(scoped.withColumn("in_scope", F.col("scope") == F.substring("event_type", 1, 1)), "event_id")
+    confidence = evidence.confidence(scoped.withColumn("in_scope", F.col("scope") == F.substring("event_type", 1, 1)), "event_id", in_order=True)
     full = events.join(confidence, "event_id", "left").na.fill({"evidence_confidence": "low", "sources": 0})
     risky = evidence.high_risk(F.col("level"), F.col("event_type"), ("1-URGENT",))
     full = full.withColumn("review_status", evidence.review_outcome(risky, F.col("status") == "F", F.col("status") != "O", F.col("status") != "O"))
