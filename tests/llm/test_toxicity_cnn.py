@@ -64,3 +64,27 @@ def test_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = T.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert T.toxicity(docs, model, ["doc_id"]).count() == 0
+
+
+def test_every_labelled_row_is_learnt_from(spark):
+    n = 13_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('text number ', id) as text", "'en' as lang")
+    labels = spark.range(n).selectExpr("id as doc_id", "cast(id % 7 = 0 as int) as toxic")
+    got = T.labelled(docs, labels)
+    assert got.count() == n and got.rdd.getNumPartitions() == 2
+    assert T.labelled_ids(docs, labels).count() == n
+
+
+def test_parts_are_fitted_apart_and_averaged(spark):
+    train, held = list(_rows(3000, 1)), list(_rows(800, 2))
+    docs = spark.createDataFrame([x[:3] for x in train], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(x[0], x[3]) for x in train], "doc_id long, toxic int")
+    model = T.train(docs, labels, block_rows=500)
+    out = T.toxicity(spark.createDataFrame([x[:3] for x in held], "doc_id long, text string, lang string"), model, ["doc_id"]).collect()
+    got = {x.doc_id: x["__rejected"] for x in out}
+    assert sum(got[x[0]] == bool(x[3]) for x in held) / len(held) > 0.95
+
+
+def test_threshold_lies_in_the_widest_gap_between_bins():
+    low, high = np.array([0.9, 0.5, 0.1]), np.array([0.95, 0.6, 0.2])
+    assert abs(T.best_threshold(low, high, np.array([2, 3, 9]), np.array([2, 3, 0])) - 0.35) < 1e-12
