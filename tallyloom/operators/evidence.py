@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import stored
+from tallyloom.session import dealt, stored, tasks_for
 
 
 def confidence(scoped: DataFrame, key: str, in_order: bool = False) -> DataFrame:
@@ -42,8 +42,10 @@ def running_support(candidates: DataFrame, key: str, *order: str) -> DataFrame:
     candidates: key, tier, editorial_owner, in_scope and the columns of a total order. A set's rows are dealt out by ranges of (key, order), so a hot key is
     spread over tasks: a range counts its own first occurrences, and what the ranges before it found is carried in as sums, one row for each key of a range.
     """
-    ranged = stored(candidates.repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()), "support")
-    trusted, at = ranged.where("tier = 'trusted'"), F.struct(*order)
+    tasks = tasks_for(candidates)
+    ranges = candidates.repartitionByRange(tasks, key, *order) if tasks else candidates.repartitionByRange(key, *order)
+    ranged = stored(ranges.withColumn("__part", F.spark_partition_id()), "support")
+    trusted, at = dealt(ranged.where("tier = 'trusted'"), key, "editorial_owner"), F.struct(*order)
     # an owner counts in the range where it first stands, at its first row there
     first = trusted.groupBy(key, "editorial_owner").agg(F.min(F.struct("__part", *order)).alias("m"))
     first = first.select(F.col(key).alias("__key"), F.col("editorial_owner").alias("__owner"), F.col("m.__part").alias("__first"), F.struct(*[F.col(f"m.{c}") for c in order]).alias("__at"))
@@ -53,8 +55,9 @@ def running_support(candidates: DataFrame, key: str, *order: str) -> DataFrame:
     sums = sums.join(new, (F.col(key) == F.col("__key")) & (F.col("__part") == F.col("__in")), "left").drop("__key", "__in")
     before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(F.col(key).alias("__k"), F.col("__part").alias("__p"), F.coalesce(F.sum("__new").over(before), F.lit(0)).alias("__owners"), F.coalesce(F.max("__strong").over(before), F.lit(False)).alias("__had"))
-    rows = ranged.join(first, (F.col(key) == F.col("__key")) & (F.col("editorial_owner") == F.col("__owner")) & (F.col("__part") == F.col("__first")) & (F.col("tier") == "trusted"), "left")
-    rows = rows.withColumn("__one", F.coalesce(at == F.col("__at"), F.lit(False)).cast("int")).join(carried, (F.col(key) == F.col("__k")) & (F.col("__part") == F.col("__p")))
+    rows = dealt(ranged, key, "editorial_owner", "__part").join(first, (F.col(key) == F.col("__key")) & (F.col("editorial_owner") == F.col("__owner")) & (F.col("__part") == F.col("__first")) & (F.col("tier") == "trusted"), "left")
+    rows = rows.withColumn("__one", F.coalesce(at == F.col("__at"), F.lit(False)).cast("int")).select(*candidates.columns, "__part", "__one")
+    rows = dealt(rows, key, "__part").join(carried, (F.col(key) == F.col("__k")) & (F.col("__part") == F.col("__p")))
     here = Window.partitionBy("__part", key).orderBy(*order)
     upto, earlier = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
     owners = lambda w: F.col("__owners") + F.coalesce(F.sum("__one").over(w), F.lit(0))

@@ -10,7 +10,7 @@ from tallyloom.operators import evidence
 from tallyloom.operators.surface import numbered
 from tallyloom.plans.base import EVENTS, REGISTRY
 from tallyloom.plans.registry import query
-from tallyloom.session import dealt
+from tallyloom.session import dealt, looked_up
 from tallyloom.sources import adapters as A
 
 
@@ -50,7 +50,7 @@ SELECT candidate_id, owners, running_confidence, running_confidence <> 'low' AND
 )
 def e2_running_support(spark: SparkSession, d: str) -> DataFrame:
     """The gate row by row: each candidate with the support set as of its place; a third of the rows share one fingerprint."""
-    line = A.table(spark, d, "lineitem").join(A.registry(spark, d), F.col("l_suppkey") == F.col("source_id"))
+    line = looked_up(A.table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "source_id"), A.registry(spark, d).select("source_id", "tier", "editorial_owner", "scope"), "source_id")
     name = F.when(F.col("l_orderkey") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("l_partkey").cast("string")))
     rows = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("candidate_id"), name.alias("fingerprint"), F.col("l_shipdate").alias("at"), "tier", "editorial_owner", (F.col("scope") == F.substring(F.col("l_shipdate").cast("string"), 4, 1)).alias("in_scope"))
     return evidence.running_support(rows, "fingerprint", "at", "candidate_id").select("candidate_id", "owners", "running_confidence", "opens")

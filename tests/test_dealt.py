@@ -42,6 +42,14 @@ def test_evidence_of_ledger_events_is_summed_in_order(spark):
     assert "SortAggregate" in plan and "HashAggregate" not in plan
 
 
+def test_running_support_is_dealt_by_the_size_of_the_tables(spark, monkeypatch):
+    few = registry.QUERIES["e2_running_support"](spark, DATA)
+    monkeypatch.setattr(session, "BYTES_A_TASK", 1 << 12)
+    many = registry.QUERIES["e2_running_support"](spark, DATA)
+    assert many.rdd.getNumPartitions() > 4 >= few.rdd.getNumPartitions()
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+
+
 def test_places_within_companies_are_dealt_by_the_size_of_the_tables(spark, monkeypatch):
     monkeypatch.setattr(session, "BYTES_A_TASK", 1 << 12)
     assert registry.QUERIES["w1_ledger_order"](spark, DATA).rdd.getNumPartitions() > 4
