@@ -4,7 +4,8 @@ A word is a run of letters and digits in lower case; its vector is the sum of th
 its first 6 bytes), of which only those seen in several training texts are used. Filters of several widths slide over the words of
 the whole text, each keeps its maximum, and a logistic layer scores the maxima. It is trained on three quarters of all labelled rows, in rounds:
 each part of the rows takes steps of its own from the same model, in numpy, and the mean of what the parts made is the next round's model. Every row
-is drawn in a round where a batch's kinds allow. All other labelled rows are kept aside to set a threshold for each language; language never enters the score.
+is drawn at least once: a small table's rows in each round, a large table's in one round, so that work grows with the rows and not with
+the number of partitions they come in. All other labelled rows are kept aside to set a threshold for each language; language never enters the score.
 
 Edge cases: null or empty text is scored from filters at rest; a text shorter than a filter is padded; labels that are null are
 not used, and a document with several labels counts as toxic if any says so; with no labelled rows of both kinds every score is 0;
@@ -30,9 +31,10 @@ from tallyloom.llm.arrow_text import byte_view, column, map_text, mix, prefix_su
 from tallyloom.llm.sketches import Members, counted
 from tallyloom.session import cut
 
-#: Rows of a part that STEPS steps of a round are drawn from (a part with more of them takes as many more steps), and parts at most.
+#: Rows of a block (a part learns from two of them), and parts at most (which then hold more blocks).
 BLOCK_ROWS, MOST_PARTS = 6_000, 256
-ROUNDS, STEPS = 4, 250
+#: Rounds, steps of all parts in a round at least, and rows of a step.
+ROUNDS, STEPS, BATCH = 4, 250, 48
 #: Numbers of a model that are summed at once; steps of the score in which rows kept aside are counted.
 PIECE, BINS = 1 << 16, 1 << 16
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 16
@@ -146,18 +148,30 @@ def _turns(rng: np.random.Generator, rows: np.ndarray) -> Iterator[int]:
         yield from rng.permutation(rows)
 
 
-def _descend(m: Model, squares: list[np.ndarray], texts: list[np.ndarray], labels: np.ndarray, steps: int, rng: np.random.Generator, batch: int = 48, rate: float = 0.1, decay: float = 2e-4, drop: float = 0.25) -> None:
+def _marked_of(labels: np.ndarray) -> int:
+    """Marked rows of a batch, which holds more of the rarer kind than the rows do."""
+    mean = labels.mean()
+    return round(BATCH * (np.clip(mean, 0.25, 0.75) if 0 < mean < 1 else mean))
+
+
+def steps_for(labels: np.ndarray, share: float) -> int:
+    """Steps that draw every row at least once, and no fewer than the rows' share of STEPS."""
+    k, marked = _marked_of(labels), int(labels.sum())
+    once = [-(-n // each) for n, each in ((marked, k), (len(labels) - marked, BATCH - k)) if n]
+    return max(int(np.ceil(STEPS * share)), *once)
+
+
+def _descend(m: Model, squares: list[np.ndarray], texts: list[np.ndarray], labels: np.ndarray, steps: int, rng: np.random.Generator, rate: float = 0.1, decay: float = 2e-4, drop: float = 0.25) -> None:
     """AdaGrad on the logistic loss, in place; the gradient reaches only the windows that hold a filter's maximum."""
     esq, parts = squares[0], _dense(m)
-    mean = labels.mean()
-    share, shift = mean, 0.0
+    mean, k = labels.mean(), _marked_of(labels)
+    shift = 0.0
     if 0 < mean < 1:
         share = np.clip(mean, 0.25, 0.75)
-        shift = np.log(share / (1 - share)) - np.log(mean / (1 - mean))  # batches hold more of the rarer kind
-    k = round(batch * share)
+        shift = np.log(share / (1 - share)) - np.log(mean / (1 - mean))
     marked, plain = _turns(rng, np.flatnonzero(labels == 1)), _turns(rng, np.flatnonzero(labels == 0))
     for _ in range(steps):
-        pick = np.array([*islice(marked, k), *islice(plain, batch - k)])
+        pick = np.array([*islice(marked, k), *islice(plain, BATCH - k)])
         ids = np.concatenate([texts[i] for i in pick]).reshape(-1, 3)
         bounds = np.concatenate(([0], np.cumsum([len(texts[i]) // 3 for i in pick])))
         best, where, x, at = m.pooled(ids, bounds, places=True)
@@ -273,19 +287,19 @@ def _averaged(total: np.ndarray, m: Model, squares: list[np.ndarray]) -> None:
     m.out_bias = float(dense[-1][0])
 
 
-def _round(rows: DataFrame, text: str, m: Model, squares: list[np.ndarray], turn: int, block_rows: int) -> None:
-    """One round over all rows: every part goes on from the same model with its own rows, and the mean of what they make is taken over."""
+def _round(rows: DataFrame, count: float, text: str, m: Model, squares: list[np.ndarray], turn: int, block_rows: int) -> None:
+    """One round over about `count` rows: every part goes on from the same model with its own rows, and the mean of what they make is taken over."""
     shared = rows.sparkSession.sparkContext.broadcast((m, squares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, own, steps = TaskContext.get().partitionId(), deepcopy(shared.value), 0
+        part, own, learnt = TaskContext.get().partitionId(), deepcopy(shared.value), 0
         rng = np.random.default_rng([turn, part])
         for texts, marks in _blocks(batches, text, block_rows):
-            steps = max(STEPS if not steps else 1, -(-STEPS * len(texts) // block_rows))
-            _descend(*own, texts, marks, steps, rng)
-        if steps:
+            learnt += len(texts)
+            _descend(*own, texts, marks, steps_for(marks, len(texts) / count), rng)
+        if learnt:
             flat = _packed(*own, *shared.value)
             pieces = [flat[at : at + PIECE].tobytes() for at in range(0, len(flat), PIECE)]
             yield pa.RecordBatch.from_pydict({"piece": pa.array(range(len(pieces)), pa.int32()), "part": pa.array([part] * len(pieces), pa.int32()), "body": pa.array(pieces, pa.binary())})
@@ -320,15 +334,26 @@ def _set_limits(rows: DataFrame, text: str, lang: str, m: Model) -> None:
             m.thresholds[r.of] = r.found
 
 
+def parts_for(count: int, block_rows: int = BLOCK_ROWS) -> int:
+    """Parts that learn apart from `count` rows."""
+    return min(MOST_PARTS, max(1, -(-count // (2 * block_rows))))
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str = "lang", block_rows: int = BLOCK_ROWS) -> Model:
     """Fit on three quarters of all labelled rows, by rounds over parts; set the thresholds, by language, on all the others."""
     rows = labelled(docs, labels, text, id_col, lang, block_rows)
     rows = cut(rows.sortWithinPartitions(F.xxhash64("__doc"), "__doc"))
-    learnt, aside = rows.where("not aside"), rows.where("aside")
-    kinds = {r.toxic: r["count"] for r in learnt.groupBy("toxic").count().collect()}
+    kinds = {r.toxic: r["count"] for r in rows.where("not aside").groupBy("toxic").count().collect()}
     marked, plain = kinds.get(1, 0), kinds.get(0, 0)
     if not (marked and plain):
         return _never()
+    count = marked + plain
+    learnt, aside = rows.where("not aside"), rows.where("aside")
+    # joins deal rows into the session's number of partitions; the parts that learn are as many as the rows ask for
+    parts = learnt.coalesce(parts_for(count, block_rows))
+    # from so many rows on that a round's steps cannot draw all of them, a round takes its own share of the rows
+    folds = max(1, min(ROUNDS, count // (STEPS * BATCH)))
+    fold = F.pmod(F.xxhash64(F.col("__doc"), F.lit(5)), F.lit(folds))
 
     def once(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         """Each bucket once for each text that holds it."""
@@ -337,9 +362,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
             owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             yield np.unique(owner[:, None] * np.int64(3 * BUCKETS) + ids) % (3 * BUCKETS)
 
-    m, squares = _begun(counted(learnt.select(text), 3 * BUCKETS, once), marked / (marked + plain))
+    m, squares = _begun(counted(learnt.select(text), 3 * BUCKETS, once), marked / count)
     for turn in range(ROUNDS):
-        _round(learnt, text, m, squares, turn, block_rows)
+        _round(parts.where(fold == turn % folds), count / folds, text, m, squares, turn, block_rows)
     if len(m.embed) > 1:
         _set_limits(aside, text, lang, m)
     return m

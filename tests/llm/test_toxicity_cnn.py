@@ -88,3 +88,35 @@ def test_parts_are_fitted_apart_and_averaged(spark):
 def test_threshold_lies_in_the_widest_gap_between_bins():
     low, high = np.array([0.9, 0.5, 0.1]), np.array([0.95, 0.6, 0.2])
     assert abs(T.best_threshold(low, high, np.array([2, 3, 9]), np.array([2, 3, 0])) - 0.35) < 1e-12
+
+
+def test_work_of_a_training_grows_with_the_rows_and_not_with_their_partitions(spark, monkeypatch):
+    n = 3000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat(if(id % 7 = 0, 'vile text ', 'fine text '), id) as text", "'en' as lang")
+    labels = spark.range(n).selectExpr("id as doc_id", "cast(id % 7 = 0 as int) as toxic")
+    taken, once = [], T._round
+
+    def counted(rows, *rest):
+        taken.append((rows.rdd.getNumPartitions(), {r["__doc"] for r in rows.select("__doc").collect()}))
+        once(rows, *rest)
+
+    monkeypatch.setattr(T, "_round", counted)
+    monkeypatch.setattr(T, "STEPS", 8)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    try:
+        T.train(docs, labels, block_rows=400)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    learnt = {r["__doc"] for r in T.labelled(docs, labels).where("not aside").collect()}
+    assert {parts for parts, _ in taken} == {T.parts_for(len(learnt), 400)} == {3}
+    # each row in one of the rounds
+    assert set().union(*[ids for _, ids in taken]) == learnt and sum(len(ids) for _, ids in taken) == len(learnt)
+
+
+def test_steps_draw_every_row():
+    for marked, plain in ((1, 900), (300, 600), (5, 0), (0, 7)):
+        labels = np.array([1] * marked + [0] * plain)
+        k, steps = T._marked_of(labels), T.steps_for(labels, 0.001)
+        assert steps * k >= marked and steps * (T.BATCH - k) >= plain
+    assert T.steps_for(np.array([1, 0, 0, 0]), 1.0) == T.STEPS
