@@ -123,8 +123,9 @@ def _own_keys(*more: Column) -> Column:
     return F.array_compact(F.array(named("fp", "fingerprint"), named("evd", "evidence_id"), named("url", "url"), named("leg", "legacy_id"), *more))
 
 
-def _keyed(df: DataFrame, node: Column, *more: Column) -> DataFrame:
-    return df.select(node.alias("node"), F.explode(_own_keys(*more)).alias("key"))
+def row_keys(df: DataFrame, name: str, event: str) -> DataFrame:
+    """name, key for each key of the rows, that of the event in the column `event` among them."""
+    return df.select(name, F.explode(_own_keys(named("evt", event))).alias("key"))
 
 
 def named(kind: str, name: str) -> Column:
@@ -132,25 +133,21 @@ def named(kind: str, name: str) -> Column:
     return F.when(F.col(name).isNotNull(), F.xxhash64(F.lit(kind), F.col(name)))
 
 
-def candidate_keys(candidates: DataFrame) -> DataFrame:
-    """node, key of candidates."""
-    return _keyed(candidates, named("c", "candidate_id"), named("evt", "verdict_event"))
+def _hubbed(df: DataFrame, node: Column, event: str) -> DataFrame:
+    """df with its keys and its hub, the first of these; a row without any is its own hub."""
+    df = df.withColumn("keys", _own_keys(named("evt", event)))
+    return df.withColumn("hub", F.coalesce(F.try_element_at("keys", F.lit(1)), node))
 
 
-def seed_keys(seeds: DataFrame) -> DataFrame:
-    """node, key of evidence."""
-    return _keyed(seeds, named("e", "event_id"), named("evt", "event_id"))
+def hubbed_candidates(candidates: DataFrame) -> DataFrame:
+    """The columns READ of candidates, their keys and their hub."""
+    return _hubbed(candidates.select(*READ), named("c", "candidate_id"), "verdict_event")
 
 
 def _rows_of(candidates: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Candidates and evidence with their keys and their hub, the first of these; a row without any is its own hub."""
-
-    def shape(df: DataFrame, kind: int, node: Column, event: Column) -> DataFrame:
-        df = df.withColumn("kind", F.lit(kind)).withColumn("keys", _own_keys(event))
-        return df.withColumn("hub", F.coalesce(F.try_element_at("keys", F.lit(1)), node))
-
-    seeds = shape(seeds, 0, named("e", "event_id"), named("evt", "event_id"))
-    return seeds.unionByName(shape(candidates.select(*READ), 1, named("c", "candidate_id"), named("evt", "verdict_event")), allowMissingColumns=True)
+    """Candidates and evidence with their keys and their hub."""
+    seeds = _hubbed(seeds.withColumn("kind", F.lit(0)), named("e", "event_id"), "event_id")
+    return seeds.unionByName(hubbed_candidates(candidates).withColumn("kind", F.lit(1)), allowMissingColumns=True)
 
 
 def fold_components(rows: DataFrame, baseline: str) -> DataFrame:

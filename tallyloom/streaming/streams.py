@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from tallyloom.operators import merge
-from tallyloom.operators.surface import numbered
-from tallyloom.session import stored
+from tallyloom.session import discard, stored
 from tallyloom.streaming.processors import GROUPS, HEALTH, PROMOTED, STORE, STORE_CONF, EvidenceGate, LateRouter, SourceHealth
 
 
@@ -129,19 +128,21 @@ def ledger_sink(root: str, baseline: str) -> Callable[[DataFrame, int], None]:
             rows = rows.unionByName(merge.current(spark, root, "waiting", last).select(*merge.READ))
         rows = stored(rows, "candidates")
         out = stored(merge.merge_ledger(rows, known, baseline), "merged")
-        done = out.where("row_kind = 'candidate'").select("candidate_id", "event_id", "outcome", "by_seq", "by_candidate", "place")
+        done = out.where("row_kind = 'candidate'").select("candidate_id", "component", "event_id", "outcome", "by_seq", "by_candidate", "place")
         events = out.where("row_kind = 'event'").select("event_id", F.col("facts").alias("now"))
-        new = rows.join(done.where("event_id is not null"), "candidate_id")
+        judged = stored(rows.join(done, "candidate_id"), "judged")
+        new = judged.where("event_id is not null")
         begun = new.where(F.col("outcome").isin("first", "backfill")).select("event_id", "fingerprint")
         names = known.groupBy("event_id").agg(F.min("fingerprint").alias("fingerprint")).unionByName(begun)
-        # the order in which evidence came decides who owns a key, so it is kept
-        since = known.agg(F.coalesce(F.max("event_ord"), F.lit(0))).first()[0]
-        new = numbered(new.drop("fingerprint", "facts"), "n", F.asc("by_seq"), F.asc("by_candidate"), F.asc("place")).withColumn("event_ord", F.col("n") + since)
+        # the order in which evidence came decides who owns a key: by batch, then by place in its component (components share no key)
+        order = F.row_number().over(Window.partitionBy("component").orderBy("by_seq", "by_candidate", "place"))
+        new = new.drop("fingerprint", "facts").withColumn("event_ord", F.lit(number + 1).cast("bigint") * (1 << 32) + order)
         edges = known.drop("fingerprint", "facts").unionByName(new.select(*[c for c in EDGES if c not in ("fingerprint", "facts")]))
         evidence = edges.join(names, "event_id").join(events.withColumnRenamed("now", "facts"), "event_id").select(*EDGES)
-        waiting = rows.join(done.where("outcome = 'pending'"), "candidate_id", "left_semi")
+        waiting = judged.where("outcome = 'pending'").select(*merge.READ)
         history = out.where("row_kind = 'candidate'").groupBy("outcome").count().withColumn("batch", F.lit(number))
         merge.commit({"evidence": evidence, "waiting": waiting, "history": history}, root, run)
+        discard(rows, out, judged)
 
     return write
 

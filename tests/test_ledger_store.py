@@ -172,3 +172,35 @@ def test_damaged_runs_are_refused_and_the_last_valid_version_stands(spark, tmp_p
 def test_rules_keep_the_last_row_of_a_key(spark):
     keys = spark.createDataFrame([(1, 5, 0, 1), (1, 4, 1, 1), (2, 9, 0, 2)], "key bigint, component bigint, at bigint, bucket int")
     assert sorted((r.key, r.component) for r in RULES["keys"](keys).collect()) == [(1, 4), (2, 9)]
+
+
+def _sure(i, fingerprint, evidence):
+    row = {"candidate_id": f"c{i:03d}", "seq": i, "fingerprint": fingerprint, "evidence_id": evidence, "url": None, "legacy_id": None, "verdict_event": None, "owner": "o", "tier": "authoritative", "in_scope": True, "day": "2026-02-01", "has_cursor": False, "facts": "a"}
+    return tuple(row[c] for c in NAMES)
+
+
+def test_a_batch_writes_the_keys_that_it_brings_and_no_others(spark, tmp_path):
+    ledger = IncrementalLedger(Store(spark, f"{tmp_path}/keys", 4), BASELINE)
+    ledger.write(spark.createDataFrame([_sure(i, "f", f"e{i}") for i in range(60)], CAND), 0)
+    ledger.write(spark.createDataFrame([_sure(60, "f", "e60")], CAND), 1)
+    keys = ledger.store.read(ledger.store.latest(), "keys").where("at = 1")
+    assert keys.count() <= 4 and ledger.evidence().count() == 61
+
+
+def test_a_component_keeps_its_rows_where_another_could_take_its_name(spark, tmp_path):
+    # the second fingerprint of each pair reaches the first one's event by its evidence, and stands in no key afterwards
+    ledger = IncrementalLedger(Store(spark, f"{tmp_path}/names", 4), BASELINE)
+    ledger.write(spark.createDataFrame([_sure(2 * p + k, f"{p}-{k}", f"e{p}") for p in range(8) for k in (0, 1)], CAND), 0)
+    ledger.write(spark.createDataFrame([_sure(100 + p, f"{p}-1", f"x{p}") for p in range(8)], CAND), 1)
+    got = sorted({(r.fingerprint, r.evidence_id) for r in ledger.evidence().collect()})
+    assert got == sorted([(f"{p}-0", f"e{p}") for p in range(8)] + [(f"{p}-1", f"x{p}") for p in range(8)])
+
+
+def test_the_sink_leaves_no_tables_of_its_own_behind(spark, tmp_path):
+    from tallyloom.session import scratch_dir
+    from tallyloom.streaming.streams import ledger_sink
+
+    before = set(os.listdir(scratch_dir(spark)))
+    ledger_sink(f"{tmp_path}/sink", BASELINE)(spark.createDataFrame([_sure(i, f"f{i % 3}", f"e{i}") for i in range(9)], CAND), 0)
+    assert spark.read.parquet(f"{tmp_path}/sink/evidence").count() == 9
+    assert not {x.split("-")[0] for x in set(os.listdir(scratch_dir(spark))) - before} & {"candidates", "merged", "judged", "ranges", "links", "keys"}
