@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -60,13 +61,29 @@ def source_health(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return out.select("source_id", "kind", "by_timer", "runs", "consecutive_failures", *[F.timestamp_micros(c).alias(n) for c, n in (("first_at", "first_failure_at"), ("success_at", "last_success"), ("alarm_at", "alarm_at"))])
 
 
+def packed(rows: DataFrame, key: str) -> DataFrame:
+    """rows with those of one key that a task reads together as one row of lists: PySpark hands rows to a keyed processor one by one, at many times the cost of the fold."""
+    others = [f for f in rows.schema.fields if f.name != key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pa.Table.from_batches([batch]).group_by(key, use_threads=False).aggregate([(f.name, "list") for f in others])
+            named = lists.select([key, *[f"{f.name}_list" for f in others]]).rename_columns([key, *[f.name for f in others]])
+            yield from named.to_batches()
+
+    schema = ", ".join([f"`{key}` {rows.schema[key].dataType.simpleString()}", *[f"`{f.name}` array<{f.dataType.simpleString()}>" for f in others]])
+    return rows.mapInArrow(run, schema)
+
+
 def gate(stream: DataFrame, span: str, delay: str = "1 hour") -> DataFrame:
     """Candidates whose fingerprint's evidence reaches the gate, each once, with the one that opened it.
 
     stream: fingerprint, ts, seq, candidate_id, tier, owner, in_scope. State lasts for `span` after a fingerprint's last row (a number and a unit).
     """
-    rows = stream.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
-    return _with_timers(rows, "fingerprint", EvidenceGate(pd.Timedelta(span) // pd.Timedelta("1ms")), PROMOTED, "append")
+    owned = F.col("owner").isNotNull()
+    strength = F.when((F.col("tier") == "authoritative") & F.col("in_scope"), EvidenceGate.HIGH).when((F.col("tier") == "trusted") & owned, EvidenceGate.TRUSTED).otherwise(0)
+    rows = stream.withWatermark("ts", delay).select("fingerprint", F.unix_micros("ts").alias("at"), "seq", "candidate_id", F.coalesce("owner", F.lit(0)).alias("owner"), owned.alias("known"), strength.alias("strength"))
+    return _with_timers(packed(rows, "fingerprint"), "fingerprint", EvidenceGate(pd.Timedelta(span) // pd.Timedelta("1ms")), PROMOTED, "append")
 
 
 ROUTED = "source_id bigint, seq bigint, ts timestamp, at bigint, late boolean"

@@ -95,3 +95,25 @@ def test_a_call_serves_all_sources_of_a_group():
     assert out[out["kind"] == "alarm"][["source_id", "alarm_at"]].values.tolist() == [[2, 2 * hour]]
     assert out[out["kind"] == "state"][["source_id", "consecutive_failures"]].values.tolist() == [[1, 1], [2, 2], [3, 0]]
     assert held.timers == {4 * hour // 1000}
+
+
+def test_late_evidence_counts_for_its_own_life_and_turns_no_time_back(spark, tmp_path):
+    rows = [
+        ("c", 20, 4, 33, "authoritative", 7, True),  # of a life that was over by 100: promoted by itself
+        ("c", 90, 2, 31, "discovery", 5, True),  # late, within the span
+        ("c", 100, 1, 30, "trusted", 1, True),
+        ("c", 140, 3, 32, "trusted", 2, True), ("c", 141, 5, 34, "trusted", None, True),
+    ]
+    want = [("c", 30, 32, 3, "medium"), ("c", 31, 32, 3, "medium"), ("c", 32, 32, 3, "medium"), ("c", 33, 33, 1, "high")]
+    for name, cuts in (("one", [rows]), ("late", [rows[2:3], rows[:2], rows[3:]])):
+        stream = landed(spark, f"{tmp_path}/{name}", HITS, cuts)
+        streams.run_to_end(streams.gate(stream, "2 days"), "append", f"{tmp_path}/{name}")
+        got = sorted((r.fingerprint, r.candidate_id, r.opened_by, r.owners, r.confidence) for r in spark.read.parquet(f"{tmp_path}/{name}/out").collect())
+        assert got == want
+
+
+def test_rows_reach_a_processor_in_packs(spark):
+    rows = spark.range(5000).selectExpr("nullif(id % 3, 2) as key", "id", "nullif(id, 7) as v").repartition(2)
+    packs = streams.packed(rows, "key").collect()
+    assert len(packs) <= 6 and all(len(p.id) == len(p.v) for p in packs)
+    assert sorted((i, p.key, v) for p in packs for i, v in zip(p.id, p.v, strict=True)) == [(i, None if i % 3 == 2 else i % 3, None if i == 7 else i) for i in range(5000)]
