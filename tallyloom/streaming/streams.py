@@ -100,7 +100,7 @@ def with_late_branch(open_stream: Callable[[], DataFrame], delay: str) -> tuple[
         stream = open_stream()
         stream.sparkSession.conf.set(STORE_CONF, STORE)
         rows = stream.withWatermark("ts", delay).select("source_id", "seq", F.unix_micros("ts").alias("at"))
-        return rows.groupBy("source_id").transformWithStateInPandas(LateRouter(), ROUTED, "append", "eventTime", eventTimeColumnName="ts")
+        return packed(rows, "source_id").groupBy("source_id").transformWithStateInPandas(LateRouter(), ROUTED, "append", "eventTime", eventTimeColumnName="ts")
 
     return marked().where("not late").drop("at"), marked().where("late").select("source_id", "seq", F.timestamp_micros("at").alias("ts"), "late")
 

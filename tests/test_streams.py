@@ -117,3 +117,18 @@ def test_rows_reach_a_processor_in_packs(spark):
     packs = streams.packed(rows, "key").collect()
     assert len(packs) <= 6 and all(len(p.id) == len(p.v) for p in packs)
     assert sorted((i, p.key, v) for p in packs for i, v in zip(p.id, p.v, strict=True)) == [(i, None if i % 3 == 2 else i % 3, None if i == 7 else i) for i in range(5000)]
+
+
+def test_the_late_router_marks_each_row_of_its_packs():
+    import pandas as pd
+
+    from tallyloom.streaming.processors import PACKS, LateRouter
+
+    class Timer:
+        getCurrentWatermarkInMs = lambda self: 5  # noqa: E731, N815
+
+    packs = pd.DataFrame({"source_id": 1, "seq": [[2 * i, 2 * i + 1] for i in range(PACKS + 1)], "at": [[5000, 5001]] * (PACKS + 1)})
+    out = list(LateRouter().handleInputRows((1,), iter([packs]), Timer()))
+    assert [len(x) for x in out] == [2 * PACKS, 2]
+    rows = pd.concat(out)
+    assert rows["seq"].tolist() == list(range(2 * PACKS + 2)) and rows["late"].tolist() == [True, False] * (PACKS + 1)
