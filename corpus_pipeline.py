@@ -11,13 +11,35 @@ table of documents gives an empty result. Further columns of documents, whatever
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import byte_bpe, jaccard_join, mixture, secret_crf, toxicity_cnn
 from tallyloom.session import stored
 
+#: Rows that a task hands to Python at once. Of texts, Spark's own 10,000 are tens of MB several times over, in the JVM's native memory and in each worker.
+BATCH_ROWS = 1_000
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage with at most BATCH_ROWS rows in an Arrow batch; its table is computed later, so the session keeps that number. A smaller one stays."""
+
+    @wraps(stage)
+    def small(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+            spark.conf.set(key, BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return small
+
 
+@in_small_batches
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below their language's threshold; all of them where there is nothing to learn from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
@@ -25,22 +47,26 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity_cnn.toxicity(docs, model, docs.columns).where(~F.col("__rejected")).select(*docs.columns)
 
 
+@in_small_batches
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at a Jaccard similarity of 0.8 over five-word shingles; documents without words all stay."""
     return jaccard_join.one_of_each(docs)
 
 
+@in_small_batches
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret replaced by a mask; a null text stays null."""
     clean = secret_crf.redacted(docs, secret_crf.train(docs))
     return clean.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns) if "n_chars" in docs.columns else clean
 
 
+@in_small_batches
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that sources, languages and topics weigh as wanted; null is a value of its own on each axis."""
     return mixture.sampled(docs)
 
 
+@in_small_batches
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, and digests of the ids and of the bytes that they decode to; a null text counts as empty."""
     import public_tokenizers

@@ -38,3 +38,24 @@ def test_stages_take_effect_and_agree_with_brute_force(spark, tmp_path):
     assert set(seen["token_ids"]) == set(seen["mix"])
     for i, r in seen["token_ids"].items():
         assert r.decoded_sha256 == hashlib.sha256((seen["mix"][i].text or "").encode()).hexdigest() and r.n_tokens == len(r.ids)
+
+
+def test_stages_hand_rows_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    docs = spark.range(0, 5000, 1, 1).selectExpr("id as doc_id", "'a b' as text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    try:
+        spark.conf.set(key, 10_000)
+        dict(corpus_pipeline.STAGES)["token_ids"](spark, docs, "")
+        found = [x.n for x in docs.mapInArrow(sizes, "n bigint").collect()]
+        assert sum(found) == 5000 and max(found) <= 1000
+        spark.conf.set(key, 300)  # a smaller number stays
+        dict(corpus_pipeline.STAGES)["token_ids"](spark, docs, "")
+        assert spark.conf.get(key) == "300"
+    finally:
+        spark.conf.set(key, was)
